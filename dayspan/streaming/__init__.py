@@ -1,0 +1,7 @@
+"""No streaming operators.
+
+All work here is batch: labels look ahead in time and need the follow-up to be
+complete. Projections and filters (``operators.select``, ``functions``,
+``operators.reshape.slots_to_long``) keep no state and accept a streaming
+DataFrame as they are.
+"""
