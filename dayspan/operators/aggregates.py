@@ -115,29 +115,25 @@ def summarize_categorical(df: DataFrame, levels: Mapping[str, Sequence[str]], by
     counted = _strata(long, ["variable", "level"], by, add_overall).agg(*aggregates)
     counted = counted.select("variable", "level", _stratum(by, add_overall).alias("stratum"), "n")
 
-    level_rows = [(c, v, i) for c, lv in levels.items() for i, v in enumerate(lv, start=1)]
-    frame = spark.createDataFrame(level_rows, "variable string, level string, level_number bigint")
-    # Zero cells: every level of a variable in every stratum in which the variable was counted.
-    cells = counted.select("variable", "stratum").distinct().join(frame, "variable")
-    known = (
-        cells.join(counted.filter(F.col("level").isNotNull()), ["variable", "level", "stratum"], "left")
-        .withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
+    # One row per variable and stratum with its counts by level (a map no longer than the level
+    # list), laid out over the level list: zero cells appear and the data is read once.
+    level, n = F.col("level"), F.col("n")
+    cells = counted.groupBy("variable", "stratum").agg(
+        F.map_from_entries(F.collect_list(F.when(level.isNotNull(), F.struct(level, n)))).alias("_counts"),
+        F.sum(F.when(level.isNotNull(), n)).alias("_known"),
+        F.sum(F.when(level.isNull(), n)).alias("_unknown"),
     )
-    total = F.sum("n").over(Window.partitionBy("variable", "stratum"))
-    known = known.withColumn("percent", F.when(total > 0, F.col("n") / total * 100))
-    columns = ["variable", "level", "level_number", "stratum", "n", "percent"]
-    if not missing:
-        return known.select(*columns)
-    unknown = (
-        counted.filter(F.col("level").isNull())
-        .join(
-            spark.createDataFrame([(c, len(lv) + 1) for c, lv in levels.items()], "variable string, level_number bigint"),
-            "variable",
-        )
-        .select("variable", F.lit("Unknown").alias("level"), "level_number", "stratum", "n",
-                F.lit(None).cast("double").alias("percent"))
+    rows = [(c, v, i, False) for c, lv in levels.items() for i, v in enumerate(lv, start=1)]
+    if missing:
+        rows += [(c, "Unknown", len(lv) + 1, True) for c, lv in levels.items()]
+    frame = spark.createDataFrame(rows, "variable string, level string, level_number bigint, _is_unknown boolean")
+    is_unknown = F.col("_is_unknown")
+    shown_n = F.when(is_unknown, F.col("_unknown")).otherwise(F.coalesce(F.element_at("_counts", level), F.lit(0)))
+    laid_out = cells.join(frame, "variable").filter(~is_unknown | F.col("_unknown").isNotNull())
+    return laid_out.select(
+        "variable", "level", "level_number", "stratum", shown_n.alias("n"),
+        F.when(~is_unknown & (F.col("_known") > 0), shown_n / F.col("_known") * 100).alias("percent"),
     )
-    return known.select(*columns).unionByName(unknown)
 
 
 def summarize_columns(df: DataFrame, continuous: Sequence[str] = (), categorical: Mapping[str, Sequence[str]] | None = None,

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dayspan.functions.tails import chi2_tail_col, normal_tail_col
+from dayspan.functions.tails import chi_square_tail, normal_tail
 from dayspan.operators.ordered import GROUP_LIMIT, ordered_scan, running_sum
 
 
@@ -39,7 +39,7 @@ def chi_square(df: DataFrame, by: str, categorical: Sequence[str]) -> DataFrame:
             ((F.countDistinct("level") - 1) * (F.countDistinct("_by") - 1)).cast("bigint").alias("df"),
             F.max("t").alias("n"),
         )
-        .withColumn("p_value", chi2_tail_col("statistic", "df"))
+        .withColumn("p_value", chi_square_tail(F.col("statistic"), F.col("df")))
         .withColumn("test", F.lit("chi-square"))
     )
 
@@ -86,7 +86,7 @@ def rank_sum(df: DataFrame, by: str, continuous: Sequence[str], group_limit: int
     checked = F.when(F.col("n_other") > 0, F.raise_error(F.lit("the grouping column has more than two values"))).otherwise(z)
     return sums.select(
         "variable", w.alias("statistic"), checked.alias("z"), n_all.cast("bigint").alias("n")
-    ).withColumn("p_value", normal_tail_col("z")).withColumn("test", F.lit("rank-sum"))
+    ).withColumn("p_value", normal_tail(F.col("z"))).withColumn("test", F.lit("rank-sum"))
 
 
 def compare_groups(df: DataFrame, by: str, continuous: Sequence[str] = (), categorical: Sequence[str] = (),

@@ -18,6 +18,9 @@ from dayspan.operators.ordered import GROUP_LIMIT
 from dayspan.operators.reshape import melt_ratings, pivot_counts
 from dayspan.operators.select import across, cols_like, subset_ids
 
+# A table with more rows for one variable than this is not read by anyone, and the levels must fit a driver list.
+_MOST_LEVELS = 10_000
+
 
 def merge_sources(sources: Sequence[DataFrame], id_col: str, ids=None,
                   group_limit: int | None = GROUP_LIMIT) -> DataFrame:
@@ -57,7 +60,9 @@ def sample_characteristics(df: DataFrame, continuous: Sequence[str], levels: Map
     levels = dict(levels)
     rare_out = rare_out or rare
     if rare_out and rare_out not in levels:
-        names = df.filter(F.col(rare_out).isNotNull()).select(rare_out).distinct().collect()
+        names = df.filter(F.col(rare_out).isNotNull()).select(rare_out).distinct().limit(_MOST_LEVELS + 1).collect()
+        if len(names) > _MOST_LEVELS:
+            raise ValueError(f"{rare_out} has more than {_MOST_LEVELS} levels; raise rare_below or list its levels")
         levels[rare_out] = levels_with_last([r[0] for r in names])
     by = None
     if members is not None:

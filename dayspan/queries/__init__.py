@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("cohort",)
+MODULES = ("cohort", "tables")
 
 
 def load_all() -> None:
