@@ -135,7 +135,7 @@ class PreparedModels:
                 "before": previous(F.struct(*measured)),
                 "_after": following(F.lit(1)),
             }
-            rows = ordered_scan(rows, ["m", "_id"], [F.col(k).asc_nulls_last() for k in keys], scans, group_limit)
+            rows = ordered_scan(rows, ["m", "_id"], keys, scans, group_limit)
             rows = rows.withColumn(
                 "neighbours", F.col("before").isNotNull().cast("int") + F.col("_after").isNotNull().cast("int")
             ).select(

@@ -67,7 +67,7 @@ def rank_sum(df: DataFrame, by: str, continuous: Sequence[str], group_limit: int
             F.count_if((F.col("_by") != F.col("a")) & (F.col("_by") != F.col("b"))).alias("t_other"),
         )
     )
-    ranked = ordered_scan(values, ["variable"], [F.col("value").asc()], {"upto": running_sum(F.col("t"))}, group_limit)
+    ranked = ordered_scan(values, ["variable"], ["value"], {"upto": running_sum(F.col("t"))}, group_limit)
     rank = F.col("upto") - (F.col("t") - 1) / 2
     t = F.col("t").cast("double")
     sums = ranked.groupBy("variable").agg(

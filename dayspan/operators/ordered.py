@@ -12,7 +12,8 @@ Both ways give the same result.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -22,18 +23,24 @@ from dayspan.session import stage
 GROUP_LIMIT = 1_000_000
 
 _BLOCK, _POS = "_block", "_pos"
-_START, _END = Window.unboundedPreceding, Window.unboundedFollowing
+_START = Window.unboundedPreceding
 
 
 @dataclass(frozen=True)
 class Scan:
-    """One ordered computation, given as a window form and as its split form."""
+    """One ordered computation, given as a window form and as its split form.
+
+    ``backward`` scans look at later rows. They run over the reversed order, because
+    Spark recomputes a frame that is open towards the end for every row, but extends
+    one that is open towards the start.
+    """
 
     value: Column
     over: Callable[[Column, WindowSpec], Column]
     summary: Callable[[Column, Column], Column]
     carry: Callable[[Column, WindowSpec], Column]
     combine: Callable[[Column, Column, Column, Column], Column]
+    backward: bool = False
 
 
 def running_sum(value: Column) -> Scan:
@@ -90,12 +97,10 @@ def last_known(value: Column) -> Scan:
 
 def next_known(value: Column) -> Scan:
     """First non-null value from this row on (fill upward)."""
-    return Scan(
-        value,
-        over=lambda v, w: F.first(v, ignorenulls=True).over(w.rowsBetween(0, _END)),
+    return replace(
+        last_known(value),
         summary=lambda v, pos: F.min_by(v, F.when(v.isNotNull(), pos)),
-        carry=lambda s, w: F.first(s, ignorenulls=True).over(w.rowsBetween(1, _END)),
-        combine=lambda inside, carried, first, last: F.coalesce(inside, carried),
+        backward=True,
     )
 
 
@@ -103,13 +108,26 @@ def smallest_from_here(value: Column) -> Scan:
     """Minimum over this row and all later ones."""
     return Scan(
         value,
-        over=lambda v, w: F.min(v).over(w.rowsBetween(0, _END)),
+        over=lambda v, w: F.min(v).over(w.rowsBetween(_START, 0)),
         summary=lambda v, pos: F.min(v),
-        carry=lambda s, w: F.min(s).over(w.rowsBetween(1, _END)),
+        carry=lambda s, w: F.min(s).over(w.rowsBetween(_START, -1)),
         combine=lambda inside, carried, first, last: F.least(inside, carried),
+        backward=True,
     )
 
 
+def ascending(order: Sequence[str]) -> list[Column]:
+    """Sort by the columns in turn, unknown values last."""
+    return [F.col(c).asc_nulls_last() for c in order]
+
+
+def _windows(keys: Sequence[str], order: Sequence[str]) -> dict[bool, WindowSpec]:
+    """Window in the given order and, under ``True``, in the reversed one."""
+    spec = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    reversed_order = [F.col(c).desc_nulls_first() for c in order]
+    return {False: spec.orderBy(*ascending(order)), True: spec.orderBy(*reversed_order)}
+
+
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     """Rows in the largest key group; counts are combined before the shuffle."""
     if not keys:
@@ -118,27 +136,27 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     return row["n"] or 0
 
 
-def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
-                 scans: dict[str, Scan], group_limit: int | None = GROUP_LIMIT) -> DataFrame:
-    """Add one column per scan, computed within ``keys`` in ``order``.
+def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], scans: dict[str, Scan],
+                 group_limit: int | None = GROUP_LIMIT) -> DataFrame:
+    """Add one column per scan, computed within ``keys`` in ascending ``order``, unknown values last.
 
     ``order`` should be total within a key (end it with a unique column), or ties
-    are numbered arbitrarily. ``group_limit=None`` states that groups are known to
-    be small and skips the count.
+    are taken arbitrarily. ``group_limit=None`` states that groups are known to be
+    small and skips the count.
     """
     if group_limit is None or largest_group(df, keys) <= group_limit:
-        spec = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(*order)
-        return df.withColumns({name: s.over(s.value, spec) for name, s in scans.items()})
+        windows = _windows(keys, order)
+        return df.withColumns({name: s.over(s.value, windows[s.backward]) for name, s in scans.items()})
     return _split_scan(df, list(keys), list(order), scans)
 
 
-def ordered_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+def ordered_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Range-sort by (keys, order); add a block number and a position that follow the sort.
 
     Written out once: sampling for the range bounds may differ between two
     evaluations, and the block numbers are used more than once.
     """
-    sort = [*[F.col(k).asc() for k in keys], *order]
+    sort = [*[F.col(k).asc() for k in keys], *ascending(order)]
     placed = (
         df.repartitionByRange(*sort)
         .sortWithinPartitions(*sort)
@@ -148,7 +166,7 @@ def ordered_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[Column])
     return stage(placed, "blocks")
 
 
-def _split_scan(df: DataFrame, keys: list[str], order: list[Column], scans: dict[str, Scan]) -> DataFrame:
+def _split_scan(df: DataFrame, keys: list[str], order: list[str], scans: dict[str, Scan]) -> DataFrame:
     values = {f"_v{i}": s.value for i, s in enumerate(scans.values())}
     blocks = ordered_blocks(df.withColumns(values), keys, order)
     parts = [_BLOCK, *keys]
@@ -157,23 +175,23 @@ def _split_scan(df: DataFrame, keys: list[str], order: list[Column], scans: dict
         *[s.summary(F.col(f"_v{i}"), F.col(_POS)).alias(f"_s{i}") for i, s in enumerate(scans.values())]
     )
     # A key has at most one summary row per block, so this window is bounded by the number of blocks.
-    across = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(_BLOCK)
+    across = _windows(keys, [_BLOCK])
     carried = per_block.select(
         *[F.col(p).alias(f"_k{i}") for i, p in enumerate(parts)],
-        *[s.carry(F.col(f"_s{i}"), across).alias(f"_c{i}") for i, s in enumerate(scans.values())],
+        *[s.carry(F.col(f"_s{i}"), across[s.backward]).alias(f"_c{i}") for i, s in enumerate(scans.values())],
     )
 
-    inside = Window.partitionBy(*parts).orderBy(_POS)
+    inside = _windows(parts, [_POS])
     local = blocks.withColumns(
         {
-            **{f"_w{i}": s.over(F.col(f"_v{i}"), inside) for i, s in enumerate(scans.values())},
-            "_first": F.lag(_POS).over(inside).isNull(),
-            "_last": F.lead(_POS).over(inside).isNull(),
+            **{f"_w{i}": s.over(F.col(f"_v{i}"), inside[s.backward]) for i, s in enumerate(scans.values())},
+            "_first": F.lag(_POS).over(inside[False]).isNull(),
+            "_last": F.lead(_POS).over(inside[False]).isNull(),
         }
     )
-    same_group = F.lit(True)
-    for i, p in enumerate(parts):
-        same_group = same_group & F.col(p).eqNullSafe(F.col(f"_k{i}"))
+    same_group = reduce(
+        lambda a, b: a & b, [F.col(p).eqNullSafe(F.col(f"_k{i}")) for i, p in enumerate(parts)]
+    )
     joined = local.join(carried, same_group, "left")
     return joined.select(
         *df.columns,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dayspan.functions.ratings import count_known
@@ -37,7 +37,7 @@ def study_day(df: DataFrame, id_col: str, date_col: str = "date", out: str = "st
     return df.join(numbered, [id_col, date_col], "left")
 
 
-def number_rows(df: DataFrame, id_col: str, order: Sequence[Column], out: str,
+def number_rows(df: DataFrame, id_col: str, order: Sequence[str], out: str,
                 group_limit: int | None = GROUP_LIMIT) -> DataFrame:
     """Row number within an id."""
     return ordered_scan(df, [id_col], order, {out: running_count()}, group_limit)
@@ -57,7 +57,7 @@ def dedupe_first_best(df: DataFrame, keys: Sequence[str], start_col: str, answer
     return started.withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") == 1).drop("_rank")
 
 
-def neighbours(df: DataFrame, id_col: str, order: Sequence[Column], before: dict[str, str] | None = None,
+def neighbours(df: DataFrame, id_col: str, order: Sequence[str], before: dict[str, str] | None = None,
                after: dict[str, str] | None = None, group_limit: int | None = GROUP_LIMIT) -> DataFrame:
     """Values of the previous and the next row; both dicts map a new column to a source column."""
     scans = {new: previous(F.col(c)) for new, c in (before or {}).items()}
@@ -65,13 +65,13 @@ def neighbours(df: DataFrame, id_col: str, order: Sequence[Column], before: dict
     return ordered_scan(df, [id_col], order, scans, group_limit)
 
 
-def fill_down(df: DataFrame, keys: Sequence[str], order: Sequence[Column], cols: Sequence[str],
+def fill_down(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str],
               group_limit: int | None = GROUP_LIMIT) -> DataFrame:
     """Replace nulls by the last known value above."""
     return _fill(df, keys, order, cols, last_known, group_limit)
 
 
-def fill_up(df: DataFrame, keys: Sequence[str], order: Sequence[Column], cols: Sequence[str],
+def fill_up(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str],
             group_limit: int | None = GROUP_LIMIT) -> DataFrame:
     """Replace nulls by the next known value below."""
     return _fill(df, keys, order, cols, next_known, group_limit)
@@ -89,7 +89,7 @@ def run_end(df: DataFrame, id_col: str, date_col: str, tie: Sequence[str] = (),
     A row closes a run if the next row is not exactly one day later (a second row
     on the same day closes it too) or does not exist.
     """
-    order = [F.col(date_col).asc_nulls_last(), *[F.col(c).asc_nulls_last() for c in tie]]
+    order = [date_col, *tie]
     marked = ordered_scan(df, [id_col], order, {"_next": following(F.col(date_col))}, group_limit)
     gap = F.datediff("_next", date_col)
     marked = marked.withColumn("_end", F.when(gap.isNull() | (gap != 1), F.col(date_col))).drop("_next")
@@ -113,7 +113,7 @@ def event_within(df: DataFrame, id_col: str, date_col: str, flag_col: str, horiz
     return df.join(labelled, [id_col, date_col], "left")
 
 
-def next_value(df: DataFrame, id_col: str, order: Sequence[Column], col: str, out: str,
+def next_value(df: DataFrame, id_col: str, order: Sequence[str], col: str, out: str,
                group_limit: int | None = GROUP_LIMIT) -> DataFrame:
     """Value of the following row."""
     return neighbours(df, id_col, order, after={out: col}, group_limit=group_limit)
@@ -123,7 +123,7 @@ def fdr_bh(df: DataFrame, p_col: str, family: Sequence[str] = (), tie: Sequence[
            group_limit: int | None = GROUP_LIMIT) -> DataFrame:
     """Benjamini-Hochberg adjusted p values within a family; null p values stay null and do not count."""
     p = F.col(p_col)
-    order = [p.asc_nulls_last(), *[F.col(c).asc_nulls_last() for c in tie]]
+    order = [p_col, *tie]
     ranked = ordered_scan(df, family, order, {"_rank": running_sum(p.isNotNull().cast("bigint"))}, group_limit)
     if family:
         sizes = df.groupBy(*[F.col(k).alias(f"_g_{k}") for k in family]).agg(F.count(p).alias("_m"))

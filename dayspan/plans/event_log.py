@@ -50,7 +50,7 @@ def build_event_log(wide: DataFrame, id_col: str, specs: Sequence[SlotSpec], pan
             )
         )
     log = append_rows(frames)
-    order = [F.col("date").asc_nulls_last(), F.col("_type_rank"), *[F.col(c) for c in tie], F.col("_slot")]
+    order = ["date", "_type_rank", *tie, "_slot"]
     scans = {"visit_number": running_count()}
     for rank, spec in enumerate(specs):
         scans[spec.number_col] = running_sum((F.col("_type_rank") == rank).cast("bigint"))
@@ -67,14 +67,13 @@ def categorize_visits(df: DataFrame, id_col: str, date_col: str = "date", type_c
                       tie: Sequence[str] = (), out: str = "visit_category",
                       group_limit: int | None = GROUP_LIMIT) -> DataFrame:
     """Category of an encounter from its neighbours in (date, type, tie) order; the first rule that holds decides."""
-    order = [F.col(c).asc_nulls_last() for c in (date_col, type_col, *tie)]
     scans = {
         "_type_before": previous(F.col(type_col)),
         "_date_before": previous(F.col(date_col)),
         "_type_after": following(F.col(type_col)),
         "_date_after": following(F.col(date_col)),
     }
-    seen = ordered_scan(df, [id_col], order, scans, group_limit)
+    seen = ordered_scan(df, [id_col], [date_col, type_col, *tie], scans, group_limit)
     is_ed, is_hospital = F.col(type_col) == ED, F.col(type_col) == HOSPITAL
     ed_before, hospital_after = F.col("_type_before") == ED, F.col("_type_after") == HOSPITAL
     gap_before = F.datediff(date_col, "_date_before")

@@ -46,18 +46,20 @@ def label_windows(panel: DataFrame, events: DataFrame, id_col: str = "record_id"
     )
     joined = fill_nulls(joined, flags, 0).withColumn("_day", F.unix_date(date_col))
 
-    rows = Window.partitionBy(id_col).orderBy("_day", F.col(category_col).asc_nulls_last())
-    calendar = Window.partitionBy(id_col).orderBy("_day")
-    gap = F.lead("_day").over(rows) - F.col("_day")
+    # Everything looks ahead, so the rows are sorted from the last day to the first: "next" is the
+    # row before, and all frames are open towards the start, which Spark extends instead of recomputing.
+    rows = Window.partitionBy(id_col).orderBy(F.col("_day").desc(), F.col(category_col).desc_nulls_first())
+    calendar = Window.partitionBy(id_col).orderBy(F.col("_day").desc())
+    gap = F.lag("_day").over(rows) - F.col("_day")
     ends = joined.withColumn("_end", F.when(gap.isNull() | (gap != 1), F.col("_day")))
     ends = ends.withColumn(
-        "_end", F.first("_end", ignorenulls=True).over(rows.rowsBetween(0, Window.unboundedFollowing))
+        "_end", F.last("_end", ignorenulls=True).over(rows.rowsBetween(Window.unboundedPreceding, 0))
     )
-    ahead = F.sum(event_flag).over(calendar.rangeBetween(0, horizon - 1))
+    ahead = F.sum(event_flag).over(calendar.rangeBetween(-(horizon - 1), 0))
     labelled = ends.withColumn(label, (ahead >= 1).cast("int"))
     labelled = labelled.withColumn("_left", F.col("_end") - F.col("_day") + 1)
     labelled = label_with_unknowns(labelled, label, "_left", horizon, unknowns)
-    return labelled.withColumn(excluded, F.lead(unknowns).over(rows)).drop("_day", "_end", "_left")
+    return labelled.withColumn(excluded, F.lag(unknowns).over(rows)).drop("_day", "_end", "_left")
 
 
 def label_with_unknowns(df: DataFrame, label: str, days_left: str, horizon: int, out: str) -> DataFrame:

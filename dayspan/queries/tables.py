@@ -581,7 +581,7 @@ def q_permutation(spark, sf_dir):
 @query("number_events", """SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS visit_number FROM orders""")
 def q_number(spark, sf_dir):
     orders = fr.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    order = [F.col("o_orderdate").asc_nulls_last(), F.col("o_orderkey").asc()]
+    order = ["o_orderdate", "o_orderkey"]
     return number_rows(orders, "o_custkey", order, "visit_number").drop("o_orderdate")
 
 
@@ -589,7 +589,7 @@ def q_number(spark, sf_dir):
 def q_number_blocks(spark, sf_dir):
     """Three keys hold all rows: numbered through range-sorted blocks."""
     orders = fr.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate")
-    order = [F.col("o_orderdate").asc_nulls_last(), F.col("o_orderkey").asc()]
+    order = ["o_orderdate", "o_orderkey"]
     return number_rows(orders, "o_orderstatus", order, "visit_number", group_limit=0).drop("o_orderdate")
 
 
@@ -615,7 +615,7 @@ def order_neighbours(spark, sf_dir, key, limit):
     orders = fr.table(spark, sf_dir, "orders").withColumn("day", F.col("o_orderdate").cast("date"))
     orders = orders.select("o_orderkey", key, "day", "o_orderpriority")
     seen = neighbours(
-        orders, key, [F.col("day").asc_nulls_last(), F.col("o_orderkey").asc()],
+        orders, key, ["day", "o_orderkey"],
         before={"previous_type": "o_orderpriority", "previous_day": "day"}, after={"next_type": "o_orderpriority"},
         group_limit=limit,
     )
@@ -665,24 +665,23 @@ def sparse_values(spark, sf_dir, key):
     )
 
 
-def by_time():
-    return [F.col("ts").asc_nulls_last(), F.col("event_id").asc()]
+BY_TIME = ["ts", "event_id"]
 
 
 @query("fill_up", FILL_SQL.format(f="first_value", key="user_id", a="CURRENT ROW AND UNBOUNDED FOLLOWING"))
 def q_fill_up(spark, sf_dir):
-    return fill_up(sparse_values(spark, sf_dir, "user_id"), ["user_id"], by_time(), ["value"]).select("event_id", "value")
+    return fill_up(sparse_values(spark, sf_dir, "user_id"), ["user_id"], BY_TIME, ["value"]).select("event_id", "value")
 
 
 @query("fill_down", FILL_SQL.format(f="last_value", key="user_id", a="UNBOUNDED PRECEDING AND CURRENT ROW"))
 def q_fill_down(spark, sf_dir):
-    return fill_down(sparse_values(spark, sf_dir, "user_id"), ["user_id"], by_time(), ["value"]).select("event_id", "value")
+    return fill_down(sparse_values(spark, sf_dir, "user_id"), ["user_id"], BY_TIME, ["value"]).select("event_id", "value")
 
 
 @query("fill_down_in_blocks", FILL_SQL.format(f="last_value", key="event_type", a="UNBOUNDED PRECEDING AND CURRENT ROW"))
 def q_fill_down_blocks(spark, sf_dir):
     rows = sparse_values(spark, sf_dir, "event_type")
-    return fill_down(rows, ["event_type"], by_time(), ["value"], group_limit=0).select("event_id", "value")
+    return fill_down(rows, ["event_type"], BY_TIME, ["value"], group_limit=0).select("event_id", "value")
 
 
 WITHIN_SQL = """WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, sum(CASE WHEN event_type = 'error' AND value > 100 THEN 1 ELSE 0 END) AS n FROM events GROUP BY 1, 2),
@@ -720,7 +719,7 @@ def q_unknowns(spark, sf_dir):
 @query("next_value", "SELECT event_id, lead(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_value FROM events")
 def q_next(spark, sf_dir):
     events = fr.table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
-    return next_value(events, "user_id", by_time(), "value", "next_value").select("event_id", "next_value")
+    return next_value(events, "user_id", BY_TIME, "value", "next_value").select("event_id", "next_value")
 
 
 BH_SQL = """WITH p AS (SELECT o_orderkey, o_orderpriority, CASE WHEN o_orderkey % 13 <> 0 THEN o_totalprice / 600000 END AS p FROM orders),
