@@ -129,6 +129,8 @@ class PreparedModels:
             )
             .select("_id", *keys, "_row.*")
         )
+        # Written once, narrow: the plan behind df may be long and the rows are read several times.
+        rows = stage(rows, "rows")
         measured = [*self.x_names, "y"]
         if self.with_neighbours:
             scans = {
@@ -144,18 +146,19 @@ class PreparedModels:
             )
         else:
             rows = rows.select("m", "_id", *measured)
+        # A pass sends about one row per cluster and partition through its shuffle, so the rows of a
+        # cluster should lie together. The scan above leaves them so; else ranges do, which still
+        # divide a cluster that is too large for one partition.
         values = [c for c in rows.columns if c not in ("m", "_id")]
+        if not self.with_neighbours:
+            rows = rows.repartitionByRange("m", "_id", *values)
         if all(name in self.levels for s in self.specs for name in s.main_effects):
             # Only factors: equal rows of a cluster are kept once with their number.
-            rows = rows.groupBy("m", "_id", *values).agg(F.count(F.lit(1)).cast("double").alias("w"))
-        else:
-            rows = rows.withColumn("w", F.lit(1.0))
-        # Ranges keep a cluster in one place, so a pass sends about one row per cluster through
-        # its shuffle, and still divide a cluster that is too large for one partition.
-        return rows.repartitionByRange("m", "_id", *values)
+            return rows.groupBy("m", "_id", *values).agg(F.count(F.lit(1)).cast("double").alias("w"))
+        return rows.withColumn("w", F.lit(1.0))
 
     def fit(self, corr: str, models: Sequence[int] | None = None, max_passes: int = 60,
-            tolerance: float = 1e-8) -> dict[int, Fit]:
+            tolerance: float = 1e-10) -> dict[int, Fit]:
         """Fit the models under one working correlation; a model leaves the passes when it has converged."""
         if corr == AR1 and not self.with_neighbours:
             raise ValueError("AR(1) needs rows prepared with neighbours")

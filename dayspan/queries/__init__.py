@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("cohort", "tables")
+MODULES = ("cohort", "tables", "values", "files", "models")
 
 
 def load_all() -> None:
