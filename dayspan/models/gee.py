@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -333,7 +334,9 @@ def gee_select(df: DataFrame, specs: Sequence[ModelSpec], id_col: str, order: Se
     refitted with independence.
     """
     prepared = PreparedModels(df, specs, id_col, order, levels, True, group_limit)
-    exchangeable, ar1 = prepared.fit(EXCHANGEABLE), prepared.fit(AR1)
+    # The two structures only share the data, so their jobs are submitted side by side.
+    with ThreadPoolExecutor(2) as pool:
+        exchangeable, ar1 = pool.map(prepared.fit, (EXCHANGEABLE, AR1))
     chosen: dict[int, Fit] = {}
     refit = []
     for m, first in exchangeable.items():
