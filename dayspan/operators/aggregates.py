@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dayspan.operators.reshape import append_rows
+from dayspan.functions.levels import with_levels
 
 
 def freq(df: DataFrame, keys: Sequence[str], out: str = "n") -> DataFrame:
@@ -57,94 +57,82 @@ def collapse_events(df: DataFrame, keys: Sequence[str], text_col: str, order: Se
     )
 
 
-def _strata(df: DataFrame, variable_keys: list[str], by: str | None, add_overall: bool):
-    if by is None:
-        return df.withColumn("_by", F.lit("Overall")).groupBy(*variable_keys, "_by")
-    labelled = df.withColumnRenamed(by, "_by")
-    if not add_overall:
-        return labelled.groupBy(*variable_keys, "_by")
-    keys = [F.col(k) for k in variable_keys]
-    return labelled.groupingSets([[*keys, F.col("_by")], keys], *keys, F.col("_by"))
-
-
-def _stratum(by: str | None, add_overall: bool) -> Column:
-    if by is None or not add_overall:
-        return F.col("_by")
-    return F.when(F.col("_grouping") == 1, "Overall").otherwise(F.col("_by"))
-
-
-def summarize_continuous(df: DataFrame, cols: Sequence[str], by: str | None = None,
-                         add_overall: bool = False) -> DataFrame:
-    """Count, missing count, mean, sample sd, minimum and maximum per variable and stratum, in one pass."""
-    kept = [by] if by else []
-    long = df.select(*kept, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
-        kept, list(cols), "variable", "value"
-    )
-    aggregates = [
-        F.count("value").alias("n"),
-        F.count_if(F.col("value").isNull()).alias("n_missing"),
+def summarize_columns(df: DataFrame, continuous: Sequence[str] = (), categorical: Mapping[str, Sequence[str]] | None = None,
+                      by: str | None = None, add_overall: bool = False, missing: bool = True) -> DataFrame:
+    """Summary of continuous and categorical columns in one pass over the data.
+
+    A continuous variable gives one row per stratum: known and missing count, mean,
+    sample sd, minimum, maximum. A categorical one gives one row per level and stratum,
+    in level order and with empty levels: count and percentage of the known values.
+    Its missing values (and values that are no level) form a row "Unknown" unless
+    ``missing`` is false or there are none. ``by`` names the strata; ``add_overall``
+    adds the stratum "Overall" through grouping sets.
+    """
+    categorical = categorical or {}
+    text, number = F.lit(None).cast("string"), F.lit(None).cast("double")
+    entries = [
+        F.struct(F.lit(c).alias("variable"), text.alias("level"), F.col(c).cast("double").alias("value"))
+        for c in continuous
+    ] + [
+        F.struct(F.lit(c).alias("variable"), with_levels(F.col(c).cast("string"), lv).alias("level"), number.alias("value"))
+        for c, lv in categorical.items()
+    ]
+    stratum = F.col(by) if by else F.lit("Overall")
+    long = df.select(stratum.alias("_by"), F.inline(F.array(*entries)))
+    keys = [F.col("variable"), F.col("level"), F.col("_by")]
+    grouped = long.groupingSets([keys, keys[:2]], *keys) if by and add_overall else long.groupBy(*keys)
+    shown_stratum = F.when(F.grouping("_by") == 1, "Overall").otherwise(F.col("_by")) if by and add_overall else None
+    counted = grouped.agg(
+        *([shown_stratum.alias("stratum")] if shown_stratum is not None else []),
+        F.count(F.lit(1)).alias("rows"),
+        F.count("value").alias("known"),
         F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("sd"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
-    ]
-    if by and add_overall:
-        aggregates.append(F.grouping("_by").alias("_grouping"))
-    grouped = _strata(long, ["variable"], by, add_overall).agg(*aggregates)
-    return grouped.select(
-        "variable", _stratum(by, add_overall).alias("stratum"), "n", "n_missing", "mean", "sd", "min", "max"
     )
+    if shown_stratum is None:
+        counted = counted.withColumnRenamed("_by", "stratum")
 
-
-def summarize_categorical(df: DataFrame, levels: Mapping[str, Sequence[str]], by: str | None = None,
-                          add_overall: bool = False, missing: bool = True) -> DataFrame:
-    """Count and percentage of the known values per level, in level order and with empty levels.
-
-    Missing values (and values that are no level) form a row "Unknown" per variable
-    and stratum unless ``missing`` is false or there are none.
-    """
-    spark = df.sparkSession
-    kept = [by] if by else []
-    shown = [
-        F.when(F.col(c).cast("string").isin(*lv), F.col(c).cast("string")).alias(c) for c, lv in levels.items()
-    ]
-    long = df.select(*kept, *shown).unpivot(kept, list(levels), "variable", "level")
-    aggregates = [F.count(F.lit(1)).alias("n")]
-    if by and add_overall:
-        aggregates.append(F.grouping("_by").alias("_grouping"))
-    counted = _strata(long, ["variable", "level"], by, add_overall).agg(*aggregates)
-    counted = counted.select("variable", "level", _stratum(by, add_overall).alias("stratum"), "n")
-
-    # One row per variable and stratum with its counts by level (a map no longer than the level
-    # list), laid out over the level list: zero cells appear and the data is read once.
-    level, n = F.col("level"), F.col("n")
+    # One row per variable and stratum, with the counts by level as a map no longer than the level
+    # list; laid out over the level list, zero cells appear and the data is read only once.
+    level, rows = F.col("level"), F.col("rows")
     cells = counted.groupBy("variable", "stratum").agg(
-        F.map_from_entries(F.collect_list(F.when(level.isNotNull(), F.struct(level, n)))).alias("_counts"),
-        F.sum(F.when(level.isNotNull(), n)).alias("_known"),
-        F.sum(F.when(level.isNull(), n)).alias("_unknown"),
+        F.map_from_entries(F.collect_list(F.when(level.isNotNull(), F.struct(level, rows)))).alias("_counts"),
+        F.sum(F.when(level.isNotNull(), rows)).alias("_in_levels"),
+        F.sum(F.when(level.isNull(), rows)).alias("_outside"),
+        *[F.max(c).alias(c) for c in ("known", "mean", "sd", "min", "max")],
     )
-    rows = [(c, v, i, False) for c, lv in levels.items() for i, v in enumerate(lv, start=1)]
+    layout = [(c, "number", None, None) for c in continuous]
+    layout += [(c, "level", v, i) for c, lv in categorical.items() for i, v in enumerate(lv, start=1)]
     if missing:
-        rows += [(c, "Unknown", len(lv) + 1, True) for c, lv in levels.items()]
-    frame = spark.createDataFrame(rows, "variable string, level string, level_number bigint, _is_unknown boolean")
-    is_unknown = F.col("_is_unknown")
-    shown_n = F.when(is_unknown, F.col("_unknown")).otherwise(F.coalesce(F.element_at("_counts", level), F.lit(0)))
-    laid_out = cells.join(frame, "variable").filter(~is_unknown | F.col("_unknown").isNotNull())
+        layout += [(c, "unknown", "Unknown", len(lv) + 1) for c, lv in categorical.items()]
+    frame = df.sparkSession.createDataFrame(layout, "variable string, _kind string, level string, level_number bigint")
+    kind = F.col("_kind")
+    is_number, is_level = kind == "number", kind == "level"
+    in_level = F.coalesce(F.element_at("_counts", level), F.lit(0))
+    laid_out = cells.join(frame, "variable").filter((kind != "unknown") | F.col("_outside").isNotNull())
     return laid_out.select(
-        "variable", "level", "level_number", "stratum", shown_n.alias("n"),
-        F.when(~is_unknown & (F.col("_known") > 0), shown_n / F.col("_known") * 100).alias("percent"),
+        "variable", "stratum",
+        F.when(is_number, F.col("known")).when(is_level, in_level).otherwise(F.col("_outside")).alias("n"),
+        F.when(is_number, F.col("_outside") - F.col("known")).alias("n_missing"),
+        *[F.when(is_number, F.col(c)).alias(c) for c in ("mean", "sd", "min", "max")],
+        "level", "level_number",
+        F.when(is_level & (F.col("_in_levels") > 0), in_level / F.col("_in_levels") * 100).alias("percent"),
     )
 
 
-def summarize_columns(df: DataFrame, continuous: Sequence[str] = (), categorical: Mapping[str, Sequence[str]] | None = None,
-                      by: str | None = None, add_overall: bool = False, missing: bool = True) -> DataFrame:
-    """Continuous and categorical summaries in one long frame."""
-    parts = []
-    if continuous:
-        parts.append(summarize_continuous(df, continuous, by, add_overall))
-    if categorical:
-        parts.append(summarize_categorical(df, categorical, by, add_overall, missing))
-    return append_rows(parts)
+def summarize_continuous(df: DataFrame, cols: Sequence[str], by: str | None = None,
+                         add_overall: bool = False) -> DataFrame:
+    """Continuous part of ``summarize_columns``."""
+    return summarize_columns(df, cols, None, by, add_overall).drop("level", "level_number", "percent")
+
+
+def summarize_categorical(df: DataFrame, levels: Mapping[str, Sequence[str]], by: str | None = None,
+                          add_overall: bool = False, missing: bool = True) -> DataFrame:
+    """Categorical part of ``summarize_columns``."""
+    summary = summarize_columns(df, (), levels, by, add_overall, missing)
+    return summary.select("variable", "level", "level_number", "stratum", "n", "percent")
 
 
 def level_counts(df: DataFrame, col: str, levels: Sequence[str]) -> DataFrame:

@@ -81,7 +81,7 @@ def q_subset_exclude(spark, sf_dir):
     return subset_ids(orders, "id", ids, include=False)
 
 
-@query("columns_by_pattern", "SELECT l_orderkey, l_linenumber, l_discount, l_tax, l_shipdate::VARCHAR AS l_shipdate FROM lineitem")
+@query("columns_by_pattern", "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_discount, l_tax, l_shipdate::VARCHAR AS l_shipdate FROM lineitem")
 def q_cols_like(spark, sf_dir):
     lines = fr.table(spark, sf_dir, "lineitem")
     picked = cols_like(lines, ends="KEY", contains="order") + cols_like(lines, contains="number")
@@ -95,7 +95,7 @@ def q_rename(spark, sf_dir):
     return rename_by_mapping(fr.table(spark, sf_dir, "orders").select(*names), names)
 
 
-@query("rename_by_mapping_table", """SELECT p_partkey, p_size AS size, p_type AS type FROM part""")
+@query("rename_by_mapping_table", """SELECT p_partkey, CAST(p_size AS BIGINT) AS size, p_type AS type FROM part""")
 def q_rename_table(spark, sf_dir):
     """The mapping is itself a table with one row per item name; it is read for the present columns only."""
     part = fr.table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_type")
@@ -106,7 +106,7 @@ def q_rename_table(spark, sf_dir):
     return rename_by_mapping(part, mapping_from_frame(mapping, part.columns))
 
 
-@query("across_columns", """SELECT l_orderkey, l_linenumber, round(l_quantity * 2, 6) AS l_quantity_doubled,
+@query("across_columns", """SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, round(l_quantity * 2, 6) AS l_quantity_doubled,
   round(l_tax * 2, 6) AS l_tax_doubled FROM lineitem""")
 def q_across(spark, sf_dir):
     lines = fr.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_tax")
@@ -298,8 +298,8 @@ def q_slots(spark, sf_dir):
     return slots_to_long(wide_slots(spark, sf_dir), ["record_id"], "hosp(.)_(.*)")
 
 
-@query("melt_ratings", """SELECT l_orderkey, l_linenumber, 'Discount' AS symptom, l_discount AS highest_rating FROM lineitem
-UNION ALL SELECT l_orderkey, l_linenumber, 'Sales tax', l_tax FROM lineitem""")
+@query("melt_ratings", """SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, 'Discount' AS symptom, l_discount AS highest_rating FROM lineitem
+UNION ALL SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, 'Sales tax', l_tax FROM lineitem""")
 def q_melt(spark, sf_dir):
     lines = fr.table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", F.col("l_discount").alias("discount_highest_rating"),
@@ -753,7 +753,7 @@ def q_sorted(spark, sf_dir):
     )
 
 
-@query("months_between_tables", """SELECT l_orderkey, l_linenumber, CAST(CAST(l_shipdate AS DATE) - CAST(o_orderdate AS DATE) AS BIGINT) AS days_since,
+@query("months_between_tables", """SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, CAST(CAST(l_shipdate AS DATE) - CAST(o_orderdate AS DATE) AS BIGINT) AS days_since,
   CAST(12 * (year(l_shipdate) - year(o_orderdate)) + (month(l_shipdate) - month(o_orderdate))
     - CASE WHEN day(l_shipdate) < day(o_orderdate) THEN 1 ELSE 0 END AS BIGINT) AS months_since
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")

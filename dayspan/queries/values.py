@@ -85,7 +85,7 @@ def q_known(spark, sf_dir):
     return rows.select("o_orderkey", count_known(["a", "b"]).alias("known"))
 
 
-LINE_RATINGS = """(SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity < 40 THEN l_quantity % 5 END AS pain_sev,
+LINE_RATINGS = """(SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, CASE WHEN l_quantity < 40 THEN l_quantity % 5 END AS pain_sev,
   CASE WHEN l_discount > 0.03 THEN l_linenumber % 5 END AS pain_freq,
   CASE WHEN l_tax > 0.02 THEN CAST(l_orderkey % 5 AS DOUBLE) END AS pain_abdomen_sev FROM lineitem)"""
 
@@ -102,19 +102,19 @@ def line_ratings(spark, sf_dir):
 RATING_COLUMNS = ["pain_sev", "pain_freq", "pain_abdomen_sev"]
 
 
-@query("row_max_by_stem", f"SELECT l_orderkey, l_linenumber, greatest(pain_sev, pain_freq) AS pain, pain_abdomen_sev AS pain_abdomen FROM {LINE_RATINGS}")
+@query("row_max_by_stem", f"SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, greatest(pain_sev, pain_freq) AS pain, pain_abdomen_sev AS pain_abdomen FROM {LINE_RATINGS}")
 def q_row_max(spark, sf_dir):
     best = row_max_by_stem(RATING_COLUMNS)
     return line_ratings(spark, sf_dir).select("l_orderkey", "l_linenumber", *[c.alias(s) for s, c in best.items()])
 
 
-@query("row_max_by_stem_substring", f"SELECT l_orderkey, l_linenumber, greatest(pain_sev, pain_freq, pain_abdomen_sev) AS pain, pain_abdomen_sev AS pain_abdomen FROM {LINE_RATINGS}")
+@query("row_max_by_stem_substring", f"SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, greatest(pain_sev, pain_freq, pain_abdomen_sev) AS pain, pain_abdomen_sev AS pain_abdomen FROM {LINE_RATINGS}")
 def q_row_max_substring(spark, sf_dir):
     best = row_max_by_stem(RATING_COLUMNS, match="substring")
     return line_ratings(spark, sf_dir).select("l_orderkey", "l_linenumber", *[c.alias(s) for s, c in best.items()])
 
 
-@query("severe_flag", f"""SELECT l_orderkey, l_linenumber, CAST(CASE WHEN pain_sev IN (2, 3, 4) THEN 1 ELSE 0 END AS BIGINT) AS flag FROM {LINE_RATINGS}""")
+@query("severe_flag", f"""SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, CAST(CASE WHEN pain_sev IN (2, 3, 4) THEN 1 ELSE 0 END AS BIGINT) AS flag FROM {LINE_RATINGS}""")
 def q_severe(spark, sf_dir):
     return line_ratings(spark, sf_dir).select("l_orderkey", "l_linenumber", severe_flag(F.col("pain_sev")).alias("flag"))
 
@@ -124,7 +124,7 @@ def q_yes_no(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", yes_no(F.col("o_orderkey") % 3).alias("answer"))
 
 
-@query("count_selected", f"""SELECT l_orderkey, l_linenumber, CAST((CASE WHEN pain_sev IN (2, 3, 4) THEN 1 ELSE 0 END)
+@query("count_selected", f"""SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, CAST((CASE WHEN pain_sev IN (2, 3, 4) THEN 1 ELSE 0 END)
   + CASE WHEN pain_abdomen_sev IS NOT NULL THEN CASE WHEN pain_abdomen_sev IN (2, 3, 4) THEN 1 ELSE 0 END END AS BIGINT) AS number_of_flags FROM {LINE_RATINGS}""")
 def q_count_selected(spark, sf_dir):
     flags = line_ratings(spark, sf_dir).select(
@@ -137,7 +137,7 @@ def q_count_selected(spark, sf_dir):
     return count_selected(flags, chosen, ["a", "b", "c"], "number_of_flags").drop("a", "b", "c")
 
 
-@query("bin_with_open_top", """SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber >= 4 THEN '4+' ELSE CAST(l_linenumber AS VARCHAR) END AS binned,
+@query("bin_with_open_top", """SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, CASE WHEN l_linenumber >= 4 THEN '4+' ELSE CAST(l_linenumber AS VARCHAR) END AS binned,
   CASE WHEN l_quantity >= 30 THEN 'Unknown' WHEN l_quantity >= 5 THEN '5+' ELSE CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) END AS named FROM lineitem""")
 def q_bin(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select(
@@ -146,7 +146,7 @@ def q_bin(spark, sf_dir):
     )
 
 
-@query("rating_text", f"""SELECT l_orderkey, l_linenumber, CASE WHEN pain_sev IS NULL THEN 'Unknown' WHEN pain_sev IN (-1, 0) THEN 'Not endorsed or 0'
+@query("rating_text", f"""SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, CASE WHEN pain_sev IS NULL THEN 'Unknown' WHEN pain_sev IN (-1, 0) THEN 'Not endorsed or 0'
   ELSE CAST(CAST(pain_sev AS BIGINT) AS VARCHAR) END AS rating FROM {LINE_RATINGS}""")
 def q_rating_text(spark, sf_dir):
     return line_ratings(spark, sf_dir).select("l_orderkey", "l_linenumber", rating_text(F.col("pain_sev")).alias("rating"))
@@ -169,7 +169,7 @@ def q_decision(spark, sf_dir):
     return fr.encounters(spark, sf_dir).select("event_id", decision_flag(F.col("include_yes_no")).alias("include"))
 
 
-@query("days_between", "SELECT l_orderkey, l_linenumber, CAST(CAST(l_shipdate AS DATE) - DATE '1998-01-15' AS BIGINT) AS days FROM lineitem")
+@query("days_between", "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, CAST(CAST(l_shipdate AS DATE) - DATE '1998-01-15' AS BIGINT) AS days FROM lineitem")
 def q_days(spark, sf_dir):
     start = F.lit("1998-01-15").cast("date")
     return table(spark, sf_dir, "lineitem").select(
