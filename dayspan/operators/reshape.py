@@ -47,9 +47,12 @@ def slots_to_long(df: DataFrame, id_cols: Sequence[str], pattern: str, slot_col:
 def melt_ratings(df: DataFrame, id_cols: Sequence[str], value_cols: Sequence[str],
                  name_col: str = "symptom", value_col: str = "highest_rating",
                  label: Callable[[Column], Column] = rating_label) -> DataFrame:
-    """One row per rating column with a readable name."""
-    long = df.unpivot(list(id_cols), list(value_cols), name_col, value_col)
-    return long.withColumn(name_col, label(F.col(name_col)))
+    """One row per rating column with a readable name.
+
+    The names are constants, so their labels are made once by the optimizer and not per row.
+    """
+    entries = [F.struct(label(F.lit(c)).alias(name_col), F.col(c).alias(value_col)) for c in value_cols]
+    return df.select(*id_cols, F.inline(F.array(*entries)))
 
 
 def pivot_counts(df: DataFrame, keys: Sequence[str], names_from: str, values_from: str,
