@@ -8,10 +8,31 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from dayspan.functions.labels import rating_label
 
 
+def find_slots(df: DataFrame, id_cols: Sequence[str], pattern: str) -> tuple[dict[str, dict[str, str]], dict[str, DataType]]:
+    """(column per slot and field, type per field) of the columns that match ``pattern``."""
+    slots: dict[str, dict[str, str]] = {}
+    types: dict[str, DataType] = {}
+    for column in df.schema.fields:
+        found = re.fullmatch(pattern, column.name)
+        if found and column.name not in id_cols:
+            slot, field = found.groups()
+            slots.setdefault(slot, {})[field] = column.name
+            types[field] = column.dataType
+    if not slots:
+        raise ValueError(f"no column matches {pattern}")
+    return slots, types
+
+
+def slot_values(members: dict[str, str], types: dict[str, DataType]) -> list[Column]:
+    """One value per field; null where the slot has no such column."""
+    return [(F.col(members[f]) if f in members else F.lit(None)).cast(t).alias(f) for f, t in types.items()]
+
+
 def slots_to_long(df: DataFrame, id_cols: Sequence[str], pattern: str, slot_col: str = "slot",
                   drop_all_null: bool = True) -> DataFrame:
     """Turn numbered slots of columns into rows.
@@ -19,28 +40,11 @@ def slots_to_long(df: DataFrame, id_cols: Sequence[str], pattern: str, slot_col:
     ``pattern`` has two groups, the slot and the field, e.g. ``"hosp(.)_(.*)"``.
     Every field becomes one column; a slot that lacks a field gets null there.
     """
-    slots: dict[str, dict[str, str]] = {}
-    fields: dict[str, None] = {}
-    for name in df.columns:
-        found = re.fullmatch(pattern, name)
-        if found and name not in id_cols:
-            slot, field = found.groups()
-            slots.setdefault(slot, {})[field] = name
-            fields[field] = None
-    if not slots:
-        raise ValueError(f"no column matches {pattern}")
-    types = {f.name: f.dataType for f in df.schema.fields}
-    field_type = {field: types[name] for members in slots.values() for field, name in members.items()}
-
-    def as_struct(slot: str, members: dict[str, str]) -> Column:
-        values = [
-            (F.col(members[f]) if f in members else F.lit(None)).cast(field_type[f]).alias(f) for f in fields
-        ]
-        return F.struct(F.lit(slot).alias(slot_col), *values)
-
-    long = df.select(*id_cols, F.inline(F.array(*[as_struct(s, m) for s, m in slots.items()])))
+    slots, types = find_slots(df, id_cols, pattern)
+    entries = [F.struct(F.lit(s).alias(slot_col), *slot_values(m, types)) for s, m in slots.items()]
+    long = df.select(*id_cols, F.inline(F.array(*entries)))
     if drop_all_null:
-        long = long.filter(reduce(lambda a, b: a | b, [F.col(f).isNotNull() for f in fields]))
+        long = long.filter(F.coalesce(*[F.col(f).cast("string") for f in types]).isNotNull())
     return long
 
 

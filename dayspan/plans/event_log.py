@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from dayspan.operators.aggregates import collapse_events
 from dayspan.operators.ordered import GROUP_LIMIT, following, ordered_scan, previous, running_count, running_sum
-from dayspan.operators.reshape import append_rows, slots_to_long
+from dayspan.operators.reshape import find_slots, slot_values
 from dayspan.operators.select import decision_split, null_if
 
 # Encounter types and merged categories.
@@ -30,7 +32,6 @@ class SlotSpec:
     date_field: str
     event_type: str
     number_col: str
-    extra: dict[str, str] = field(default_factory=dict)
 
 
 def build_event_log(wide: DataFrame, id_col: str, specs: Sequence[SlotSpec], panel: DataFrame | None = None,
@@ -41,15 +42,23 @@ def build_event_log(wide: DataFrame, id_col: str, specs: Sequence[SlotSpec], pan
     and slot. The overall number and the numbers per type come from one sorted pass,
     because a type's order is the overall order restricted to that type.
     """
-    frames = []
-    for rank, spec in enumerate(specs):
-        long = slots_to_long(wide, [id_col, *tie], spec.pattern, "_slot")
-        frames.append(
-            long.withColumns(
-                {"date": F.col(spec.date_field), "visit_type": F.lit(spec.event_type), "_type_rank": F.lit(rank)}
+    found = [find_slots(wide, [id_col, *tie], spec.pattern) for spec in specs]
+    types: dict[str, DataType] = {}
+    for _, fields in found:
+        types = {**fields, **types}
+    # All slots of all types leave the wide row in one step, so it is read once.
+    entries = []
+    for rank, (spec, (slots, fields)) in enumerate(zip(specs, found)):
+        for slot, members in slots.items():
+            known = [F.col(c).isNotNull() for c in members.values()]
+            values = {f: v for f, v in zip(types, slot_values(members, types))}
+            values["date"] = F.col(members[spec.date_field]) if spec.date_field in members else F.lit(None)
+            entry = F.struct(
+                *[v.alias(f) for f, v in values.items() if f != "date"], values["date"].cast("date").alias("date"),
+                F.lit(spec.event_type).alias("visit_type"), F.lit(rank).alias("_type_rank"), F.lit(slot).alias("_slot"),
             )
-        )
-    log = append_rows(frames)
+            entries.append(F.when(reduce(lambda a, b: a | b, known), entry))
+    log = wide.select(id_col, *tie, F.inline(F.array_compact(F.array(*entries))))
     order = ["date", "_type_rank", *tie, "_slot"]
     scans = {"visit_number": running_count()}
     for rank, spec in enumerate(specs):
