@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app_name: str = "dayspan", master: str | None = None,
-                  shuffle_partitions: int | None = None) -> SparkSession:
+def build_session(app_name: str = "dayspan", master: str | None = None, shuffle_partitions: int | None = None,
+                  driver_memory: str | None = None) -> SparkSession:
     """Session with the settings the operators rely on (AQE, UTC, Arrow)."""
     builder = (
         SparkSession.builder.appName(app_name)
@@ -24,6 +24,8 @@ def build_session(app_name: str = "dayspan", master: str | None = None,
         builder = builder.master(master).config("spark.ui.enabled", "false").config(
             "spark.ui.showConsoleProgress", "false"
         )
+    if driver_memory:
+        builder = builder.config("spark.driver.memory", driver_memory)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
