@@ -59,4 +59,14 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """
     path = new_stage_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    staged = df.sparkSession.read.schema(df.schema).parquet(path)
+    staged.stage_path = path
+    return staged
+
+
+def release(*staged: DataFrame) -> None:
+    """Delete the files of staged tables that no later result reads."""
+    for df in staged:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.stage_path)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

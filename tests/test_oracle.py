@@ -30,7 +30,7 @@ def ordered(rows):
     return sorted(rows, key=lambda r: tuple((v is None, str(v)) for v in r))
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.queries()))
+@pytest.mark.parametrize("name", sorted(n for n in entry_points.queries() if not n.startswith(("op", "pipeline"))))
 def test_query_matches_oracle(spark, database, name):
     df = entry_points.queries()[name](spark, SF_DIR)
     columns = sorted(df.columns)
