@@ -3,8 +3,9 @@
 A document's set holds the hashes of its distinct word shingles. Two sets link if their Jaccard similarity is at
 least ``percent`` / 100. Sizes are cut into bands; within a band the similarity bounds the number of differing
 elements by some k. A hash cuts the domain of elements into n1 partitions of N2 parts each, and every choice of
-N2 - K2 parts within one partition gives one signature, the hash of the set's elements in those parts. As soon as
-n1 * (K2 + 1) > k, two linked sets agree on all parts of one choice and share a signature.
+parts within one partition gives one signature, the hash of the set's elements in those parts. As soon as
+n1 * N2 > k, some partition of two linked sets differs in fewer than N2 parts, so they agree on a choice and share
+its signature.
 
 That argument may rest on a choice that is empty in both sets, and signatures of nothing are not emitted. So a set
 counts how many differing elements could empty or spoil all of its choices. If k are enough, it also gives
@@ -32,7 +33,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +43,9 @@ from dayspan.llm.common import (
     NOT_SPACE, bitmap_of, in_bitmap, mix, release, signed, stage, text_slices, window_hashes, words_of,
 )
 
-#: Parts of a partition, and differing parts that a choice leaves out.
-N2, K2 = 2, 1
+#: Parts of a partition. A choice leaves out all but one, so each part of a partition is a choice and its
+#: partition may hold N2 - 1 differing parts. Fewer left out would mean more signatures to shuffle.
+N2 = 2
 #: How much finer the domain is cut for sets that the first cut doesn't cover.
 FINER = 8
 #: Bits of the bitmaps that rule out rows before a shuffle (8 MB, whatever the number of documents).
@@ -52,25 +53,43 @@ BITMAP_BITS = 26
 #: Bounds of a block of a family: documents and elements.
 BLOCK_DOCS, BLOCK_ELEMENTS = 256, 1 << 20
 
-_CHOICES = [list(c) for c in combinations(range(N2), N2 - K2)]
 
+class Sets:
+    """Sets of a run of rows: distinct shingle hashes, ascending within a row, and each row's range of them.
 
-def shingle_sets(batch: pa.RecordBatch, shingle: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, sorted distinct shingle hashes) of every row; fewer words than a shingle are one element."""
-    for first, end, data, offsets in text_slices(batch):
-        words = words_of(data, offsets, NOT_SPACE)
-        for row in range(first, end):
-            own = words.hashes[words.first[row - first] : words.first[row - first + 1]]
-            yield row, np.unique(window_hashes(own, min(shingle, max(len(own), 1))))
-
+    A text of fewer words than a shingle has one element.
+    """
 
-def digest(elements: np.ndarray) -> tuple[int, int]:
-    """Two independent 64-bit hashes of a set."""
-    with np.errstate(over="ignore"):
-        a = mix(elements + np.uint64(0x51ED270B7F8C2D1B)).sum(dtype=np.uint64)
-        b = mix(elements ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64)
-        pair = signed(mix(np.array([a, b], np.uint64) + np.uint64(len(elements))))
-    return int(pair[0]), int(pair[1])
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, shingle: int):
+        words = words_of(data, offsets, NOT_SPACE)
+        low, high = words.first[:-1], words.first[1:]
+        windows = window_hashes(words.hashes, shingle)
+        counts = np.where(high - low >= shingle, high - low - shingle + 1, (high > low).astype(np.int64))
+        bounds = np.concatenate([[0], np.cumsum(counts)])
+        elements = np.zeros(bounds[-1], np.uint64)
+        for i, (a, b, n) in enumerate(zip(low.tolist(), high.tolist(), counts.tolist())):
+            if n:
+                own = elements[bounds[i] : bounds[i + 1]]
+                own[:] = windows[a : a + n] if b - a >= shingle else window_hashes(words.hashes[a:b], b - a)
+                own.sort()
+        fresh = np.ones(len(elements), bool)
+        fresh[1:] = elements[1:] != elements[:-1]
+        fresh[bounds[:-1][counts > 0]] = True
+        self.elements = elements[fresh]
+        self.bounds = np.concatenate([[0], np.cumsum(fresh)])[bounds]
+        self.sizes = np.diff(self.bounds)
+        #: Sums of scrambled elements up to a position: the sum over any run is one subtraction.
+        self.totals = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(self.elements), dtype=np.uint64)])
+
+    def digests(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two independent 64-bit hashes of every set."""
+        other = np.cumsum(self.elements * (self.elements ^ np.uint64(0xA0761D6478BD642F)), dtype=np.uint64)
+        other = np.concatenate([np.zeros(1, np.uint64), other])
+        a, b = (t[self.bounds[1:]] - t[self.bounds[:-1]] for t in (self.totals, other))
+        return signed(a), signed(b)
+
+    def of(self, row: int) -> np.ndarray:
+        return self.elements[self.bounds[row] : self.bounds[row + 1]]
 
 
 @lru_cache(maxsize=64)
@@ -88,94 +107,103 @@ def size_bands(percent: int, upto: int) -> list[tuple[int, int, int]]:
     return bands
 
 
-def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
-    """All signatures of a set, as one of the smaller and as one of the larger sets of a pair."""
-    size = len(elements)
-    out = []
-    for number, (low, high, k) in enumerate(size_bands(percent, 1 << max(size, 1).bit_length())):
-        smaller, larger = low <= size <= high, size > high and -(-size * percent // 100) <= high
-        if k and (smaller or larger):  # k = 0: only equal sets link, and those are one class already
-            for level, n1 in enumerate((-(-(k * 6 // 5 + 3) // (K2 + 1)), FINER * (k + 1))):
-                found, covered = _cut(elements, n1, number * 4 + level, k)
-                out.append(found)
-                if covered:
-                    break
-            else:
-                with np.errstate(over="ignore"):
-                    out.append(mix(elements + np.uint64(number * 4 + 2) * np.uint64(0xD6E8FEB86659FD93)))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
-
-
-def _cut(elements: np.ndarray, n1: int, tag: int, k: int) -> tuple[np.ndarray, bool]:
-    """Signatures under one cut of the domain, and whether k differences can't spoil them all."""
-    with np.errstate(over="ignore"):
-        placed = mix(elements ^ mix(np.array([tag], np.uint64) + np.uint64(0xE7037ED1A0B428DB)))
-        part = ((placed >> np.uint64(32)) * np.uint64(n1 * N2) >> np.uint64(32)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        sorted_parts = part[order]
-        heads = np.flatnonzero(np.diff(sorted_parts, prepend=-1))
-        sums = np.zeros(n1 * N2, np.uint64)
-        sums[sorted_parts[heads]] = np.add.reduceat(placed[order] * np.uint64(0x2545F4914F6CDD1D), heads)
-        filled = np.zeros(n1 * N2, bool)
-        filled[sorted_parts[heads]] = True
-        sums, filled = mix(sums).reshape(n1, N2), filled.reshape(n1, N2)
-        out = []
-        for number, choice in enumerate(_CHOICES):
-            some = filled[:, choice].any(axis=1)
-            names = (np.flatnonzero(some) * len(_CHOICES) + number + (tag << 40)).astype(np.uint64)
-            own = np.where(filled[:, choice], sums[:, choice], np.uint64(0)).sum(axis=1, dtype=np.uint64)[some]
-            out.append(mix(own + mix(names)))
-    return np.concatenate(out), int(np.minimum(filled.sum(axis=1), K2 + 1).sum()) > k
+def signatures(sets: Sets, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, signature) of all sets, each as one of the smaller and as one of the larger sets of a pair."""
+    rows, found = [], []
+    sizes = sets.sizes
+    for number, (low, high, k) in enumerate(size_bands(percent, 1 << int(sizes.max(initial=1)).bit_length())):
+        smaller = (low <= sizes) & (sizes <= high)
+        larger = (sizes > high) & (-(-sizes * percent // 100) <= high)
+        left = np.flatnonzero(smaller | larger) if k else []  # k = 0: only equal sets link, and those are one class
+        for level, n1 in enumerate((-(-(k * 6 // 5 + 3) // N2), FINER * (k + 1))):
+            if len(left):
+                row, value, filled = _cut(sets, left, n1 * N2)
+                rows.append(row)
+                found.append(mix(value + np.uint64((number * 4 + level) * 0x2545F4914F6CDD1D % (1 << 64))))
+                left = left[filled <= k]
+        if len(left):
+            row, at = _spread(sets, left)
+            rows.append(row)
+            found.append(mix(sets.elements[at] + np.uint64((number * 4 + 2) * 0x2545F4914F6CDD1D % (1 << 64))))
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return np.concatenate(rows), np.concatenate(found)
+
+
+def _spread(sets: Sets, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, position) of all elements of the given rows."""
+    lengths = sets.sizes[rows]
+    before = np.cumsum(lengths) - lengths
+    return np.repeat(rows, lengths), np.repeat(sets.bounds[rows] - before, lengths) + np.arange(lengths.sum())
+
+
+def _cut(sets: Sets, rows: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Under one cut of the domain: (row, hash) of each part that isn't empty, and their number for each row.
+
+    Elements are ascending hashes, and equal ranges of the hash are the parts, so each part is one run.
+    """
+    row, at = _spread(sets, rows)
+    part = (sets.elements[at] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+    heads = np.flatnonzero((part[1:] != part[:-1]) | (row[1:] != row[:-1])) + 1
+    heads = np.concatenate([[0], heads])
+    tails = np.concatenate([heads[1:], [len(at)]]) - 1
+    value = mix(sets.totals[at[tails] + 1] - sets.totals[at[heads]]) ^ mix(part[heads] + np.uint64(1))
+    return row[heads], value, np.bincount(np.searchsorted(rows, row[heads]), minlength=len(rows))
+
+
+def _sets(batch: pa.RecordBatch, shingle: int) -> Iterator[tuple[int, int, Sets]]:
+    for first, end, data, offsets in text_slices(batch):
+        yield first, end, Sets(data, offsets, shingle)
 
 
 def _digests(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(len(s), *digest(s)) for _, s in shingle_sets(batch, shingle)]
-            size, a, b = np.array(rows, np.int64).reshape(-1, 3).T
-            yield pa.record_batch({"doc_id": batch.column("doc_id").cast(pa.int64()), "size": pa.array(size), "a": pa.array(a), "b": pa.array(b)})
+            for first, end, sets in _sets(batch, shingle):
+                a, b = sets.digests()
+                ids = batch.column("doc_id").slice(first, end - first)
+                yield pa.record_batch([ids, pa.array(sets.sizes), pa.array(a), pa.array(b)], names=["doc_id", "size", "a", "b"])
 
     return run
 
 
 def _signature_rows(shingle: int, percent: int, wanted=None):
+    """Signatures of every class that a task meets; copies within a task are left out."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = wanted.value if wanted is not None else None
+        seen: set[int] = set()
         for batch in batches:
-            rows, names, held = [], [], 0
-            for _, elements in shingle_sets(batch, shingle):
-                found = signatures(elements, percent)
-                if bitmap is not None:
-                    found = found[in_bitmap(bitmap, found)]
-                if len(found):
-                    rows.append(found)
-                    names.append(np.full(len(found), digest(elements)[0], np.int64))
-                    held += len(found)
-                if held > 100_000:
-                    yield pa.record_batch({"signature": signed(np.concatenate(rows)), "class": np.concatenate(names)})
-                    rows, names, held = [], [], 0
-            if held:
-                yield pa.record_batch({"signature": signed(np.concatenate(rows)), "class": np.concatenate(names)})
+            for _, _, sets in _sets(batch, shingle):
+                rows, found = signatures(sets, percent)
+                names, _ = sets.digests()
+                fresh = np.ones(len(names), bool)
+                for i, name in enumerate(names.tolist()):
+                    fresh[i] = name not in seen
+                    seen.add(name)
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                keep = fresh[rows]
+                if wanted is not None:
+                    keep &= in_bitmap(wanted.value, found)
+                yield pa.record_batch({"signature": signed(found[keep]), "class": names[rows[keep]]})
 
     return run
 
 
 def _elements(shingle: int, wanted):
-    """Sets of the representatives (class, id) whose bit is set."""
+    """Sets of the documents whose id may be that of a representative."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
-            out = []
-            for row, elements in shingle_sets(batch, shingle):
-                a, b = digest(elements)
-                if len(elements) and in_bitmap(wanted.value, np.array([a ^ int(ids[row])], np.int64).view(np.uint64))[0]:
-                    out.append((a, b, int(ids[row]), elements.tobytes()))
-                if len(out) >= 1000:
-                    yield pa.record_batch(list(map(pa.array, zip(*out))), names=["class", "b", "id", "elements"])
-                    out = []
-            if out:
-                yield pa.record_batch(list(map(pa.array, zip(*out))), names=["class", "b", "id", "elements"])
+            ids = batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False)
+            batch = batch.filter(pa.array(in_bitmap(wanted.value, ids.view(np.uint64))))
+            for first, end, sets in _sets(batch, shingle):
+                a, b = sets.digests()
+                contents = pa.array([sets.of(i).tobytes() for i in range(end - first)], pa.binary())
+                yield pa.record_batch(
+                    [pa.array(a), pa.array(b), batch.column("doc_id").slice(first, end - first), contents],
+                    names=["class", "b", "id", "elements"],
+                )
 
     return run
 
@@ -292,8 +320,7 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80) ->
     )
     held = members.select("class").distinct()
     representatives = classes.join(held, classes["a"] == held["class"], "left_semi").where("id is not null")
-    keys = representatives.select(F.col("a").bitwiseXOR(F.col("id")).alias("key"))
-    wanted = spark.sparkContext.broadcast(bitmap_of(keys, "key", BITMAP_BITS))
+    wanted = spark.sparkContext.broadcast(bitmap_of(representatives.select("id"), "id", BITMAP_BITS))
     contents = (
         texts.mapInArrow(_elements(shingle, wanted), "class long, b long, id long, elements binary")
         .join(representatives.select(F.col("a").alias("class"), "b", "id"), ["class", "b", "id"], "left_semi")

@@ -6,7 +6,8 @@ import re
 import numpy as np
 import pytest
 
-from dayspan.llm.partenum import components, jaccard_components, signatures, spanning_links
+from dayspan.llm.common import mix
+from dayspan.llm.partenum import Sets, components, jaccard_components, signatures, spanning_links
 
 
 def brute(rows, percent=80):
@@ -77,17 +78,30 @@ def test_null_and_repeated_ids(spark):
     assert got == sorted(["(None, 36, 4)", "(4, 36, 4)", "(4, 36, 4)", "(None, 2, None)", "(9, 37, 4)"])
 
 
+class Given:
+    """Sets by their elements instead of by texts."""
+
+    def __new__(cls, *sets):
+        out = object.__new__(Sets)
+        out.elements = np.concatenate(sets)
+        out.sizes = np.array([len(s) for s in sets])
+        out.bounds = np.concatenate([[0], np.cumsum(out.sizes)])
+        out.totals = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(out.elements), dtype=np.uint64)])
+        return out
+
+
 @pytest.mark.parametrize("size", [5, 9, 17, 60, 300, 2000])
 def test_linked_sets_share_a_signature(size):
     r = np.random.default_rng(size)
-    for _ in range(60):
-        a = np.unique(r.integers(0, 1 << 63, size, dtype=np.uint64))
+    for _ in range(100):
+        a = np.unique(r.integers(0, 1 << 64, size, dtype=np.uint64))
         drop = r.integers(0, size // 5 + 1)
         add = r.integers(0, size // 5 + 1)
-        b = np.unique(np.concatenate([a[drop:], r.integers(0, 1 << 63, add, dtype=np.uint64)]))
+        b = np.unique(np.concatenate([a[drop:] if r.random() < 0.5 else np.delete(a, r.choice(size, drop, False)), r.integers(0, 1 << 64, add, dtype=np.uint64)]))
         common = len(np.intersect1d(a, b))
         if 100 * common >= 80 * (len(a) + len(b) - common) and not np.array_equal(a, b):
-            assert len(np.intersect1d(signatures(a, 80), signatures(b, 80)))
+            rows, found = signatures(Given(a, b), 80)
+            assert len(np.intersect1d(found[rows == 0], found[rows == 1]))
 
 
 def test_spanning_links():
