@@ -1,14 +1,74 @@
-"""Corpus pipeline: documents to packed training sequences, one operator of ``dayspan.llm`` per stage."""
+"""Corpus pipeline: documents to packed training sequences, one operator of ``dayspan.llm`` per stage.
+
+Every stage works on all rows that the one before it kept. The first four return the columns of documents:
+
+* language ID drops documents whose language can't be told (no letters, or a margin under the operator's bound);
+* line dedup cuts repeated chunks of lines from the texts; a text that holds nothing else goes;
+* the n-gram Jaccard join keeps, of each group of linked documents, the one with the smallest id;
+* benchmark decontamination drops documents in which a window of a benchmark item occurs;
+* best-fit packing gives each remaining document's place in the training sequences.
+
+Rows of equal id: identical ones count as one document for line dedup and as a group for the join, which keeps one.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from dayspan.llm.common import stage
+from dayspan.llm.decontamination import contamination
+from dayspan.llm.language_id import language_scores
+from dayspan.llm.line_chunks import remove_repeated_chunks
+from dayspan.llm.packing import pack_documents
+from dayspan.llm.partenum import jaccard_components
+from dayspan.llm.queries import table, tokenizer_path
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Learns from the labels that the documents carry; a label is never read when its document is judged."""
+    scored = language_scores(docs, docs.select("text", "lang"))
+    return scored.where("not rejected").select(*docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    count = f"_removed_{uuid.uuid4().hex[:8]}"
+    cut = remove_repeated_chunks(docs, count=count)
+    return cut.where((F.col(count) == 0) | F.col("text").rlike(r"[^ \t-\r]")).select(*docs.columns)
+
+
+def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that aren't the smallest id of their component go; so do further rows of the id that stays."""
+    found = jaccard_components(docs.select("doc_id", "text"))
+    gone = found.where("component_id < doc_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti")
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    # Rows of one id are rare: only these are compared with each other.
+    twice = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(twice).select(*docs.columns)
+
+
+def drop_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = contamination(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    dirty = found.where("contaminated").select(F.col("doc_id").alias("_dirty")).distinct()
+    return docs.join(dirty, docs["doc_id"].eqNullSafe(F.col("_dirty")), "left_anti").select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_documents(docs, tokenizer_path(), end_id=2, capacity=1024)
+
 
-STAGES = []
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", dedup_lines),
+    ("ngram_jaccard_join", join_near_copies),
+    ("benchmark_decontamination", drop_benchmark_text),
+    ("best_fit_packing", pack),
+]
 
-#: No stage can be said in SQL as a whole; tests hold each against a plain version.
+#: Compression, rolling boundaries, components and tokens can't be said in SQL; tests hold each stage against a plain version.
 ORACLE_SQL = None
 
 

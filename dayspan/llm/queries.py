@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from dayspan.llm.decontamination import contamination
+from dayspan.llm.language_id import language_scores
+from dayspan.llm.line_chunks import remove_repeated_chunks
 from dayspan.llm.packing import pack_documents
 from dayspan.llm.partenum import jaccard_components
 
@@ -62,6 +65,20 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), span=10)
 
 
+@query("op5_line_chunk_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeated_chunks(docs).withColumn("n_lines", F.size(F.split("text", "\n")))
+
+
+@query("op3_compression_language_id")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    scored = language_scores(docs.withColumn("_held_out", held_out), docs.where(~held_out))
+    return scored.select("doc_id", F.col("_held_out").alias("held_out"), "lang_pred", "score", "rejected")
+
+
 @query("op9_ngram_jaccard_join")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), shingle=5, percent=80)
