@@ -19,7 +19,7 @@ def test_held_out_accuracy(spark):
 
 def test_edges(spark):
     rows = [(1, "der die das und nicht ein " * 40, "de"), (2, "the of and not with a " * 40, "en"), (3, "42 -- !!", None), (4, None, "xx"),
-            (5, "", ""), (6, "the and with of", None), (6, "the and with of", None), (None, "und die der nicht das", None), (7, "the " * 100000, None)]
+            (5, "", ""), (6, "the of and not with a " * 3, None), (6, "the of and not with a " * 3, None), (None, "der die das und nicht ein " * 3, None), (7, "the " * 100000, None)]
     docs = spark.createDataFrame([(*r, 0.5) for r in rows], "doc_id long, text string, lang string, source double")
     got = language_scores(docs, docs).collect()
     assert [r["doc_id"] for r in got] == [r[0] for r in rows]
