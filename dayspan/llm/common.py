@@ -147,10 +147,10 @@ def bitmap_of(keys: DataFrame, key: str, bits: int) -> np.ndarray:
         keys.select(F.shiftright(at, 6).alias("at"), F.expr(f"shiftleft(1L, cast({key} & 63 as int))").alias("bit"))
         .groupBy("at")
         .agg(F.bit_or("bit").alias("bits"))
-        .toPandas()
+        .toArrow()
     )
     out = np.zeros(1 << (bits - 6), np.uint64)
-    out[rows["at"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+    out[rows["at"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
     return out
 
 

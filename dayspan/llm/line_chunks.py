@@ -27,7 +27,7 @@ from dayspan.llm.common import (
     _POWERS, NOT_SPACE, bitmap_of, byte_class, in_bitmap, mix, signed, stage, text_slices, words_of,
 )
 
-BITMAP_BITS = 26
+BITMAP_BITS = 24
 
 _NOT_LINE_END = ~byte_class(b"\n")
 
