@@ -19,10 +19,12 @@ The flow:
 3. signatures are made again, ruled out by a fixed-size bitmap of those of several classes, and joined with them.
    Classes that share a signature form a family under the smallest class, so a family is named once, however
    many signatures its members share;
-4. families are compared in blocks of bounded size: every pair of blocks is a task's group, and exact
-   intersections come from a product of 0/1 matrices over the elements that occur twice. Only a spanning forest of
-   the verified links leaves the task;
-5. components by alternating star contractions, each round written to the shared folder.
+4. families are compared in blocks of bounded size, where every pair of blocks is a group. First by sketches, the
+   numbers of elements in ``BUCKETS`` ranges of the hash: the sum of their differences is a lower bound of the number
+   of differing elements, so classes that no other one of the group can reach need not send their sets;
+5. the rest send their sets, and exact intersections come from a product of 0/1 matrices over the elements that occur
+   twice. Only a spanning forest of the verified links leaves the task;
+6. components by alternating star contractions, each round written to the shared folder.
 
 Nulls and empty texts have empty sets and link with nothing. Rows of equal id and text are one document twice: each
 gets a result row. A null id gets a null component unless its set is linked to one with an id; ties don't exist, as
@@ -50,6 +52,8 @@ N2 = 2
 FINER = 8
 #: Bits of the bitmaps that rule out rows before a shuffle (2 MB, whatever the number of documents).
 BITMAP_BITS = 24
+#: Ranges of a sketch; a count beyond 255 is kept as 255, which only makes the lower bound lower.
+BUCKETS = 128
 #: Bounds of a block of a family: documents and elements.
 BLOCK_DOCS, BLOCK_ELEMENTS = 256, 1 << 20
 
@@ -88,6 +92,13 @@ class Sets:
         a, b = (t[self.bounds[1:]] - t[self.bounds[:-1]] for t in (self.totals, other))
         return signed(a), signed(b)
 
+    def sketches(self) -> np.ndarray:
+        """Numbers of elements in equal ranges of the hash, a row of bytes for every set."""
+        row = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        bucket = (self.elements >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
+        counts = np.bincount(row * BUCKETS + bucket, minlength=len(self.sizes) * BUCKETS)
+        return np.minimum(counts, 255).astype(np.uint8).reshape(-1, BUCKETS)
+
     def of(self, row: int) -> np.ndarray:
         return self.elements[self.bounds[row] : self.bounds[row + 1]]
 
@@ -162,7 +173,10 @@ def _digests(shingle: int):
             for first, end, sets in _sets(batch, shingle):
                 a, b = sets.digests()
                 ids = batch.column("doc_id").slice(first, end - first)
-                yield pa.record_batch([ids, pa.array(sets.sizes), pa.array(a), pa.array(b)], names=["doc_id", "size", "a", "b"])
+                sketches = pa.array([s.tobytes() for s in sets.sketches()], pa.binary())
+                yield pa.record_batch(
+                    [ids, pa.array(sets.sizes), pa.array(a), pa.array(b), sketches], names=["doc_id", "size", "a", "b", "sketch"]
+                )
 
     return run
 
@@ -198,11 +212,10 @@ def _elements(shingle: int, wanted):
             ids = batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False)
             batch = batch.filter(pa.array(in_bitmap(wanted.value, ids.view(np.uint64))))
             for first, end, sets in _sets(batch, shingle):
-                a, b = sets.digests()
                 contents = pa.array([sets.of(i).tobytes() for i in range(end - first)], pa.binary())
                 yield pa.record_batch(
-                    [pa.array(a), pa.array(b), batch.column("doc_id").slice(first, end - first), contents],
-                    names=["class", "b", "id", "elements"],
+                    [pa.array(sets.digests()[0]), batch.column("doc_id").slice(first, end - first), contents],
+                    names=["class", "id", "elements"],
                 )
 
     return run
@@ -239,31 +252,73 @@ def spanning_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]
     return out
 
 
-def _family_links(percent: int):
-    """Verified links of each family block pair; rows come sorted by group, which is held one at a time."""
+def reachable(sizes: np.ndarray, sketches: np.ndarray, percent: int) -> np.ndarray:
+    """Label of each set's piece of the graph of pairs that their sketches don't rule out; -1 for a piece of one."""
+    n, wide = len(sizes), sketches.astype(np.int16)
+    label = np.arange(n)
+    for i in range(n - 1):
+        bound = (sizes[i] + sizes[i + 1 :]) * (100 - percent) // (100 + percent)
+        near = np.flatnonzero(np.abs(wide[i + 1 :] - wide[i]).sum(axis=1) <= bound) + i + 1
+        for old in np.unique(label[near]):
+            if old != label[i]:
+                label[label == old] = label[i]
+    alone = np.bincount(label, minlength=n) == 1
+    return np.where(alone[label], -1, label)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Groups of rows that come sorted by ``keys``, one at a time."""
+    key, rows = None, []
+    for batch in batches:
+        values = [batch.column(c).to_pylist() for c in batch.schema.names if c not in keys]
+        for own, row in zip(zip(*(batch.column(c).to_pylist() for c in keys)), zip(*values)):
+            if own != key:
+                if rows:
+                    yield key, rows
+                key, rows = own, []
+            rows.append(row)
+    if rows:
+        yield key, rows
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, sets = None, [], []
 
-        def links() -> pa.RecordBatch:
-            distinct = sorted({(i, s) for i, s in zip(ids, sets)})
-            names = [i for i, _ in distinct]
-            pairs = spanning_links([np.frombuffer(s, np.uint64) for _, s in distinct], percent) if len(names) > 1 else []
-            # The smallest id of each connected piece comes first, as positions are sorted by id.
-            return pa.record_batch({"u": pa.array([names[a] for a, _ in pairs], pa.int64()), "v": pa.array([names[b] for _, b in pairs], pa.int64())})
+def _batches(rows: Iterator[tuple], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows of whole numbers as batches."""
+    held = []
+    for row in rows:
+        held.append(row)
+        if len(held) == 10_000:
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*held)], names=names)
+            held = []
+    if held:
+        yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*held)], names=names)
 
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("leader", "p", "q", "id", "elements"))):
-                if row[:3] != key:
-                    if len(ids) > 1:
-                        yield links()
-                    key, ids, sets = row[:3], [], []
-                ids.append(row[3])
-                sets.append(row[4])
-        if len(ids) > 1:
-            yield links()
 
-    return run
+def _near_by_sketch(percent: int):
+    """Members of each group that some other member may link with: (leader, p, q, piece, id, class)."""
+
+    def rows(batches):
+        for key, members in _groups(batches, ["leader", "p", "q"]):
+            members = sorted(set(members))
+            if len(members) > 1:
+                ids, classes, sizes, sketches = zip(*members)
+                pieces = reachable(np.array(sizes), np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, BUCKETS), percent)
+                yield from ((*key, int(piece), i, c) for piece, i, c in zip(pieces, ids, classes) if piece >= 0)
+
+    return lambda batches: _batches(rows(batches), ["leader", "p", "q", "piece", "id", "class"])
+
+
+def _family_links(percent: int):
+    """Verified links of each piece of a group as a forest under smallest ids."""
+
+    def rows(batches):
+        for _, members in _groups(batches, ["leader", "p", "q", "piece"]):
+            members = sorted(set(members))
+            if len(members) > 1:
+                names = [i for i, _ in members]
+                for root, other in spanning_links([np.frombuffer(e, np.uint64) for _, e in members], percent):
+                    yield names[root], names[other]
+
+    return lambda batches: _batches(rows(batches), ["u", "v"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -298,8 +353,8 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80) ->
     """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text): see the module's text."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    own = stage(texts.mapInArrow(_digests(shingle), "doc_id long, size long, a long, b long"), "sets")
-    classes = stage(own.where("size > 0").groupBy("a", "b", "size").agg(F.min("doc_id").alias("id")), "classes")
+    own = stage(texts.mapInArrow(_digests(shingle), "doc_id long, size long, a long, b long, sketch binary"), "sets")
+    classes = stage(own.where("size > 0").groupBy("a", "b", "size").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch")), "classes")
 
     # Signatures of at least two classes.
     rows = texts.mapInArrow(_signature_rows(shingle, percent), "signature long, class long")
@@ -312,33 +367,42 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80) ->
     again = texts.mapInArrow(_signature_rows(shingle, percent, repeated), "signature long, class long")
     members = stage(again.join(shared, "signature").select("leader", "class").distinct(), "families")
 
-    # Blocks of each family, by documents and by elements.
-    sizes = classes.groupBy(F.col("a").alias("class")).agg(F.max("size").alias("size"))
+    # Blocks of each family, by documents and by elements. A class is known by its digest's first half; should two
+    # sets share it, both are members.
+    held = classes.where("id is not null").withColumnRenamed("a", "class")
+    sizes = held.groupBy("class").agg(F.max("size").alias("size"))
     blocks = (
         members.join(sizes, "class").groupBy("leader").agg(F.count("*").alias("n"), F.sum("size").alias("e"))
         .select("leader", F.greatest(F.ceil(F.col("n") / BLOCK_DOCS), F.ceil(F.col("e") / BLOCK_ELEMENTS)).cast("int").alias("nb"))
     )
-    held = members.select("class").distinct()
-    representatives = classes.join(held, classes["a"] == held["class"], "left_semi").where("id is not null")
-    wanted = spark.sparkContext.broadcast(bitmap_of(representatives.select("id"), "id", BITMAP_BITS))
-    contents = (
-        texts.mapInArrow(_elements(shingle, wanted), "class long, b long, id long, elements binary")
-        .join(representatives.select(F.col("a").alias("class"), "b", "id"), ["class", "b", "id"], "left_semi")
-        .groupBy("class", "b", "id").agg(F.first("elements").alias("elements"))
-    )
     placed = (
         members.join(blocks, "leader")
         .withColumn("own", F.pmod(F.xxhash64("class"), F.col("nb")).cast("int"))
         .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        .select("class", "leader", F.least("own", "with").alias("p"), F.greatest("own", "with").alias("q"))
+        .select("class", "leader", F.least("own", "with").cast("bigint").alias("p"), F.greatest("own", "with").cast("bigint").alias("q"))
+    )
+    group = ["leader", "p", "q"]
+    near = stage(
+        placed.join(held, "class").select(*group, "id", "class", "size", "sketch")
+        .repartition(*group).sortWithinPartitions(*group)
+        .mapInArrow(_near_by_sketch(percent), "leader long, p long, q long, piece long, id long, class long"),
+        "near",
+    )
+    representatives = near.select("class", "id").distinct()
+    wanted = spark.sparkContext.broadcast(bitmap_of(representatives, "id", BITMAP_BITS))
+    contents = (
+        texts.mapInArrow(_elements(shingle, wanted), "class long, id long, elements binary")
+        .join(representatives, ["class", "id"], "left_semi")
+        .groupBy("class", "id").agg(F.first("elements").alias("elements"))
     )
-    grouped = placed.join(contents, "class").select("leader", "p", "q", "id", "elements")
+    group = [*group, "piece"]
     links = (
-        grouped.repartition("leader", "p", "q").sortWithinPartitions("leader", "p", "q")
+        near.join(contents, ["class", "id"]).select(*group, "id", "elements")
+        .repartition(*group).sortWithinPartitions(*group)
         .mapInArrow(_family_links(percent), "u long, v long")
     )
     found = components(links)
-    release(shared, members)
+    release(shared, members, near)
     named = classes.join(found, classes["id"] == found["node"], "left").select(
         "a", "b", F.coalesce("component", "id").alias("component_id")
     )

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from dayspan.llm.common import mix
-from dayspan.llm.partenum import Sets, components, jaccard_components, signatures, spanning_links
+from dayspan.llm.partenum import Sets, components, jaccard_components, reachable, signatures, spanning_links
 
 
 def brute(rows, percent=80):
@@ -104,6 +104,18 @@ def test_linked_sets_share_a_signature(size):
             assert len(np.intersect1d(found[rows == 0], found[rows == 1]))
 
 
+def test_sketches_rule_out_no_link():
+    r = np.random.default_rng(7)
+    for _ in range(200):
+        size = int(r.integers(5, 3000))
+        a = np.unique(r.integers(0, 1 << 64, size, dtype=np.uint64))
+        b = np.unique(np.concatenate([np.delete(a, r.choice(size, size // 12, False)), r.integers(0, 1 << 64, size // 12, dtype=np.uint64)]))
+        common = len(np.intersect1d(a, b))
+        if 100 * common >= 80 * (len(a) + len(b) - common):
+            given = Given(a, b)
+            assert reachable(given.sizes, given.sketches(), 80).tolist() == [0, 0]
+
+
 def test_spanning_links():
     sets = [np.arange(10, dtype=np.uint64), np.arange(9, dtype=np.uint64), np.arange(50, 60, dtype=np.uint64)]
     assert spanning_links(sets, 80) == [(0, 1)]
