@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from dayspan.llm.decontamination import contamination
 from dayspan.llm.language_id import language_scores
+from dayspan.llm.licences import COPYRIGHT_LINE, KNOWN, SPELLINGS, scan_licences
 from dayspan.llm.line_chunks import remove_repeated_chunks
+from dayspan.llm.line_frequency import judge_by_lines
 from dayspan.llm.packing import pack_documents
 from dayspan.llm.partenum import jaccard_components
+from dayspan.llm.sharding import histogram_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -82,3 +85,64 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_ngram_jaccard_join")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), shingle=5, percent=80)
+
+
+@query("op4_histogram_sort_sharding")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return histogram_shards(table(spark, sf_dir, "documents"), shards=40)
+
+
+SPACE_SQL = r"[\x20\x09-\x0D]+"
+SPLIT_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+
+@query("op1_line_frequency_rules", rf"""
+WITH d AS (SELECT doc_id, source, text, {SPLIT_SQL} AS w FROM documents),
+g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS t FROM d, unnest(range(1, len(w) - 1)) AS u(i)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, t) AS n FROM g) WHERE n > 1),
+c AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM r, unnest(range(i, i + 3)) AS u(p) GROUP BY doc_id),
+raw AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM d),
+l AS (SELECT doc_id, source, line, lower(trim(regexp_replace(line, '{SPACE_SQL}', ' ', 'g'))) AS norm FROM raw
+      WHERE regexp_matches(line, '[^ 	-]')),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY doc_id),
+often AS (SELECT source, norm FROM l GROUP BY source, norm HAVING count(DISTINCT doc_id) > 20),
+gone AS (SELECT doc_id, count(*) AS n_lines, sum(len(norm) - len(replace(norm, ' ', '')) + 1) AS n_words
+         FROM l JOIN often USING (source, norm) GROUP BY doc_id),
+b AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words,
+             CAST(len(regexp_replace(coalesce(text, ''), '{SPACE_SQL}', '', 'g')) AS BIGINT) AS word_chars,
+             CAST(len(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+             coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+             len(w) < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * len(w) AS base_failed,
+             coalesce(gone.n_lines, 0) AS n_lines_removed, CAST(len(w) - coalesce(gone.n_words, 0) AS BIGINT) AS n_words_left
+      FROM d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN dup ON d.doc_id = dup.doc_id LEFT JOIN gone ON d.doc_id = gone.doc_id)
+SELECT *, NOT base_failed AND n_words_left > 0 AND 100 * n_words_left >= 50 * n_words AS kept FROM b
+""")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_by_lines(table(spark, sf_dir, "documents"), host="source", max_docs=20, least_share=50)
+
+
+def _canonical_sql(text: str) -> str:
+    plain = f"regexp_replace(lower(coalesce({text}, '')), '{COPYRIGHT_LINE}', '', 'g')"
+    out = f"' ' || trim(regexp_replace({plain}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' '"
+    for one, other in SPELLINGS:
+        out = f"replace({out}, ' {one} ', ' {other} ')"
+    return f"trim({out})"
+
+
+def _values(rows: list[tuple[str, str]]) -> str:
+    return ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in row) + ")" for row in rows)
+
+
+@query("op10_licence_digests", f"""
+WITH known AS (SELECT d, min(licence_id) AS licence_id FROM (
+       SELECT licence_id, {_canonical_sql("text")} AS d FROM (VALUES {_values(KNOWN)}) AS v(licence_id, text)) GROUP BY d),
+doc AS (SELECT doc_id, text, {_canonical_sql("text")} AS form FROM documents),
+line AS (SELECT DISTINCT doc_id, licence_id FROM (
+       SELECT doc_id, {_canonical_sql("line")} AS form FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM doc)
+       WHERE regexp_matches(line, '(?i)licen[cs]e|permission')) AS x JOIN known ON x.form = known.d WHERE form <> ''),
+note AS (SELECT doc_id, string_agg(licence_id, ',' ORDER BY licence_id) AS notices FROM line GROUP BY doc_id)
+SELECT doc.doc_id, CASE WHEN form <> '' THEN sha256(form) END AS canonical_sha256, licence_id, coalesce(notices, '') AS notices
+FROM doc LEFT JOIN known ON form = known.d AND form <> '' LEFT JOIN note ON doc.doc_id = note.doc_id
+""")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licences(table(spark, sf_dir, "documents"))
