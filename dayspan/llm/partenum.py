@@ -50,12 +50,12 @@ from dayspan.llm.common import (
 N2 = 2
 #: How much finer the domain is cut for sets that the first cut doesn't cover.
 FINER = 8
-#: Bits of the bitmaps that rule out rows before a shuffle (2 MB, whatever the number of documents).
-BITMAP_BITS = 24
+#: Bits of the bitmaps that rule out rows before a shuffle (8 MB, whatever the number of documents).
+BITMAP_BITS = 26
 #: Ranges of a sketch; a count beyond 255 is kept as 255, which only makes the lower bound lower.
 BUCKETS = 128
 #: Bounds of a block of a family: documents and elements.
-BLOCK_DOCS, BLOCK_ELEMENTS = 256, 1 << 20
+BLOCK_DOCS, BLOCK_ELEMENTS = 512, 1 << 20
 
 
 class Sets:
