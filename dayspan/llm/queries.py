@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dayspan.llm.cotraining import quality_scores
 from dayspan.llm.decontamination import contamination
 from dayspan.llm.language_id import language_scores
 from dayspan.llm.licences import COPYRIGHT_LINE, KNOWN, SPELLINGS, scan_licences
@@ -14,6 +15,7 @@ from dayspan.llm.line_chunks import remove_repeated_chunks
 from dayspan.llm.line_frequency import judge_by_lines
 from dayspan.llm.packing import pack_documents
 from dayspan.llm.partenum import jaccard_components
+from dayspan.llm.pii import find_personal_data, labelled_table
 from dayspan.llm.sharding import histogram_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,7 +105,8 @@ r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_i
 c AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM r, unnest(range(i, i + 3)) AS u(p) GROUP BY doc_id),
 raw AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM d),
 l AS (SELECT doc_id, source, line, lower(trim(regexp_replace(line, '{SPACE_SQL}', ' ', 'g'))) AS norm FROM raw
-      WHERE regexp_matches(line, '[^ 	-]')),
+      WHERE regexp_matches(line, '[^ 	-
+]')),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY doc_id),
 often AS (SELECT source, norm FROM l GROUP BY source, norm HAVING count(DISTINCT doc_id) > 20),
 gone AS (SELECT doc_id, count(*) AS n_lines, sum(len(norm) - len(replace(norm, ' ', '')) + 1) AS n_words
@@ -146,3 +149,13 @@ FROM doc LEFT JOIN known ON form = known.d AND form <> '' LEFT JOIN note ON doc.
 """)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(table(spark, sf_dir, "documents"))
+
+
+@query("op7_crf_personal_data")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents"), labelled_table(spark))
+
+
+@query("op8_cotraining_quality")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
