@@ -80,9 +80,11 @@ def rank_sum(df: DataFrame, by: str, continuous: Sequence[str], group_limit: int
     n_a, n_all = F.col("n_a"), F.col("n_all")
     n_b = n_all - n_a
     w = F.col("rank_sum") - n_a * (n_a + 1) / 2
-    spread = F.sqrt(n_a * n_b / 12 * ((n_all + 1) - F.col("ties") / (n_all * (n_all - 1))))
+    spread = F.sqrt(n_a * n_b / 12 * ((n_all + 1) - F.try_divide(F.col("ties"), n_all * (n_all - 1))))
     centred = w - n_a * n_b / 2
-    z = (centred - F.signum(centred) * 0.5) / spread
+    # A constant variable, one group or one row has no spread: no statistic rather than a division by zero.
+    z = F.try_divide(centred - F.signum(centred) * 0.5, spread)
+    w = F.when(spread > 0, w)
     return sums.select(
         "variable", w.alias("statistic"), z.alias("z"), n_all.cast("bigint").alias("n")
     ).withColumn("p_value", normal_tail(F.col("z"))).withColumn("test", F.lit("rank-sum"))

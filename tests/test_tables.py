@@ -247,3 +247,14 @@ def test_forest_frame(spark):
     no, yes, day = rows["pain_symptom_dayNo"], rows["pain_symptom_dayYes"], rows["study_day"]
     assert (no["or"], no["conf_int"], no["p_value"], no["n_per_level"]) == (1.0, "Reference", "", "1,050")
     assert (yes["conf_int"], day["conf_int"], day["predictor"]) == ("1.50 (1.00-2.25)", "1.00 (0.90-1.10)", "Study day")
+
+
+def test_rank_sum_without_spread(spark):
+    from dayspan.operators.association import rank_sum
+
+    rows = [("a", 1.0, 5.0, None), ("b", 2.0, 5.0, None), ("a", 3.0, 5.0, None), ("b", 4.0, 5.0, None)]
+    df = spark.createDataFrame(rows, "g string, x double, same double, none double")
+    got = {r["variable"]: r for r in rank_sum(df, "g", ["x", "same", "none"]).collect()}
+    assert got["x"]["statistic"] is not None and got["x"]["p_value"] is not None
+    assert got["same"]["statistic"] is None and got["same"]["p_value"] is None
+    assert "none" not in got or got["none"]["p_value"] is None
