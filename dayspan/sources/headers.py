@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 # Item numbers such as "1. " or "a) " and bracketed examples in headers.
 ITEM_NUMBER = r"^[1-9|a-z]\d*[\.|\)] "
@@ -14,8 +14,10 @@ EXAMPLES = r" \(e.g.,.*\)"
 
 
 def snake_case(name: str) -> str:
-    """Lower-case words joined by underscores; a leading digit gets an x in front."""
+    """Lower-case words joined by underscores, letters without accents; a leading digit gets an x in front."""
     name = name.replace("'", "").replace('"', "").replace("%", "_percent_").replace("#", "_number_")
+    name = unicodedata.normalize("NFKD", name.replace("ß", "ss"))
+    name = "".join(c for c in name if not unicodedata.combining(c))
     name = re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", name)
     name = re.sub(r"([A-Z]+)([A-Z][a-z])", r"\1_\2", name)
     name = re.sub(r"[^A-Za-z0-9]+", "_", name).strip("_").lower()
@@ -25,20 +27,24 @@ def snake_case(name: str) -> str:
 
 
 def cleaned_names(names: Sequence[str]) -> list[str]:
-    """Cleaned names; the second and later copies of a name get the suffix _2, _3, ..."""
-    seen: dict[str, int] = {}
-    result = []
+    """Cleaned names; the second and later copies of a name get the suffix _2, _3, ..., or the next one that is free."""
+    result: dict[str, None] = {}
     for name in names:
-        base = snake_case(re.sub(EXAMPLES, "", re.sub(ITEM_NUMBER, "", name)))
-        seen[base] = seen.get(base, 0) + 1
-        result.append(base if seen[base] == 1 else f"{base}_{seen[base]}")
-    return result
+        base = clean = snake_case(re.sub(EXAMPLES, "", re.sub(ITEM_NUMBER, "", name)))
+        number = 1
+        while clean in result:
+            number += 1
+            clean = f"{base}_{number}"
+        result[clean] = None
+    return list(result)
 
 
 def drop_columns(df: DataFrame, names: Sequence[str] = (), patterns: Sequence[str] = ()) -> DataFrame:
     """Drop exact names (absent ones are ignored) and names that match any pattern."""
-    unwanted = {c for c in df.columns if c in names or any(re.search(p, c) for p in patterns)}
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in unwanted])
+    kept = [(i, c) for i, c in enumerate(df.columns) if c not in names and not any(re.search(p, c) for p in patterns)]
+    # By position, because raw headers may differ in case only or hold a backtick.
+    numbered = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return numbered.select(*[f"c{i}" for i, _ in kept]).toDF(*[c for _, c in kept])
 
 
 def clean_names(df: DataFrame) -> DataFrame:

@@ -1,6 +1,10 @@
 """Readers, sinks, header cleaning and the stage folder."""
 
+import re
+
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from dayspan.functions.parsing import assign_day
@@ -8,7 +12,7 @@ from dayspan.functions.ratings import severe_flag
 from dayspan.operators.reshape import slots_to_long
 from dayspan.operators.select import across
 from dayspan.session import checkpoint_root, stage
-from dayspan.sources.headers import cleaned_names
+from dayspan.sources.headers import clean_names, cleaned_names, drop_columns
 from dayspan.sources.readers import pull_responses, read_clean, read_file, read_many, read_table
 from dayspan.sources.sinks import write_stage
 
@@ -18,6 +22,23 @@ def test_cleaned_names():
         "what_is_your_age", "type", "record_id", "record_id_2", "percent_done", "x2nd_try", "item", "gender", "gender_2"]
 
 
+def test_cleaned_names_are_distinct_and_keep_letters():
+    assert cleaned_names(["A", "a b", "a-b", "a_b_2"]) == ["a", "a_b", "a_b_2", "a_b_2_2"]
+    assert cleaned_names(["Größe", "Âge", "a`b"]) == ["grosse", "age", "a_b"]
+
+
+@given(st.lists(st.text(alphabet="aA b-_2é`", max_size=6), max_size=12))
+def test_cleaned_names_are_always_distinct(names):
+    got = cleaned_names(names)
+    assert len(set(got)) == len(names) and all(re.fullmatch(r"[a-z][a-z0-9_]*", n) for n in got)
+
+
+def test_names_may_differ_in_case_or_hold_backticks(spark):
+    raw = spark.createDataFrame([(1, 2, 3, 4)], "a int, b int, c int, d int").toDF("ID", "id", "a`b", "skip")
+    df = clean_names(drop_columns(raw, ["skip"]))
+    assert df.columns == ["id", "id_2", "a_b"] and tuple(df.first()) == (1, 2, 3)
+
+
 def test_read_clean(spark, tmp_path):
     path = tmp_path / "in.csv"
     path.write_text('Record ID,Repeat Instance,"1. Stage, now",skip\n1,9,NA,z\n2,9,,z\n3,9,"a ""b""",z\n')
