@@ -1,8 +1,8 @@
 """Joins: folds over several frames, null-safe keys and membership flags.
 
 Inner, left, semi and anti joins are left to Catalyst, which splits a hot key at
-run time (AQE skew join). A full outer join cannot be split that way, so beyond
-``group_limit`` rows per key it is put together from joins that can.
+run time (AQE skew join). A full outer join cannot be split that way, so it is a
+left join plus the right rows without a partner; no job runs to choose a plan.
 """
 
 from __future__ import annotations
@@ -13,39 +13,32 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dayspan.operators.ordered import GROUP_LIMIT, largest_group
-
 
 def left_join_all(frames: Sequence[DataFrame], on: Sequence[str]) -> DataFrame:
     """Left join a list of frames onto the first one."""
     return reduce(lambda a, b: a.join(b, list(on), "left"), frames)
 
 
-def full_join_all(frames: Sequence[DataFrame], on: Sequence[str], group_limit: int | None = GROUP_LIMIT) -> DataFrame:
+def full_join_all(frames: Sequence[DataFrame], on: Sequence[str]) -> DataFrame:
     """Full outer join of a list of frames; key columns are merged."""
-    return reduce(lambda a, b: full_join(a, b, on, group_limit=group_limit), frames)
+    return reduce(lambda a, b: full_join(a, b, on), frames)
 
 
-def full_join(left: DataFrame, right: DataFrame, on: Sequence[str], null_safe: bool = False,
-              group_limit: int | None = GROUP_LIMIT) -> DataFrame:
+def full_join(left: DataFrame, right: DataFrame, on: Sequence[str], null_safe: bool = False) -> DataFrame:
     """Full outer join with merged keys; ``null_safe`` lets a null key match a null key.
 
     Columns other than the keys must have distinct names on the two sides.
     """
     on = list(on)
-    if group_limit is None or max(largest_group(left, on), largest_group(right, on)) <= group_limit:
-        return _keyed_join(left, right, on, "full", null_safe)
-    both = _keyed_join(left, right, on, "inner", null_safe)
-    only_left = _keyed_join(left, right.select(*on).distinct(), on, "left_anti", null_safe)
+    from_left = _keyed_join(left, right, on, "left", null_safe)
     only_right = _keyed_join(right, left.select(*on).distinct(), on, "left_anti", null_safe)
-    return both.unionByName(only_left, allowMissingColumns=True).unionByName(only_right, allowMissingColumns=True)
+    return from_left.unionByName(only_right, allowMissingColumns=True)
 
 
-def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "full",
-                   group_limit: int | None = GROUP_LIMIT) -> DataFrame:
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "full") -> DataFrame:
     """Join in which null keys match null keys."""
     if how in ("full", "outer", "full_outer"):
-        return full_join(left, right, on, null_safe=True, group_limit=group_limit)
+        return full_join(left, right, on, null_safe=True)
     return _keyed_join(left, right, list(on), how, null_safe=True)
 
 
@@ -58,7 +51,6 @@ def _keyed_join(left: DataFrame, right: DataFrame, on: list[str], how: str, null
     if how in ("left_semi", "left_anti"):
         return joined
     keys = {
-        "full": lambda k: F.coalesce(F.col(k), F.col(f"_r_{k}")),
         "right": lambda k: F.col(f"_r_{k}"),
     }.get(how, F.col)
     rest = [c for c in left.columns if c not in on] + [c for c in right.columns if c not in on]

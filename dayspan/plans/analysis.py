@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from dayspan.functions.ratings import bin_top, bin_top_levels, yes_no
 from dayspan.operators.joins import null_safe_join
-from dayspan.operators.ordered import GROUP_LIMIT
 from dayspan.operators.reshape import append_rows
 from dayspan.operators.select import across, cols_like, complete_cases, select_significant, subset_ids
 
@@ -64,10 +63,9 @@ def analysis_frame(outcomes: DataFrame, predictors: DataFrame, exclude_today: bo
 
 
 def merge_categories(diagnoses: DataFrame, categories: DataFrame, id_col: str, source_col: str, key_col: str,
-                     category_col: str, renamed_category: str, blank_cols: Sequence[str], ids=None,
-                     group_limit: int | None = GROUP_LIMIT) -> DataFrame:
+                     category_col: str, renamed_category: str, blank_cols: Sequence[str], ids=None) -> DataFrame:
     """Diagnoses with known categories (null-safe full join) and blank columns to be filled in."""
     chosen = diagnoses if ids is None else subset_ids(diagnoses, id_col, ids)
     chosen = chosen.select(id_col, F.col(source_col).alias(key_col))
-    joined = null_safe_join(chosen, categories, [id_col, key_col], "full", group_limit)
+    joined = null_safe_join(chosen, categories, [id_col, key_col], "full")
     return joined.withColumnRenamed(category_col, renamed_category).withColumns({c: F.lit("") for c in blank_cols})

@@ -22,8 +22,7 @@ from dayspan.operators.select import across, cols_like, subset_ids
 _MOST_LEVELS = 10_000
 
 
-def merge_sources(sources: Sequence[DataFrame], id_col: str, ids=None,
-                  group_limit: int | None = GROUP_LIMIT) -> DataFrame:
+def merge_sources(sources: Sequence[DataFrame], id_col: str, ids=None) -> DataFrame:
     """Full join of the source tables, restricted to a set of ids.
 
     The restriction is applied to every source before the join, which gives the
@@ -31,7 +30,7 @@ def merge_sources(sources: Sequence[DataFrame], id_col: str, ids=None,
     """
     if ids is not None:
         sources = [subset_ids(s, id_col, ids) for s in sources]
-    return full_join_all(sources, [id_col], group_limit)
+    return full_join_all(sources, [id_col])
 
 
 def time_since(df: DataFrame, start_col: str, stop_col: str, days_out: str, months_out: str) -> DataFrame:
@@ -85,11 +84,17 @@ def encounters_per_id(labelled: DataFrame, id_col: str = "record_id", category_c
     return freq(labelled.filter(F.col(category_col).isNotNull()), [id_col], "number_of_encounters")
 
 
-def event_characteristics(labelled: DataFrame, categories: Sequence[str], years: Sequence[int],
+def event_characteristics(labelled: DataFrame, categories: Sequence[str], years: Sequence[int] | None = None,
                           category_col: str = "visit_category", date_col: str = "date",
                           continuous: Sequence[str] = ("study_day", "hospitalization_length_of_stay_days")) -> DataFrame:
-    """Summary of the events: type, year, and continuous columns; no rows for missing values."""
+    """Summary of the events: type, year, and continuous columns; no rows for missing values.
+
+    Without ``years`` the levels are the calendar years of the events, which one aggregation brings to the driver.
+    """
     events = labelled.filter(F.col(category_col).isNotNull()).withColumn("visit_year", calendar_year(F.col(date_col)))
+    if years is None:
+        found = events.agg(F.array_sort(F.collect_set("visit_year"))).first()[0]
+        years = [y for y in found if y is not None]
     levels = {category_col: list(categories), "visit_year": [str(y) for y in years]}
     return summarize_columns(events, continuous, levels, missing=False)
 

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dayspan.operators.joins import full_join
-from dayspan.operators.ordered import GROUP_LIMIT
 from dayspan.operators.windows import study_day
 
 
@@ -72,7 +71,7 @@ def expand_panel(df: DataFrame, id_col: str, start: str, end: str, excl_start: s
 
 def panel_from_tables(study_dates: DataFrame, excluded_dates: DataFrame, id_col: str, start: str, end: str,
                       excl_start: str, excl_end: str, offset: int = 1, keep: Sequence[str] = (),
-                      unique_ids: bool = False, group_limit: int | None = GROUP_LIMIT) -> DataFrame:
+                      unique_ids: bool = False) -> DataFrame:
     """Panel from a table of study dates and a table of pauses (full outer join on the id)."""
-    ranges = full_join(study_dates, excluded_dates, [id_col], group_limit=None if unique_ids else group_limit)
+    ranges = full_join(study_dates, excluded_dates, [id_col])
     return expand_panel(ranges, id_col, start, end, excl_start, excl_end, offset, keep, unique_ids)

@@ -55,7 +55,7 @@ def individual_table(unadjusted: DataFrame, adjusted: DataFrame, excluded: Seque
     """Unadjusted next to adjusted results with q values, a heading row per predictor."""
     left = results_table(unadjusted, excluded, False, True, False, group_limit)
     right = results_table(adjusted, excluded, True, True, False, group_limit)
-    joined = null_safe_join(left, right, JOIN_COLUMNS, "full", group_limit)
+    joined = null_safe_join(left, right, JOIN_COLUMNS, "full")
     table = with_header_rows(joined, ["predictor", "n_obs"], F.col("predictor"))
     return table.orderBy("predictor", "level_number")
 
@@ -65,7 +65,7 @@ def count_table(unadjusted: DataFrame, adjusted: DataFrame, excluded: Sequence[s
     """Unadjusted next to adjusted results; heading rows carry the global p values."""
     left = results_table(unadjusted, excluded, False, False, True, group_limit)
     right = results_table(adjusted, excluded, True, False, True, group_limit)
-    joined = null_safe_join(left, right, JOIN_COLUMNS, "full", group_limit)
+    joined = null_safe_join(left, right, JOIN_COLUMNS, "full")
     table = with_header_rows(
         joined, ["predictor", "n", "n_obs"],
         F.regexp_replace("predictor", "significant individual | binned$", ""),

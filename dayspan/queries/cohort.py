@@ -230,7 +230,7 @@ def q_assign_day(spark, sf_dir):
 
 
 @query("clean_responses", f"""WITH {fr.RESPONSES_SQL}
-SELECT record_id, lpad(CAST(event_id AS VARCHAR), 12, '0') AS response_id, CAST(date AS VARCHAR) AS date,
+SELECT record_id, lpad(CAST(event_id AS VARCHAR), 20, '0') AS response_id, CAST(date AS VARCHAR) AS date,
   strftime(start_ts, '%Y-%m-%d %H:%M:%S') AS start_date, round(progress, 6) AS progress, duration_seconds,
   pain_sev, pain_freq, nausea_sev FROM daily""")
 def q_clean(spark, sf_dir):
@@ -411,7 +411,8 @@ long AS (
 levels(variable, level, level_number) AS (VALUES
   ('visit_category', 'ED visit only', 1), ('visit_category', 'Hospitalization only', 2),
   ('visit_category', 'ED visit and same-day hospitalization', 3), ('visit_category', 'ED visit and next-day hospitalization', 4),
-  ('visit_category', 'Multiple same-day ED visits', 5), ('visit_year', '2023', 1), ('visit_year', '2024', 2)
+  ('visit_category', 'Multiple same-day ED visits', 5)
+  UNION ALL SELECT 'visit_year', CAST(y AS VARCHAR), row_number() OVER (ORDER BY y) FROM (SELECT DISTINCT year(date) AS y FROM ev) AS years
 ),
 cats AS (
   SELECT 'visit_category' AS variable, visit_category AS level, count(*) AS n FROM ev GROUP BY 2
@@ -425,7 +426,7 @@ SELECT l.variable, 'Overall', coalesce(c.n, 0), NULL, NULL, NULL, NULL, NULL, l.
   round(coalesce(c.n, 0) / CAST(sum(coalesce(c.n, 0)) OVER (PARTITION BY l.variable) AS DOUBLE) * 100, 6)
 FROM levels l LEFT JOIN cats c ON l.variable = c.variable AND l.level = c.level""")
 def q_event_characteristics(spark, sf_dir):
-    return event_characteristics(fr.labelled(spark, sf_dir), CATEGORIES, [2023, 2024])
+    return event_characteristics(fr.labelled(spark, sf_dir), CATEGORIES)
 
 
 RATING_CELLS = ", ".join(

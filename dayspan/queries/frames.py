@@ -81,7 +81,7 @@ def responses(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "events").withColumn("k", key_number()).select(
         F.col("user_id").cast("string").alias("id"),
         F.col("user_id").alias("record_id"),
-        F.lpad(F.col("event_id").cast("string"), 12, "0").alias("ResponseId"),
+        F.lpad(F.col("event_id").cast("string"), 20, "0").alias("ResponseId"),
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("StartDate"),
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("EndDate"),
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("RecordedDate"),

@@ -198,8 +198,8 @@ def q_full_join(spark, sf_dir):
 
 @query("full_join_from_parts", FULL_SQL)
 def q_full_join_parts(spark, sf_dir):
-    """The same from an inner and two anti joins, the way taken for keys with very many rows."""
-    return full_join(*two_sides(spark, sf_dir), ["id"], group_limit=0)
+    """The way of every full join: a left join and an anti join, both of which AQE can split."""
+    return full_join(*two_sides(spark, sf_dir), ["id"])
 
 
 @query("full_join_all", f"""SELECT coalesce(a.id, b.id, c.id) AS id, a.c_acctbal, b.c_mktsegment, c.n_orders
@@ -279,7 +279,7 @@ def q_null_safe(spark, sf_dir):
 
 @query("null_safe_join_from_parts", NULL_SAFE_SQL)
 def q_null_safe_parts(spark, sf_dir):
-    return null_safe_join(*nullable_counts(spark, sf_dir), ["nation"], group_limit=0)
+    return null_safe_join(*nullable_counts(spark, sf_dir), ["nation"])
 
 
 @query("exists_flag", """SELECT c_custkey, CASE WHEN EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000)

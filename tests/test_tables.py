@@ -20,7 +20,7 @@ from dayspan.functions.levels import levels_with_last, recode, with_levels
 from dayspan.functions.tails import chi2_tail, chi_square_tail, erfc, normal_tail
 from dayspan.operators.aggregates import collapse_rare, freq_with_share, level_counts, summarize_columns
 from dayspan.operators.association import chi_square, permutation_test, rank_sum
-from dayspan.operators.joins import exists_flag, full_join, null_safe_join
+from dayspan.operators.joins import exists_flag, full_join, full_join_all, null_safe_join
 from dayspan.operators.reshape import pivot_counts
 from dayspan.operators.select import cols_like, rename_by_mapping, subset_ids
 from dayspan.plans.analysis import merge_categories
@@ -83,18 +83,28 @@ def test_selection(spark):
         rename_by_mapping(wide, {"absent": "y"})
 
 
-@pytest.mark.parametrize("limit", [0, 1000])
-def test_full_joins(spark, limit):
+def test_full_joins(spark):
     a = spark.createDataFrame([(1, "a"), (None, "b"), (2, "c"), (2, "d")], "k int, x string")
     b = spark.createDataFrame([(1, "p"), (None, "q"), (3, "r"), (2, "s"), (2, "t")], "k int, y string")
-    plain = {tuple(r) for r in full_join(a, b, ["k"], group_limit=limit).select("k", "x", "y").collect()}
+    plain = {tuple(r) for r in full_join(a, b, ["k"]).select("k", "x", "y").collect()}
     both = {(1, "a", "p"), (2, "c", "s"), (2, "c", "t"), (2, "d", "s"), (2, "d", "t"), (3, None, "r")}
     assert plain == both | {(None, "b", None), (None, None, "q")}
-    safe = {tuple(r) for r in null_safe_join(a, b, ["k"], group_limit=limit).select("k", "x", "y").collect()}
+    safe = {tuple(r) for r in null_safe_join(a, b, ["k"]).select("k", "x", "y").collect()}
     assert safe == both | {(None, "b", "q")}
     assert {tuple(r) for r in null_safe_join(a, b, ["k"], "left").select("k", "x", "y").collect()} == safe - {(3, None, "r")}
 
 
+def test_full_joins_run_no_job_while_they_are_planned(spark):
+    frame = spark.range(10).withColumnRenamed("id", "k")
+    spark.sparkContext.setJobGroup("planning", "full joins")
+    try:
+        full_join_all([frame.withColumn(c, F.col("k")) for c in "abc"], ["k"])
+        null_safe_join(frame.withColumn("a", F.col("k")), frame.withColumn("b", F.col("k")), ["k"])
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("planning")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_merge_categories_matches_null_with_null(spark):
     a = spark.createDataFrame([(1, None), (2, "lung"), (9, "skin")], "record_id int, cancer_type string")
     b = spark.createDataFrame([(1, None, "none"), (3, "gi", "GI")], "record_id int, source string, cancer_type string")
