@@ -13,6 +13,7 @@ from dayspan.llm.language_id import language_scores
 from dayspan.llm.licences import COPYRIGHT_LINE, KNOWN, SPELLINGS, scan_licences
 from dayspan.llm.line_chunks import remove_repeated_chunks
 from dayspan.llm.line_frequency import judge_by_lines
+from dayspan.llm.mixing import mix_sources
 from dayspan.llm.packing import pack_documents
 from dayspan.llm.partenum import jaccard_components
 from dayspan.llm.pii import find_personal_data, labelled_table
@@ -159,3 +160,27 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_cotraining_quality")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op11_low_discrepancy_mix", rf"""
+WITH d AS (SELECT doc_id, source, CAST(len({SPLIT_SQL}) AS BIGINT) AS size FROM documents),
+c AS (SELECT *, row_number() OVER (PARTITION BY source, doc_id, size) - 1 AS copy FROM d),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight
+      FROM d GROUP BY source),
+b AS (SELECT *, 3 * source_size AS cap, CAST(sum(source_size) OVER () AS DOUBLE) AS words, CAST(sum(weight) OVER () AS DOUBLE) AS weights,
+             CAST(coalesce(sum(3 * source_size) OVER o, 0) AS DOUBLE) AS caps_before, CAST(coalesce(sum(weight) OVER o, 0) AS DOUBLE) AS weights_before
+      FROM s WINDOW o AS (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT *, (words - caps_before) / (weights - weights_before) AS level FROM b),
+t AS (SELECT source, source_size, least(CAST(cap AS DOUBLE), coalesce(max(CASE WHEN level * weight < cap THEN level END) OVER () * weight,
+             CAST(cap AS DOUBLE))) AS target FROM l),
+g AS (SELECT *, CAST(floor(target) AS BIGINT) AS goal FROM t),
+e AS (SELECT c.*, epoch, goal, md5(concat_ws(':', 2024, epoch, coalesce(CAST(doc_id AS VARCHAR), ''), size, copy)) AS key
+      FROM c JOIN g ON c.source IS NOT DISTINCT FROM g.source, unnest(range(0, 3)) AS u(epoch) WHERE size > 0),
+p AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY epoch, key, doc_id NULLS LAST, size, copy) - size AS pos FROM e),
+k AS (SELECT source, doc_id, size, copy, sum(greatest(0, least(size, goal - pos))) AS taken FROM p GROUP BY source, doc_id, size, copy)
+SELECT c.doc_id, c.source, c.size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken
+FROM c JOIN g ON c.source IS NOT DISTINCT FROM g.source LEFT JOIN k ON c.source IS NOT DISTINCT FROM k.source
+     AND c.doc_id IS NOT DISTINCT FROM k.doc_id AND c.size = k.size AND c.copy = k.copy
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"), block=1024, weights=3, most=3)
