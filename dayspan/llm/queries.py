@@ -18,6 +18,7 @@ from dayspan.llm.packing import pack_documents
 from dayspan.llm.partenum import jaccard_components
 from dayspan.llm.pii import find_personal_data, labelled_table
 from dayspan.llm.sharding import histogram_shards
+from dayspan.llm.vector_codes import compress_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -184,3 +185,36 @@ FROM c JOIN g ON c.source IS NOT DISTINCT FROM g.source LEFT JOIN k ON c.source
 """)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"), block=1024, weights=3, most=3)
+
+
+def _codes_sql(parts: int, entries: int, rounds: int) -> str:
+    """Rounds of assignment and means written out one after another."""
+
+    def assign(book: str) -> str:
+        return f"""SELECT vec_id, p, min(struct_pack(d := d, e := e)) AS best FROM (
+            SELECT x.vec_id, x.p, e, CAST(list_sum(list_transform(list_zip(x.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d
+            FROM x JOIN {book} AS b ON x.p = b.p) GROUP BY vec_id, p"""
+
+    steps = [f"""v AS (SELECT vec_id, label, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0)""",
+             f"""x AS (SELECT vec_id, p, v[p * len(v) // {parts} + 1 : (p + 1) * len(v) // {parts}] AS v FROM v, unnest(range({parts})) AS u(p))""",
+             f"""b0 AS (SELECT p, e, v FROM x JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM v ORDER BY vec_id LIMIT {entries})
+        USING (vec_id))"""]
+    for r in range(rounds):
+        steps += [f"a{r} AS ({assign(f'b{r}')})",
+                  f"""m{r} AS (SELECT p, e, list(m ORDER BY i) AS v FROM (
+            SELECT x.p, best.e AS e, i, CAST(floor(sum(x.v[i]) / CAST(count(*) AS DOUBLE)) AS BIGINT) AS m
+            FROM x JOIN a{r} USING (vec_id, p), unnest(range(1, len(x.v) + 1)) AS u(i) GROUP BY x.p, best.e, i) GROUP BY p, e)""",
+                  f"b{r + 1} AS (SELECT b.p, b.e, coalesce(m.v, b.v) AS v FROM b{r} AS b LEFT JOIN m{r} AS m ON b.p = m.p AND b.e = m.e)"]
+    return "WITH " + ",\n".join(steps) + f""",
+last AS ({assign(f'b{rounds}')}),
+code AS (SELECT vec_id, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM last GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) FROM b{rounds}) AS codebooks_sha256
+FROM code JOIN v USING (vec_id)
+"""
+
+
+@query("op12_walsh_hadamard_codes", _codes_sql(parts=16, entries=64, rounds=2))
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label", parts=16, entries=64, rounds=2)
