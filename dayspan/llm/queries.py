@@ -17,6 +17,7 @@ from dayspan.llm.mixing import mix_sources
 from dayspan.llm.packing import pack_documents
 from dayspan.llm.partenum import jaccard_components
 from dayspan.llm.pii import find_personal_data, labelled_table
+from dayspan.llm.resampling import resample
 from dayspan.llm.sharding import histogram_shards
 from dayspan.llm.vector_codes import compress_vectors
 
@@ -218,3 +219,29 @@ FROM code JOIN v USING (vec_id)
 @query("op12_walsh_hadamard_codes", _codes_sql(parts=16, entries=64, rounds=2))
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compress_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label", parts=16, entries=64, rounds=2)
+
+
+@query("op13_importance_resampling", f"""
+WITH d AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents), i AS (SELECT {WORDS_SQL} AS w FROM benchmark),
+dw AS (SELECT doc_id, unnest(w) AS x FROM d), iw AS (SELECT unnest(w) AS x FROM i),
+tab AS (SELECT list(c ORDER BY k) AS t FROM (SELECT k, list_reduce(list_prepend(k, range(8)),
+        lambda c, s: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) AS r(k))),
+bytes AS (SELECT x, hex(encode(x)) AS h FROM (SELECT x FROM dw UNION SELECT x FROM iw)),
+word AS (SELECT x, xor(list_reduce(list_prepend(4294967295, list_transform(range(len(h) // 2), lambda j: CAST('0x' || h[2 * j + 1:2 * j + 2] AS BIGINT))),
+        lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket FROM bytes, tab),
+s AS (SELECT bucket, count(*) AS s FROM dw JOIN word USING (x) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM iw JOIN word USING (x) GROUP BY bucket),
+g AS (SELECT bucket, CAST(floor(1000 * ln(((coalesce(t, 0) + 1) * ((SELECT count(*) FROM dw) + 10000))::DOUBLE
+        / ((coalesce(s, 0) + 1) * ((SELECT count(*) FROM iw) + 10000))::DOUBLE)) AS BIGINT) AS gain
+      FROM range(10000) AS b(bucket) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)),
+m AS (SELECT doc_id, CAST(floor(sum(gain) / CAST(count(*) AS DOUBLE)) AS BIGINT) AS weight
+      FROM dw JOIN word USING (x) JOIN g USING (bucket) GROUP BY doc_id),
+h AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+             CAST('0x' || sha256('2024:' || doc_id)[1:8] AS BIGINT) AS h FROM d LEFT JOIN m USING (doc_id)),
+z AS (SELECT doc_id, n_features, weight, CAST(weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM h),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM z WHERE n_features >= 20)
+SELECT z.*, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM z LEFT JOIN r USING (doc_id)
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), runs=(1, 1), buckets=10_000, percent=10, least_words=20)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
