@@ -7,12 +7,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dayspan.functions.tails import chi_square_tail, normal_tail
-from dayspan.operators.ordered import GROUP_LIMIT, ordered_scan, running_sum
-from dayspan.session import stage
+from dayspan.operators.ordered import block_count
 
 
 def chi_square(df: DataFrame, by: str, categorical: Sequence[str]) -> DataFrame:
@@ -45,60 +46,109 @@ def chi_square(df: DataFrame, by: str, categorical: Sequence[str]) -> DataFrame:
     )
 
 
-def rank_sum(df: DataFrame, by: str, continuous: Sequence[str], group_limit: int | None = GROUP_LIMIT) -> DataFrame:
+_COUNTS = "variable string, value double, grp string, t bigint"
+_RANGES = "variable string, low double, n bigint, groups array<struct<grp: string, n: bigint, ranks: double, ties: double>>"
+
+
+def _value_counts(continuous: Sequence[str]):
+    """Counts of each value by group within a batch, so that a frequent value is one row of every batch."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, name in enumerate(continuous, start=1):
+                values = pc.add(batch.column(i), 0.0)  # no negative zero
+                rows = pa.table({"grp": batch.column(0), "value": values}).filter(values.is_valid())
+                found = rows.group_by(["grp", "value"]).aggregate([([], "count_all")])
+                yield from pa.table({
+                    "variable": pa.array([name] * len(found), pa.string()), "value": found["value"], "grp": found["grp"],
+                    "t": found["count_all"],
+                }).to_batches()
+
+    return count
+
+
+def _range_ranks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row per variable from the sorted counts of a range of values: rank sums by group, with ranks from 1 in the range."""
+    open_value: pd.DataFrame | None = None
+    ranges: dict[str, dict] = {}
+
+    def close(counts: pd.DataFrame) -> None:
+        counts = counts.groupby(["variable", "value", "grp"], sort=True, dropna=False, as_index=False)["t"].sum()
+        for variable, part in counts.groupby("variable", sort=False):
+            known = ranges.setdefault(variable, {"low": part["value"].iloc[0], "n": 0, "ties": 0.0, "groups": {}})
+            per_value = part.groupby("value", sort=True, dropna=False)["t"].sum()
+            upto = known["n"] + per_value.cumsum()
+            rank = (upto - (per_value - 1) / 2).to_numpy(dtype=float)
+            at = part.groupby("value", sort=True, dropna=False).ngroup().to_numpy()
+            part = part.assign(ranks=part["t"].to_numpy(dtype=float) * rank[at])
+            for grp, (n, ranks) in part.groupby("grp")[["t", "ranks"]].sum().iterrows():
+                before = known["groups"].get(grp, (0, 0.0))
+                known["groups"][grp] = (before[0] + int(n), before[1] + ranks)
+            t = per_value.to_numpy(dtype=float)
+            known["ties"] += float((t**3 - t).sum())
+            known["n"] = int(upto.iloc[-1])
+
+    for batch in batches:
+        if open_value is not None:
+            batch = pd.concat([open_value, batch], ignore_index=True)
+        if not len(batch):
+            continue
+        last = batch.iloc[-1]
+        same = (batch["variable"] == last["variable"]) & ((batch["value"] == last["value"]) | (batch["value"].isna() & pd.isna(last["value"])))
+        open_value = batch[same]
+        if not same.all():
+            close(batch[~same])
+    if open_value is not None:
+        close(open_value)
+    yield pd.DataFrame({
+        "variable": list(ranges), "low": [r["low"] for r in ranges.values()], "n": [r["n"] for r in ranges.values()],
+        # The ties of the range stand at its first group.
+        "groups": [[{"grp": g, "n": n, "ranks": s, "ties": 0.0 if i else r["ties"]} for i, (g, (n, s)) in enumerate(r["groups"].items())]
+                   for r in ranges.values()],
+    }, columns=["variable", "low", "n", "groups"])
+
+
+def rank_sum(df: DataFrame, by: str, continuous: Sequence[str]) -> DataFrame:
     """Wilcoxon rank-sum test per variable for a grouping column with two values.
 
-    Rows are counted per distinct value before they are ranked; the ranks are a
-    running sum of those counts. Normal approximation with tie and continuity
+    Values are counted by group in each batch, the counts are sorted by ranges of values (one exchange; equal values stay
+    together), and each range is reduced to its rank sums. The rows in the ranges before shift those, so no task sees more
+    than a range and no job runs to choose splitters but Spark's own sample. Normal approximation with tie and continuity
     correction; W belongs to the group that sorts first.
     """
-    group = F.col(by).cast("string")
-    known = df.filter(group.isNotNull())
-    groups = sorted(r[0] for r in known.select(group).distinct().limit(3).collect())
-    if len(groups) > 2:
-        raise ValueError(f"{by} has more than two values")
-    in_first = group == (groups[0] if groups else "")
-    long = (
-        known.select(in_first.alias("_in_first"), *[F.col(c).cast("double").alias(c) for c in continuous])
-        .unpivot(["_in_first"], list(continuous), "variable", "value")
-        .filter(F.col("value").isNotNull())
-    )
-    values = long.groupBy("variable", "value").agg(
-        F.count(F.lit(1)).alias("t"), F.count_if("_in_first").alias("t_a")
-    )
-    # Written once: it is read for the size check and for the ranking.
-    values = stage(values, "ranks")
-    ranked = ordered_scan(values, ["variable"], ["value"], {"upto": running_sum(F.col("t"))}, group_limit)
-    rank = F.col("upto") - (F.col("t") - 1) / 2
-    t = F.col("t").cast("double")
-    sums = ranked.groupBy("variable").agg(
-        F.sum(F.col("t_a") * rank).alias("rank_sum"),
-        F.sum("t_a").cast("double").alias("n_a"),
-        F.sum("t").cast("double").alias("n_all"),
-        F.sum(t * t * t - t).alias("ties"),
-    )
-    n_a, n_all = F.col("n_a"), F.col("n_all")
+    columns = [F.col(by).cast("string").alias("grp"), *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(continuous)]]
+    counts = df.select(*columns).filter("grp IS NOT NULL").mapInArrow(_value_counts(list(continuous)), _COUNTS)
+    sorted_counts = counts.repartitionByRange(block_count(df), "variable", "value").sortWithinPartitions("variable", "value")
+    ranges = sorted_counts.mapInPandas(_range_ranks, _RANGES)
+    # One row per variable and range.
+    before = Window.partitionBy("variable").orderBy("low").rowsBetween(Window.unboundedPreceding, -1)
+    shifted = ranges.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    groups = shifted.select("variable", "before", F.inline("groups")).groupBy("variable", "grp").agg(
+        F.sum("n").cast("double").alias("n"), F.sum(F.col("ranks") + F.col("before") * F.col("n")).alias("ranks"), F.sum("ties").alias("ties"))
+    sums = groups.groupBy("variable").agg(
+        F.min_by(F.struct("n", "ranks"), "grp").alias("first"), F.sum("n").alias("n_all"), F.sum("ties").alias("ties"),
+        F.count(F.lit(1)).alias("n_groups"))
+    n_a, n_all = F.col("first")["n"], F.col("n_all")
     n_b = n_all - n_a
-    w = F.col("rank_sum") - n_a * (n_a + 1) / 2
+    w = F.col("first")["ranks"] - n_a * (n_a + 1) / 2
     spread = F.sqrt(n_a * n_b / 12 * ((n_all + 1) - F.try_divide(F.col("ties"), n_all * (n_all - 1))))
     centred = w - n_a * n_b / 2
     # A constant variable, one group or one row has no spread: no statistic rather than a division by zero.
     z = F.try_divide(centred - F.signum(centred) * 0.5, spread)
-    w = F.when(spread > 0, w)
+    checked = F.when(F.col("n_groups") > 2, F.raise_error(F.lit(f"{by} has more than two values")).cast("double")).otherwise(w)
     return sums.select(
-        "variable", w.alias("statistic"), z.alias("z"), n_all.cast("bigint").alias("n")
+        "variable", F.when(spread > 0, checked).alias("statistic"), z.alias("z"), n_all.cast("bigint").alias("n")
     ).withColumn("p_value", normal_tail(F.col("z"))).withColumn("test", F.lit("rank-sum"))
 
 
-def compare_groups(df: DataFrame, by: str, continuous: Sequence[str] = (), categorical: Sequence[str] = (),
-                   group_limit: int | None = GROUP_LIMIT) -> DataFrame:
+def compare_groups(df: DataFrame, by: str, continuous: Sequence[str] = (), categorical: Sequence[str] = ()) -> DataFrame:
     """One test per variable: chi-square for categorical, rank-sum for continuous variables."""
     parts = []
     if categorical:
         parts.append(chi_square(df, by, categorical).select(
             "variable", "test", "statistic", F.col("df"), "n", "p_value"))
     if continuous:
-        parts.append(rank_sum(df, by, continuous, group_limit).select(
+        parts.append(rank_sum(df, by, continuous).select(
             "variable", "test", "statistic", F.lit(None).cast("bigint").alias("df"), "n", "p_value"))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 

@@ -1,8 +1,9 @@
 """Joins: folds over several frames, null-safe keys and membership flags.
 
 Inner, left, semi and anti joins are left to Catalyst, which splits a hot key at
-run time (AQE skew join). A full outer join cannot be split that way, so it is a
-left join plus the right rows without a partner; no job runs to choose a plan.
+run time (AQE skew join). A full outer join cannot be split that way, so that of two
+frames is a left join plus the right rows without a partner, and that of more frames
+a chain of left joins onto a spine of all keys. No job runs to choose a plan.
 """
 
 from __future__ import annotations
@@ -19,9 +20,30 @@ def left_join_all(frames: Sequence[DataFrame], on: Sequence[str]) -> DataFrame:
     return reduce(lambda a, b: a.join(b, list(on), "left"), frames)
 
 
-def full_join_all(frames: Sequence[DataFrame], on: Sequence[str]) -> DataFrame:
-    """Full outer join of a list of frames; key columns are merged."""
-    return reduce(lambda a, b: full_join(a, b, on), frames)
+def full_join_all(frames: Sequence[DataFrame], on: Sequence[str], within: DataFrame | None = None) -> DataFrame:
+    """Full outer join of a list of frames; key columns are merged. ``within`` restricts it to the keys of one more frame.
+
+    A spine holds every key once, and each frame is joined onto it: every frame is read twice, however many there are. With
+    ``within`` its keys are the spine, every frame is read once, and keys that no frame knows are dropped at the end. Rows
+    with a null among their keys match nothing; they pass through the spine under the number of their frame.
+    """
+    on, frames = list(on), list(frames)
+    if within is None and len(frames) <= 2:
+        return reduce(lambda a, b: full_join(a, b, on), frames)
+    marked = [f.withColumn("_frame", F.when(_any_null(on), F.lit(i)).otherwise(F.lit(-1))) for i, f in enumerate(frames)]
+    if within is None:
+        spine = reduce(DataFrame.unionByName, [m.select(*on, "_frame") for m in marked]).distinct()
+        joined = reduce(lambda a, b: _keyed_join(a, b, [*on, "_frame"], "left", null_safe=True), marked, spine)
+        return joined.drop("_frame")
+    spine = within.select(*on).distinct()
+    flagged = [f.withColumn(f"_in{i}", F.lit(True)) for i, f in enumerate(frames)]
+    joined = reduce(lambda a, b: a.join(b, on, "left"), flagged, spine)
+    flags = [f"_in{i}" for i in range(len(frames))]
+    return joined.filter(F.coalesce(*flags)).drop(*flags)
+
+
+def _any_null(columns: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a | b, [F.col(c).isNull() for c in columns])
 
 
 def full_join(left: DataFrame, right: DataFrame, on: Sequence[str], null_safe: bool = False) -> DataFrame:

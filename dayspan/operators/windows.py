@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dayspan.functions.ratings import count_known
 from dayspan.operators.ordered import (
-    GROUP_LIMIT,
+    Ordered,
+    backward,
     following,
+    group_total,
     last_known,
     next_known,
     ordered_scan,
@@ -38,9 +39,9 @@ def study_day(df: DataFrame, id_col: str, date_col: str = "date", out: str = "st
 
 
 def number_rows(df: DataFrame, id_col: str, order: Sequence[str], out: str,
-                group_limit: int | None = GROUP_LIMIT) -> DataFrame:
+                bounded_groups: bool = False) -> DataFrame:
     """Row number within an id."""
-    return ordered_scan(df, [id_col], order, {out: running_count()}, group_limit)
+    return ordered_scan(df, [id_col], order, {out: running_count()}, bounded_groups)
 
 
 def dedupe_first_best(df: DataFrame, keys: Sequence[str], start_col: str, answer_cols: Sequence[str],
@@ -58,42 +59,41 @@ def dedupe_first_best(df: DataFrame, keys: Sequence[str], start_col: str, answer
 
 
 def neighbours(df: DataFrame, id_col: str, order: Sequence[str], before: dict[str, str] | None = None,
-               after: dict[str, str] | None = None, group_limit: int | None = GROUP_LIMIT) -> DataFrame:
+               after: dict[str, str] | None = None, bounded_groups: bool = False) -> DataFrame:
     """Values of the previous and the next row; both dicts map a new column to a source column."""
     scans = {new: previous(F.col(c)) for new, c in (before or {}).items()}
     scans |= {new: following(F.col(c)) for new, c in (after or {}).items()}
-    return ordered_scan(df, [id_col], order, scans, group_limit)
+    return ordered_scan(df, [id_col], order, scans, bounded_groups)
 
 
 def fill_down(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str],
-              group_limit: int | None = GROUP_LIMIT) -> DataFrame:
+              bounded_groups: bool = False) -> DataFrame:
     """Replace nulls by the last known value above."""
-    return _fill(df, keys, order, cols, last_known, group_limit)
+    return _fill(df, keys, order, cols, last_known, bounded_groups)
 
 
 def fill_up(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str],
-            group_limit: int | None = GROUP_LIMIT) -> DataFrame:
+            bounded_groups: bool = False) -> DataFrame:
     """Replace nulls by the next known value below."""
-    return _fill(df, keys, order, cols, next_known, group_limit)
+    return _fill(df, keys, order, cols, next_known, bounded_groups)
 
 
-def _fill(df, keys, order, cols, scan, group_limit):
-    filled = ordered_scan(df, keys, order, {f"_f_{c}": scan(F.col(c)) for c in cols}, group_limit)
+def _fill(df, keys, order, cols, scan, bounded_groups):
+    filled = ordered_scan(df, keys, order, {f"_f_{c}": scan(F.col(c)) for c in cols}, bounded_groups)
     return filled.select(*[F.col(f"_f_{c}").alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
 def run_end(df: DataFrame, id_col: str, date_col: str, tie: Sequence[str] = (), out: str = "run_end",
-            group_limit: int | None = GROUP_LIMIT) -> DataFrame:
+            bounded_groups: bool = False) -> DataFrame:
     """Last date of the run of consecutive days that a row stands in.
 
     A row closes a run if the next row is not exactly one day later (a second row
     on the same day closes it too) or does not exist.
     """
-    order = [date_col, *tie]
-    marked = ordered_scan(df, [id_col], order, {"_next": following(F.col(date_col))}, group_limit)
+    rows = Ordered(df, [id_col], [date_col, *tie], bounded_groups).scan({"_next": following(F.col(date_col))})
     gap = F.datediff("_next", date_col)
-    marked = marked.withColumn("_end", F.when(gap.isNull() | (gap != 1), F.col(date_col))).drop("_next")
-    return ordered_scan(marked, [id_col], order, {out: next_known(F.col("_end"))}, group_limit).drop("_end")
+    rows.with_columns({"_end": F.when(gap.isNull() | (gap != 1), F.col(date_col))})
+    return rows.scan({out: next_known(F.col("_end"))}).result("_next", "_end")
 
 
 def event_within(df: DataFrame, id_col: str, date_col: str, flag_col: str, horizon: int = 7,
@@ -114,25 +114,23 @@ def event_within(df: DataFrame, id_col: str, date_col: str, flag_col: str, horiz
 
 
 def next_value(df: DataFrame, id_col: str, order: Sequence[str], col: str, out: str,
-               group_limit: int | None = GROUP_LIMIT) -> DataFrame:
+               bounded_groups: bool = False) -> DataFrame:
     """Value of the following row."""
-    return neighbours(df, id_col, order, after={out: col}, group_limit=group_limit)
+    return neighbours(df, id_col, order, after={out: col}, bounded_groups=bounded_groups)
 
 
 def fdr_bh(df: DataFrame, p_col: str, family: Sequence[str] = (), tie: Sequence[str] = (), out: str = "q_value",
-           group_limit: int | None = GROUP_LIMIT) -> DataFrame:
-    """Benjamini-Hochberg adjusted p values within a family; null p values stay null and do not count."""
+           bounded_groups: bool = False) -> DataFrame:
+    """Benjamini-Hochberg adjusted p values within a family; null p values stay null and do not count.
+
+    Everything runs from the largest p value down: its rank is the size of the family less the p values met before
+    it, and the adjusted value is the smallest p * size / rank so far. So one sort serves all of it.
+    """
     p = F.col(p_col)
-    order = [p_col, *tie]
-    ranked = ordered_scan(df, family, order, {"_rank": running_sum(p.isNotNull().cast("bigint"))}, group_limit)
-    if family:
-        sizes = df.groupBy(*[F.col(k).alias(f"_g_{k}") for k in family]).agg(F.count(p).alias("_m"))
-        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_g_{k}")) for k in family])
-        ranked = ranked.join(sizes, same, "left")
-    else:
-        ranked = ranked.withColumn("_m", df.agg(F.count(p)).scalar())
-    scaled = ranked.withColumn("_scaled", p * F.col("_m") / F.col("_rank"))
-    stepped = ordered_scan(
-        scaled.select(*df.columns, "_scaled"), family, order, {"_min": smallest_from_here(F.col("_scaled"))}, group_limit
-    )
-    return stepped.withColumn(out, F.when(p.isNotNull(), F.least(F.lit(1.0), "_min"))).drop("_scaled", "_min")
+    known = p.isNotNull().cast("bigint")
+    rows = Ordered(df, family, [p_col, *tie], bounded_groups).scan(
+        {"_met": backward(running_sum(known)), "_size": backward(group_total(known))})
+    rows.with_columns({"_scaled": p * F.col("_size") / (F.col("_size") - F.col("_met") + 1)})
+    rows.scan({"_least": smallest_from_here(F.col("_scaled"))})
+    rows.with_columns({out: F.when(p.isNotNull(), F.least(F.lit(1.0), "_least"))})
+    return rows.result("_met", "_size", "_scaled", "_least")

@@ -14,7 +14,6 @@ from dayspan.functions.ratings import RATING_LEVELS, bin_top, rating_text
 from dayspan.operators.aggregates import collapse_rare, freq, freq_with_share, summarize_columns
 from dayspan.operators.association import compare_groups
 from dayspan.operators.joins import exists_flag, full_join_all
-from dayspan.operators.ordered import GROUP_LIMIT
 from dayspan.operators.reshape import melt_ratings, pivot_counts
 from dayspan.operators.select import across, cols_like, subset_ids
 
@@ -22,15 +21,13 @@ from dayspan.operators.select import across, cols_like, subset_ids
 _MOST_LEVELS = 10_000
 
 
-def merge_sources(sources: Sequence[DataFrame], id_col: str, ids=None) -> DataFrame:
-    """Full join of the source tables, restricted to a set of ids.
+def merge_sources(sources: Sequence[DataFrame], id_col: str, ids: DataFrame | None = None) -> DataFrame:
+    """Full join of the source tables, restricted to a set of ids (the first column of ``ids``).
 
-    The restriction is applied to every source before the join, which gives the
-    same rows because the id is the join key.
+    With ids, these are what the sources are joined onto, so every table is read once.
     """
-    if ids is not None:
-        sources = [subset_ids(s, id_col, ids) for s in sources]
-    return full_join_all(sources, [id_col])
+    within = None if ids is None else ids.select(F.col(f"`{ids.columns[0]}`").alias(id_col))
+    return full_join_all(sources, [id_col], within)
 
 
 def time_since(df: DataFrame, start_col: str, stop_col: str, days_out: str, months_out: str) -> DataFrame:
@@ -70,10 +67,9 @@ def sample_characteristics(df: DataFrame, continuous: Sequence[str], levels: Map
 
 
 def compare_sample(df: DataFrame, members: DataFrame, id_col: str, continuous: Sequence[str],
-                   categorical: Sequence[str], flag: str = "had_event",
-                   group_limit: int | None = GROUP_LIMIT) -> DataFrame:
+                   categorical: Sequence[str], flag: str = "had_event") -> DataFrame:
     """Tests of each variable between ids with and without an event."""
-    return compare_groups(exists_flag(df, members, [id_col], flag), flag, continuous, categorical, group_limit)
+    return compare_groups(exists_flag(df, members, [id_col], flag), flag, continuous, categorical)
 
 
 def ids_with_events(labelled: DataFrame, id_col: str = "record_id", category_col: str = "visit_category") -> DataFrame:

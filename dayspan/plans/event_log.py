@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
 from dayspan.operators.aggregates import collapse_events
-from dayspan.operators.ordered import GROUP_LIMIT, following, ordered_scan, previous, running_count, running_sum
+from dayspan.operators.ordered import following, ordered_scan, previous, running_count, running_sum
 from dayspan.operators.reshape import find_slots, slot_values
 from dayspan.operators.select import decision_split, null_if
 
@@ -35,7 +35,7 @@ class SlotSpec:
 
 
 def build_event_log(wide: DataFrame, id_col: str, specs: Sequence[SlotSpec], panel: DataFrame | None = None,
-                    tie: Sequence[str] = (), group_limit: int | None = GROUP_LIMIT) -> DataFrame:
+                    tie: Sequence[str] = (), bounded_groups: bool = False) -> DataFrame:
     """One row per event, numbered per id overall and within its type, restricted to panel days.
 
     Order is by date (unknown dates last), then by type as listed, then by ``tie``
@@ -63,7 +63,7 @@ def build_event_log(wide: DataFrame, id_col: str, specs: Sequence[SlotSpec], pan
     scans = {"visit_number": running_count()}
     for rank, spec in enumerate(specs):
         scans[spec.number_col] = running_sum((F.col("_type_rank") == rank).cast("bigint"))
-    numbered = ordered_scan(log, [id_col], order, scans, group_limit)
+    numbered = ordered_scan(log, [id_col], order, scans, bounded_groups)
     numbered = numbered.withColumns(
         {s.number_col: F.when(F.col("_type_rank") == r, F.col(s.number_col)) for r, s in enumerate(specs)}
     ).drop("_slot", "_type_rank", *tie)
@@ -74,7 +74,7 @@ def build_event_log(wide: DataFrame, id_col: str, specs: Sequence[SlotSpec], pan
 
 def categorize_visits(df: DataFrame, id_col: str, date_col: str = "date", type_col: str = "visit_type",
                       tie: Sequence[str] = (), out: str = "visit_category",
-                      group_limit: int | None = GROUP_LIMIT) -> DataFrame:
+                      bounded_groups: bool = False) -> DataFrame:
     """Category of an encounter from its neighbours in (date, type, tie) order; the first rule that holds decides."""
     scans = {
         "_type_before": previous(F.col(type_col)),
@@ -82,7 +82,7 @@ def categorize_visits(df: DataFrame, id_col: str, date_col: str = "date", type_c
         "_type_after": following(F.col(type_col)),
         "_date_after": following(F.col(date_col)),
     }
-    seen = ordered_scan(df, [id_col], [date_col, type_col, *tie], scans, group_limit)
+    seen = ordered_scan(df, [id_col], [date_col, type_col, *tie], scans, bounded_groups)
     is_ed, is_hospital = F.col(type_col) == ED, F.col(type_col) == HOSPITAL
     ed_before, hospital_after = F.col("_type_before") == ED, F.col("_type_after") == HOSPITAL
     gap_before = F.datediff(date_col, "_date_before")
@@ -105,14 +105,14 @@ def merge_adjacent_events(df: DataFrame, id_col: str, tie: Sequence[str], decisi
                           reason_col: str = "visit_reason", admit_col: str = "hospitalization_admit_date",
                           discharge_col: str = "hospitalization_discharge_date",
                           stay_col: str = "hospitalization_length_of_stay_days",
-                          group_limit: int | None = GROUP_LIMIT) -> DataFrame:
+                          bounded_groups: bool = False) -> DataFrame:
     """Included encounters, categorized and collapsed to one row per id, day and category.
 
     An encounter on the day after stays a row of its own, because the day is part of the key.
     """
     cleaned = null_if(df, [c for c in text_cols if c in df.columns])
     included = decision_split(cleaned, decision_col)[0] if decision_col else cleaned
-    categorized = categorize_visits(included, id_col, tie=tie, group_limit=group_limit)
+    categorized = categorize_visits(included, id_col, tie=tie, bounded_groups=bounded_groups)
     return collapse_events(
         categorized, [id_col, "date", "visit_category"], reason_col, ["visit_type", *tie],
         min_cols=[admit_col], max_cols=[discharge_col, stay_col],

@@ -17,7 +17,6 @@ from dayspan.functions.labels import (
 )
 from dayspan.models.spec import INTERCEPT
 from dayspan.operators.joins import null_safe_join
-from dayspan.operators.ordered import GROUP_LIMIT
 from dayspan.operators.reshape import with_header_rows
 from dayspan.operators.windows import fdr_bh
 
@@ -25,11 +24,12 @@ JOIN_COLUMNS = ["n", "n_obs", "predictor", "level", "level_number", "n_per_level
 
 
 def results_table(results: DataFrame, excluded: Sequence[str] = (), adjusted: bool = False, include_q: bool = True,
-                  include_anova: bool = False, group_limit: int | None = GROUP_LIMIT) -> DataFrame:
+                  include_anova: bool = False) -> DataFrame:
     """Formatted odds ratios and p values, without the intercept and the excluded predictors."""
     kept = results.filter(~F.coalesce(F.col("predictor").isin(INTERCEPT, *excluded), F.lit(False)))
     if include_q:
-        kept = fdr_bh(kept, "wald_p_value", tie=["predictor", "level_number"], out="_q", group_limit=group_limit)
+        # A few rows per model: they fit a task.
+        kept = fdr_bh(kept, "wald_p_value", tie=["predictor", "level_number"], out="_q", bounded_groups=True)
     interval = interval_text(F.col("or"), F.col("or_ci_low"), F.col("or_ci_high"))
 
     def p_text(column: str):
@@ -50,21 +50,19 @@ def results_table(results: DataFrame, excluded: Sequence[str] = (), adjusted: bo
     )
 
 
-def individual_table(unadjusted: DataFrame, adjusted: DataFrame, excluded: Sequence[str] = ("study_day",),
-                     group_limit: int | None = GROUP_LIMIT) -> DataFrame:
+def individual_table(unadjusted: DataFrame, adjusted: DataFrame, excluded: Sequence[str] = ("study_day",)) -> DataFrame:
     """Unadjusted next to adjusted results with q values, a heading row per predictor."""
-    left = results_table(unadjusted, excluded, False, True, False, group_limit)
-    right = results_table(adjusted, excluded, True, True, False, group_limit)
+    left = results_table(unadjusted, excluded, False, True, False)
+    right = results_table(adjusted, excluded, True, True, False)
     joined = null_safe_join(left, right, JOIN_COLUMNS, "full")
     table = with_header_rows(joined, ["predictor", "n_obs"], F.col("predictor"))
     return table.orderBy("predictor", "level_number")
 
 
-def count_table(unadjusted: DataFrame, adjusted: DataFrame, excluded: Sequence[str] = ("study_day",),
-                group_limit: int | None = GROUP_LIMIT) -> DataFrame:
+def count_table(unadjusted: DataFrame, adjusted: DataFrame, excluded: Sequence[str] = ("study_day",)) -> DataFrame:
     """Unadjusted next to adjusted results; heading rows carry the global p values."""
-    left = results_table(unadjusted, excluded, False, False, True, group_limit)
-    right = results_table(adjusted, excluded, True, False, True, group_limit)
+    left = results_table(unadjusted, excluded, False, False, True)
+    right = results_table(adjusted, excluded, True, False, True)
     joined = null_safe_join(left, right, JOIN_COLUMNS, "full")
     table = with_header_rows(
         joined, ["predictor", "n", "n_obs"],

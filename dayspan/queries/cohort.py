@@ -149,7 +149,7 @@ SELECT record_id, CAST(date AS VARCHAR) AS date, visit_type, reason, CAST(admit_
 
 @query("event_log", f"WITH {EVENT_LOG_SQL}")
 def q_event_log(spark, sf_dir):
-    return build_event_log(wide_slots(spark, sf_dir), "record_id", SPECS)
+    return build_event_log(wide_slots(spark, sf_dir), "record_id", SPECS, bounded_groups=True)
 
 
 @query("event_log_in_panel", f"""WITH {EVENT_LOG_SQL}
@@ -160,14 +160,14 @@ def q_event_log_in_panel(spark, sf_dir):
         F.min(F.col("o_orderdate").cast("date")).alias("s")
     ).withColumn("e", F.date_add("s", 400))
     panel = expand_panel(bounds, "record_id", "s", "e", unique_ids=True)
-    return build_event_log(wide_slots(spark, sf_dir), "record_id", SPECS, panel)
+    return build_event_log(wide_slots(spark, sf_dir), "record_id", SPECS, panel, bounded_groups=True)
 
 
 @query("categorize_visits", f"""WITH {fr.CATEGORIZED_SQL}
 SELECT event_id, record_id, CAST(date AS VARCHAR) AS date, visit_type, visit_category FROM categorized""")
 def q_categorize(spark, sf_dir):
     included = fr.encounters(spark, sf_dir).filter(F.col("include_yes_no") == "yes")
-    return categorize_visits(included, "record_id", tie=["event_id"]).select(
+    return categorize_visits(included, "record_id", tie=["event_id"], bounded_groups=True).select(
         "event_id", "record_id", "date", "visit_type", "visit_category"
     )
 
@@ -177,7 +177,7 @@ SELECT event_id, record_id, CAST(date AS VARCHAR) AS date, visit_type, visit_cat
 def q_categorize_blocks(spark, sf_dir):
     """The same through range-sorted blocks, the way taken for ids with very many rows."""
     included = fr.encounters(spark, sf_dir).filter(F.col("include_yes_no") == "yes")
-    return categorize_visits(included, "record_id", tie=["event_id"], group_limit=0).select(
+    return categorize_visits(included, "record_id", tie=["event_id"]).select(
         "event_id", "record_id", "date", "visit_type", "visit_category"
     )
 

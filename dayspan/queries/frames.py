@@ -65,9 +65,9 @@ def encounters(spark, sf_dir) -> DataFrame:
     )
 
 
-def merged_events(spark, sf_dir, group_limit=1_000_000) -> DataFrame:
+def merged_events(spark, sf_dir, bounded_groups=True) -> DataFrame:
     return merge_adjacent_events(
-        encounters(spark, sf_dir), "record_id", ["event_id"], text_cols=["visit_reason"], group_limit=group_limit
+        encounters(spark, sf_dir), "record_id", ["event_id"], text_cols=["visit_reason"], bounded_groups=bounded_groups
     )
 
 

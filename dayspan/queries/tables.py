@@ -582,7 +582,7 @@ def q_permutation(spark, sf_dir):
 def q_number(spark, sf_dir):
     orders = fr.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     order = ["o_orderdate", "o_orderkey"]
-    return number_rows(orders, "o_custkey", order, "visit_number").drop("o_orderdate")
+    return number_rows(orders, "o_custkey", order, "visit_number", bounded_groups=True).drop("o_orderdate")
 
 
 @query("number_events_in_blocks", """SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey) AS visit_number FROM orders""")
@@ -590,7 +590,7 @@ def q_number_blocks(spark, sf_dir):
     """Three keys hold all rows: numbered through range-sorted blocks."""
     orders = fr.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate")
     order = ["o_orderdate", "o_orderkey"]
-    return number_rows(orders, "o_orderstatus", order, "visit_number", group_limit=0).drop("o_orderdate")
+    return number_rows(orders, "o_orderstatus", order, "visit_number").drop("o_orderdate")
 
 
 @query("dedupe_first_best", """SELECT o_custkey, CAST(day AS VARCHAR) AS day, o_orderkey FROM (
@@ -611,13 +611,13 @@ NEIGHBOUR_SQL = """SELECT o_orderkey, lag(o_orderpriority) OVER w AS previous_ty
 WINDOW w AS (PARTITION BY {key} ORDER BY o_orderdate, o_orderkey)"""
 
 
-def order_neighbours(spark, sf_dir, key, limit):
+def order_neighbours(spark, sf_dir, key, bounded):
     orders = fr.table(spark, sf_dir, "orders").withColumn("day", F.col("o_orderdate").cast("date"))
     orders = orders.select("o_orderkey", key, "day", "o_orderpriority")
     seen = neighbours(
         orders, key, ["day", "o_orderkey"],
         before={"previous_type": "o_orderpriority", "previous_day": "day"}, after={"next_type": "o_orderpriority"},
-        group_limit=limit,
+        bounded_groups=bounded,
     )
     return seen.select(
         "o_orderkey", "previous_type", "next_type", F.datediff("day", "previous_day").alias("days_since_previous")
@@ -626,12 +626,12 @@ def order_neighbours(spark, sf_dir, key, limit):
 
 @query("neighbours", NEIGHBOUR_SQL.format(key="o_custkey"))
 def q_neighbours(spark, sf_dir):
-    return order_neighbours(spark, sf_dir, "o_custkey", 1_000_000)
+    return order_neighbours(spark, sf_dir, "o_custkey", True)
 
 
 @query("neighbours_in_blocks", NEIGHBOUR_SQL.format(key="o_orderstatus"))
 def q_neighbours_blocks(spark, sf_dir):
-    return order_neighbours(spark, sf_dir, "o_orderstatus", 0)
+    return order_neighbours(spark, sf_dir, "o_orderstatus", False)
 
 
 RUN_SQL = """WITH d AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS date FROM events WHERE event_type <> 'view'),
@@ -648,12 +648,13 @@ def user_days(spark, sf_dir):
 
 @query("run_end", RUN_SQL)
 def q_run_end(spark, sf_dir):
-    return run_end(user_days(spark, sf_dir), "user_id", "date")
+    """One row per user and day: a calendar bounds the days of a user."""
+    return run_end(user_days(spark, sf_dir), "user_id", "date", bounded_groups=True)
 
 
 @query("run_end_in_blocks", RUN_SQL)
 def q_run_end_blocks(spark, sf_dir):
-    return run_end(user_days(spark, sf_dir), "user_id", "date", group_limit=0)
+    return run_end(user_days(spark, sf_dir), "user_id", "date")
 
 
 FILL_SQL = """SELECT event_id, {f}(CASE WHEN event_id % 5 = 0 THEN value END IGNORE NULLS) OVER (PARTITION BY {key} ORDER BY ts, event_id ROWS BETWEEN {a}) AS value FROM events"""
@@ -670,18 +671,18 @@ BY_TIME = ["ts", "event_id"]
 
 @query("fill_up", FILL_SQL.format(f="first_value", key="user_id", a="CURRENT ROW AND UNBOUNDED FOLLOWING"))
 def q_fill_up(spark, sf_dir):
-    return fill_up(sparse_values(spark, sf_dir, "user_id"), ["user_id"], BY_TIME, ["value"]).select("event_id", "value")
+    return fill_up(sparse_values(spark, sf_dir, "user_id"), ["user_id"], BY_TIME, ["value"], bounded_groups=True).select("event_id", "value")
 
 
 @query("fill_down", FILL_SQL.format(f="last_value", key="user_id", a="UNBOUNDED PRECEDING AND CURRENT ROW"))
 def q_fill_down(spark, sf_dir):
-    return fill_down(sparse_values(spark, sf_dir, "user_id"), ["user_id"], BY_TIME, ["value"]).select("event_id", "value")
+    return fill_down(sparse_values(spark, sf_dir, "user_id"), ["user_id"], BY_TIME, ["value"], bounded_groups=True).select("event_id", "value")
 
 
 @query("fill_down_in_blocks", FILL_SQL.format(f="last_value", key="event_type", a="UNBOUNDED PRECEDING AND CURRENT ROW"))
 def q_fill_down_blocks(spark, sf_dir):
     rows = sparse_values(spark, sf_dir, "event_type")
-    return fill_down(rows, ["event_type"], BY_TIME, ["value"], group_limit=0).select("event_id", "value")
+    return fill_down(rows, ["event_type"], BY_TIME, ["value"]).select("event_id", "value")
 
 
 WITHIN_SQL = """WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, sum(CASE WHEN event_type = 'error' AND value > 100 THEN 1 ELSE 0 END) AS n FROM events GROUP BY 1, 2),
@@ -719,7 +720,7 @@ def q_unknowns(spark, sf_dir):
 @query("next_value", "SELECT event_id, lead(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_value FROM events")
 def q_next(spark, sf_dir):
     events = fr.table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
-    return next_value(events, "user_id", BY_TIME, "value", "next_value").select("event_id", "next_value")
+    return next_value(events, "user_id", BY_TIME, "value", "next_value", bounded_groups=True).select("event_id", "next_value")
 
 
 BH_SQL = """WITH p AS (SELECT o_orderkey, o_orderpriority, CASE WHEN o_orderkey % 13 <> 0 THEN o_totalprice / 600000 END AS p FROM orders),
@@ -736,13 +737,13 @@ def order_p_values(spark, sf_dir):
 
 @query("fdr_adjusted", BH_SQL.format(f="o_orderpriority"))
 def q_fdr(spark, sf_dir):
-    return fdr_bh(order_p_values(spark, sf_dir), "p", ["o_orderpriority"], ["o_orderkey"]).select("o_orderkey", "q_value")
+    return fdr_bh(order_p_values(spark, sf_dir), "p", ["o_orderpriority"], ["o_orderkey"], bounded_groups=True).select("o_orderkey", "q_value")
 
 
 @query("fdr_adjusted_in_blocks", BH_SQL.format(f="1"))
 def q_fdr_blocks(spark, sf_dir):
     """All rows are one family: ranked through range-sorted blocks."""
-    return fdr_bh(order_p_values(spark, sf_dir), "p", [], ["o_orderkey"], group_limit=0).select("o_orderkey", "q_value")
+    return fdr_bh(order_p_values(spark, sf_dir), "p", [], ["o_orderkey"]).select("o_orderkey", "q_value")
 
 
 @query("sorted_rows", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey ORDER BY r_name, n_name")

@@ -41,11 +41,11 @@ CASES = {
 }
 
 
-@pytest.mark.parametrize("limit", [0, 1000])
-def test_categories(spark, limit):
+@pytest.mark.parametrize("bounded", [False, True])
+def test_categories(spark, bounded):
     rows = [(k, i, day(d), t) for k, (visits, _) in CASES.items() for i, (d, t) in enumerate(visits)]
     df = spark.createDataFrame(rows, "id int, row int, date date, visit_type string")
-    got = {(r["id"], r["row"]): r["visit_category"] for r in categorize_visits(df, "id", tie=["row"], group_limit=limit).collect()}
+    got = {(r["id"], r["row"]): r["visit_category"] for r in categorize_visits(df, "id", tie=["row"], bounded_groups=bounded).collect()}
     for k, (_, expected) in CASES.items():
         assert [got[k, i] for i in range(len(expected))] == expected, k
 
@@ -104,9 +104,9 @@ SPECS = [SlotSpec("hosp(.)_(.*)", "admit_date", HOSPITAL, "hospitalization_numbe
          SlotSpec("edvisit(.)_(.*)", "date", ED, "ed_visit_number")]
 
 
-@pytest.mark.parametrize("limit", [0, 1000])
-def test_event_log_numbers(spark, limit):
-    log = build_event_log(wide_frame(spark), "record_id", SPECS, group_limit=limit)
+@pytest.mark.parametrize("bounded", [False, True])
+def test_event_log_numbers(spark, bounded):
+    log = build_event_log(wide_frame(spark), "record_id", SPECS, bounded_groups=bounded)
     got = sorted((r["record_id"], r["visit_number"], r["visit_type"], r["reason"], r["hospitalization_number"], r["ed_visit_number"])
                  for r in log.collect())
     assert got == [
@@ -115,7 +115,7 @@ def test_event_log_numbers(spark, limit):
         (3, 1, HOSPITAL, None, 1, None), (3, 2, HOSPITAL, "tie", 2, None),
     ]
     panel = spark.createDataFrame([(1, day(2)), (3, day(9))], "record_id int, date date")
-    inside = build_event_log(wide_frame(spark), "record_id", SPECS, panel, group_limit=limit)
+    inside = build_event_log(wide_frame(spark), "record_id", SPECS, panel, bounded_groups=bounded)
     assert sorted((r["record_id"], r["visit_number"]) for r in inside.collect()) == [(1, 1), (1, 2)]
 
 

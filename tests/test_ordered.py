@@ -6,8 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from dayspan.operators.ordered import (
+    block_count,
     following,
-    largest_group,
+    input_bytes,
+    known_after,
+    known_before,
     last_known,
     next_known,
     ordered_scan,
@@ -44,20 +47,23 @@ def brute_force(rows):
             expected[row[0]] = (
                 i + 1, total, values[i - 1] if i else None, values[i + 1] if i + 1 < len(group) else None,
                 earlier[-1] if earlier else None, later[0] if later else None, min(later) if later else None,
+                next((v for v in reversed(values[:i]) if v is not None), None),
+                next((v for v in values[i + 1 :] if v is not None), None),
             )
     return expected
 
 
-@pytest.mark.parametrize("limit", [0, 10_000, None])
-def test_scans_match_brute_force(spark, limit):
+@pytest.mark.parametrize("bounded", [False, True])
+def test_scans_match_brute_force(spark, bounded):
     rows = rows_with_hot_key()
     df = spark.createDataFrame(rows, "id int, key int, day int, value double")
     v = F.col("value")
     scans = {
         "n": running_count(), "total": running_sum(v), "before": previous(v), "after": following(v),
         "down": last_known(v), "up": next_known(v), "low": smallest_from_here(v),
+        "above": known_before(v), "below": known_after(v),
     }
-    got = ordered_scan(df, ["key"], ["day", "id"], scans, limit).collect()
+    got = ordered_scan(df, ["key"], ["day", "id"], scans, bounded).collect()
     assert len(got) == len(rows)
     expected = brute_force(rows)
     for r in got:
@@ -66,16 +72,23 @@ def test_scans_match_brute_force(spark, limit):
 
 def test_scan_without_keys(spark):
     df = spark.range(0, 500, 1, 7).select((F.col("id") * 37 % 501).alias("x"))
-    for limit in (0, 10_000):
-        got = ordered_scan(df, [], ["x"], {"n": running_count()}, limit)
+    for bounded in (False, True):
+        got = ordered_scan(df, [], ["x"], {"n": running_count()}, bounded)
         ordered = sorted((r["x"], r["n"]) for r in got.collect())
         assert [n for _, n in ordered] == list(range(1, 501))
 
 
-def test_largest_group_counts_null_keys(spark):
-    df = spark.createDataFrame([(None,), (None,), (1,)], "k int")
-    assert largest_group(df, ["k"]) == 2
-    assert largest_group(df.filter("k = 5"), ["k"]) == 0
+def test_ties_are_broken_alike(spark):
+    """Rows with equal order get the same numbers in both ways."""
+    df = spark.createDataFrame([(i, i % 2, i % 3, str(i)) for i in range(60)], "id int, k int, day int, note string").repartition(7)
+    ways = [ordered_scan(df, ["k"], ["day"], {"n": running_count()}, bounded) for bounded in (False, True)]
+    assert sorted(ways[0].collect()) == sorted(ways[1].collect())
+
+
+def test_blocks_follow_the_size_of_the_input(spark):
+    assert block_count(spark.createDataFrame([(1,)], "k int")) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert input_bytes(spark.range(1 << 30)) == 8 << 30
+    assert block_count(spark.range(1 << 30)) == 64
 
 
 def bh(ps):
@@ -89,12 +102,12 @@ def bh(ps):
     return out
 
 
-@pytest.mark.parametrize("limit", [0, 10_000])
-def test_fdr(spark, limit):
+@pytest.mark.parametrize("bounded", [False, True])
+def test_fdr(spark, bounded):
     rng = random.Random(1)
     ps = [None if rng.random() < 0.1 else round(rng.random() ** 3, 4) + i * 1e-9 for i in range(200)]
     df = spark.createDataFrame([(i, p) for i, p in enumerate(ps)], "id int, p double")
-    got = {r["id"]: r["q"] for r in fdr_bh(df, "p", tie=["id"], out="q", group_limit=limit).collect()}
+    got = {r["id"]: r["q"] for r in fdr_bh(df, "p", tie=["id"], out="q", bounded_groups=bounded).collect()}
     for i, q in enumerate(bh(ps)):
         assert (got[i] is None) == (q is None)
         if q is not None:
@@ -105,5 +118,5 @@ def test_fdr(spark, limit):
 def test_backward_scans_use_growing_frames(spark):
     """A frame open towards the end is recomputed per row; none may be planned."""
     df = spark.range(10).withColumn("k", F.lit(1))
-    plan = ordered_scan(df, ["k"], ["id"], {"a": next_known(F.col("id")), "b": smallest_from_here(F.col("id"))}, None)
+    plan = ordered_scan(df, ["k"], ["id"], {"a": next_known(F.col("id")), "b": smallest_from_here(F.col("id"))}, True)
     assert "unboundedfollowing" not in plan._jdf.queryExecution().toString().lower()

@@ -153,11 +153,11 @@ def test_event_within(spark, today):
         assert got[i] == int(any(f and kk == k and low <= dd - d < low + 7 for _, kk, dd, f in rows))
 
 
-@pytest.mark.parametrize("limit", [0, 1000])
-def test_run_end_with_duplicate_days(spark, limit):
+@pytest.mark.parametrize("bounded", [False, True])
+def test_run_end_with_duplicate_days(spark, bounded):
     days = [0, 1, 1, 2, 5, 6, 9]
     df = spark.createDataFrame([(1, day(d), i) for i, d in enumerate(days)], "id int, date date, row int")
-    got = {r["row"]: r["run_end"] for r in run_end(df, "id", "date", ["row"], group_limit=limit).collect()}
+    got = {r["row"]: r["run_end"] for r in run_end(df, "id", "date", ["row"], bounded_groups=bounded).collect()}
     assert got == {0: day(1), 1: day(1), 2: day(2), 3: day(2), 4: day(6), 5: day(6), 6: day(9)}
 
 
