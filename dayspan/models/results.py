@@ -9,10 +9,10 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame, SparkSession
 
 from dayspan.functions.tails import chi2_tail
-from dayspan.models.gee import Fit, gee_select
+from dayspan.models.gee import CLUSTER_ROWS, Fit, gee_select
 from dayspan.models.spec import INTERCEPT, ModelSpec
-from dayspan.operators.ordered import GROUP_LIMIT
 
+# The names and the order of the result columns.
 RESULT_SCHEMA = (
     "model_formula string, outcome string, predictors string, interaction_terms string, n bigint, n_obs bigint, "
     "corr_structure string, se_type string, "
@@ -24,6 +24,12 @@ RESULT_SCHEMA = (
 )
 
 
+REPORT_SCHEMA = (
+    "model_formula string, outcome string, corr_structure string, converged boolean, reason string, iterations bigint, "
+    "smallest_eigenvalue double, largest_coefficient double, n bigint, n_obs bigint"
+)
+
+
 def _number(value: float) -> float | None:
     return float(value) if math.isfinite(value) else None
 
@@ -83,28 +89,52 @@ def result_rows(fit: Fit, conf_level: float = 0.95) -> list[dict]:
     return rows
 
 
-def gee_results(spark: SparkSession, fits: Sequence[Fit], conf_level: float = 0.95) -> DataFrame:
-    """Result rows of several models (a few rows per model) as one frame."""
+def gee_results(spark: SparkSession, fits: Sequence[Fit], conf_level: float = 0.95, report: bool = False) -> DataFrame:
+    """Result rows of several models (a few rows per model) as one frame; ``report`` adds whether and why a fit ended."""
     names = [part.split()[0] for part in RESULT_SCHEMA.split(", ")]
-    rows = [tuple(row.get(c) for c in names) for fit in fits for row in result_rows(fit, conf_level)]
-    return spark.createDataFrame(rows, RESULT_SCHEMA)
+    rows = [
+        tuple(row.get(c) for c in names) + ((fit.converged, fit.reason, fit.iterations) if report else ())
+        for fit in fits for row in result_rows(fit, conf_level)
+    ]
+    more = ", converged boolean, reason string, iterations bigint" if report else ""
+    return spark.createDataFrame(rows, RESULT_SCHEMA + more)
 
 
-def gee_sweep(df: DataFrame, outcome: str, predictors: Sequence[str], covariates: Sequence[str], id_col: str,
-              order: Sequence[str], levels: Mapping[str, Sequence[str]] | None = None, conf_level: float = 0.95,
-              group_limit: int | None = GROUP_LIMIT) -> tuple[DataFrame, DataFrame]:
-    """(univariable results, covariate-adjusted results).
+def fit_report(spark: SparkSession, fits: Sequence[Fit]) -> DataFrame:
+    """One row per model: did it converge, in how many passes, and if not, why.
+
+    Reasons are "converged", "separated" (a predictor tells the outcomes apart, so its odds ratio has no finite estimate),
+    "singular" (columns depend on each other) and "not settled". The smallest eigenvalue is that of the information, scaled
+    to a unit diagonal, at the last pass.
+    """
+    rows = [
+        (f.spec.formula, f.spec.outcome, f.corr, f.converged, f.reason, f.iterations, _number(f.smallest_eigenvalue),
+         f.largest_coefficient, f.n_clusters, f.n_obs) for f in fits
+    ]
+    return spark.createDataFrame(rows, REPORT_SCHEMA)
+
+
+def sweep_fits(df: DataFrame, outcome: str, predictors: Sequence[str], covariates: Sequence[str], id_col: str,
+               order: Sequence[str], levels: Mapping[str, Sequence[str]] | None = None,
+               cluster_rows: int = CLUSTER_ROWS) -> tuple[list[Fit], list[Fit]]:
+    """(univariable fits, covariate-adjusted fits).
 
     One model per predictor and covariate, and one per predictor with all covariates.
     All of them are fitted in the same passes over the data.
     """
     single = [ModelSpec(outcome, (p,)) for p in [*predictors, *covariates]]
     adjusted = [ModelSpec(outcome, (*covariates, p)) for p in predictors]
-    fits = gee_select(df, [*single, *adjusted], id_col, order, levels, group_limit)
-    by_formula = {f.spec.formula: f for f in fits}
+    by_formula = {f.spec.formula: f for f in gee_select(df, [*single, *adjusted], id_col, order, levels, cluster_rows)}
 
-    def of(specs: Sequence[ModelSpec]) -> DataFrame:
-        return gee_results(df.sparkSession, [by_formula[s.formula] for s in specs if s.formula in by_formula], conf_level)
+    def of(specs: Sequence[ModelSpec]) -> list[Fit]:
+        return [by_formula[s.formula] for s in specs if s.formula in by_formula]
 
     return of(single), of(adjusted)
 
+
+def gee_sweep(df: DataFrame, outcome: str, predictors: Sequence[str], covariates: Sequence[str], id_col: str,
+              order: Sequence[str], levels: Mapping[str, Sequence[str]] | None = None, conf_level: float = 0.95,
+              cluster_rows: int = CLUSTER_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Result rows of ``sweep_fits``: (univariable results, covariate-adjusted results)."""
+    fits = sweep_fits(df, outcome, predictors, covariates, id_col, order, levels, cluster_rows)
+    return tuple(gee_results(df.sparkSession, part, conf_level) for part in fits)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dayspan.functions.levels import with_levels
@@ -57,69 +59,116 @@ def collapse_events(df: DataFrame, keys: Sequence[str], text_col: str, order: Se
     )
 
 
-def summarize_columns(df: DataFrame, continuous: Sequence[str] = (), categorical: Mapping[str, Sequence[str]] | None = None,
+OVERALL, UNKNOWN = "Overall", "Unknown"
+
+
+@dataclass(frozen=True)
+class FoundLevels:
+    """Levels of a column that are read from its values, sorted, with one of them moved to the end."""
+
+    last: str | None = None
+
+
+def summarize_columns(df: DataFrame, continuous: Sequence[str] = (),
+                      categorical: Mapping[str, Sequence[str] | FoundLevels] | None = None,
                       by: str | None = None, add_overall: bool = False, missing: bool = True) -> DataFrame:
-    """Summary of continuous and categorical columns in one pass over the data.
+    """Summary of continuous and categorical columns.
 
     A continuous variable gives one row per stratum: known and missing count, mean,
     sample sd, minimum, maximum. A categorical one gives one row per level and stratum,
     in level order and with empty levels: count and percentage of the known values.
     Its missing values (and values that are no level) form a row "Unknown" unless
-    ``missing`` is false or there are none. ``by`` names the strata; ``add_overall``
-    adds the stratum "Overall" through grouping sets.
+    ``missing`` is false or there are none. ``FoundLevels`` takes the levels that occur.
+    ``by`` names the strata; ``add_overall`` adds the stratum "Overall", merged from the
+    strata's results. Rows are only read to be counted or summed within their stratum.
     """
-    categorical = categorical or {}
-    text, number = F.lit(None).cast("string"), F.lit(None).cast("double")
-    entries = [
-        F.struct(F.lit(c).alias("variable"), text.alias("level"), F.col(c).cast("double").alias("value"))
-        for c in continuous
-    ] + [
-        F.struct(F.lit(c).alias("variable"), with_levels(F.col(c).cast("string"), lv).alias("level"), number.alias("value"))
-        for c, lv in categorical.items()
-    ]
-    stratum = F.col(by) if by else F.lit("Overall")
-    long = df.select(stratum.alias("_by"), F.inline(F.array(*entries)))
-    keys = [F.col("variable"), F.col("level"), F.col("_by")]
-    grouped = long.groupingSets([keys, keys[:2]], *keys) if by and add_overall else long.groupBy(*keys)
-    shown_stratum = F.when(F.grouping("_by") == 1, "Overall").otherwise(F.col("_by")) if by and add_overall else None
-    counted = grouped.agg(
-        *([shown_stratum.alias("stratum")] if shown_stratum is not None else []),
-        F.count(F.lit(1)).alias("rows"),
-        F.count("value").alias("known"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("sd"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
-    if shown_stratum is None:
-        counted = counted.withColumnRenamed("_by", "stratum")
-
-    # One row per variable and stratum, with the counts by level as a map no longer than the level
-    # list; laid out over the level list, zero cells appear and the data is read only once.
+    parts = []
+    if continuous:
+        parts.append(_moments(df, continuous, by, add_overall))
+    if categorical:
+        parts.append(_level_shares(df, categorical, by, add_overall, missing))
+    columns = ["variable", "stratum", "n", "n_missing", "mean", "sd", "min", "max", "level", "level_number", "percent"]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).select(*columns)
+
+
+def _moments(df: DataFrame, columns: Sequence[str], by: str | None, add_overall: bool) -> DataFrame:
+    """One wide aggregate per stratum (count, mean, sum of squares about it, range), laid out into rows afterwards."""
+    stratum = F.col(by) if by else F.lit(OVERALL)
+    x = [F.col(c).cast("double") for c in columns]
+    wide = df.groupBy(stratum.alias("stratum")).agg(F.count(F.lit(1)).alias("rows"), *[
+        F.struct(F.count(v).alias("n"), F.avg(v).alias("mean"), (F.var_pop(v) * F.count(v)).alias("m2"), F.min(v).alias("min"),
+                 F.max(v).alias("max")).alias(f"_{i}") for i, v in enumerate(x)])
+    scopes = [OVERALL] if by and add_overall else []
+    layout = [(1, i, c, scope) for i, c in enumerate(columns) for scope in [None, *scopes]]
+    # As many rows as the result has: strata by variables, each variable once more for the overall row.
+    names = df.sparkSession.createDataFrame(layout, "_all int, _at int, variable string, _scope string")
+    rows = wide.withColumn("_all", F.lit(1)).join(names, "_all").select(
+        "variable", F.coalesce("_scope", "stratum").alias("stratum"), F.col("_scope").isNotNull().alias("_merged"), "rows",
+        F.get(F.array(*[F.col(f"_{i}") for i in range(len(columns))]), F.col("_at")).alias("m"),
+    ).select("variable", "stratum", "_merged", "rows", "m.*")
+    if scopes:
+        # Sums of squares add up once each mean's distance from the common mean is added.
+        group = Window.partitionBy("variable", "stratum", "_merged")
+        common = F.sum(F.col("n") * F.col("mean")).over(group) / F.nullif(F.sum("n").over(group), F.lit(0))
+        apart = rows.withColumn("_common", common)
+        rows = apart.groupBy("variable", "stratum", "_merged").agg(
+            F.sum("rows").alias("rows"), F.sum("n").alias("n"), F.max("_common").alias("mean"),
+            F.sum(F.col("m2") + F.col("n") * F.pow(F.col("mean") - F.col("_common"), 2)).alias("m2"),
+            F.min("min").alias("min"), F.max("max").alias("max"))
+    return rows.select(
+        "variable", "stratum", "n", (F.col("rows") - F.col("n")).alias("n_missing"), "mean",
+        F.when(F.col("n") > 1, F.sqrt(F.col("m2") / (F.col("n") - 1))).alias("sd"), "min", "max",
+        F.lit(None).cast("string").alias("level"), F.lit(None).cast("bigint").alias("level_number"),
+        F.lit(None).cast("double").alias("percent"))
+
+
+def _level_shares(df: DataFrame, categorical: Mapping[str, Sequence[str] | FoundLevels], by: str | None, add_overall: bool,
+                  missing: bool) -> DataFrame:
+    """Counts per variable, level and stratum, laid out over the levels; from the counts on, all rows are few."""
+    def level_of(name: str, levels: Sequence[str] | FoundLevels) -> Column:
+        value = F.col(name).cast("string")
+        return value if isinstance(levels, FoundLevels) else with_levels(value, levels)
+
+    entries = [F.struct(F.lit(c).alias("variable"), level_of(c, lv).alias("level")) for c, lv in categorical.items()]
+    stratum = F.col(by) if by else F.lit(OVERALL)
+    cell = ["variable", "level", "stratum"]
+    counted = df.select(stratum.alias("stratum"), F.inline(F.array(*entries))).groupBy(*cell).agg(F.count(F.lit(1)).alias("rows"))
+    if by and add_overall:
+        counted = counted.groupingSets([[F.col(c) for c in cell], [F.col(c) for c in cell[:2]]], *cell).agg(
+            F.sum("rows").alias("rows"), (F.grouping("stratum") == 1).alias("_merged"))
+    else:
+        counted = counted.withColumn("_merged", F.lit(False))
+    found = F.collect_set("level").over(Window.partitionBy("variable"))
     level, rows = F.col("level"), F.col("rows")
-    cells = counted.groupBy("variable", "stratum").agg(
+    # The counts of a cell as a map no longer than the level list; laid out over the list, zero cells appear.
+    cells = counted.withColumn("_found", found).groupBy("variable", "stratum", "_merged").agg(
         F.map_from_entries(F.collect_list(F.when(level.isNotNull(), F.struct(level, rows)))).alias("_counts"),
         F.sum(F.when(level.isNotNull(), rows)).alias("_in_levels"),
         F.sum(F.when(level.isNull(), rows)).alias("_outside"),
-        *[F.max(c).alias(c) for c in ("known", "mean", "sd", "min", "max")],
+        F.first("_found").alias("_found"),
     )
-    layout = [(c, "number", None, None) for c in continuous]
-    layout += [(c, "level", v, i) for c, lv in categorical.items() for i, v in enumerate(lv, start=1)]
+    listed = F.lit(None).cast("array<string>")
+    for name, levels in categorical.items():
+        if not isinstance(levels, FoundLevels):
+            own = F.array(*[F.lit(v) for v in levels]).cast("array<string>")
+        else:
+            own = F.array_sort("_found")
+            if levels.last is not None:
+                others = F.filter(own, lambda v, last=levels.last: v != last)
+                own = F.when(F.array_contains("_found", levels.last), F.concat(others, F.array(F.lit(levels.last)))).otherwise(others)
+        listed = F.when(F.col("variable") == name, own).otherwise(listed)
+
+    def entry(name: Column, number: Column, n: Column, share: Column) -> Column:
+        return F.struct(name.alias("level"), number.cast("bigint").alias("level_number"), n.cast("bigint").alias("n"), share.alias("percent"))
+
+    n_in = F.col("_in_levels")
+    in_level = lambda v: F.coalesce(F.element_at("_counts", v), F.lit(0))
+    laid_out = F.transform("_levels", lambda v, i: entry(v, i + 1, in_level(v), F.when(n_in > 0, in_level(v) / n_in * 100)))
     if missing:
-        layout += [(c, "unknown", "Unknown", len(lv) + 1) for c, lv in categorical.items()]
-    frame = df.sparkSession.createDataFrame(layout, "variable string, _kind string, level string, level_number bigint")
-    kind = F.col("_kind")
-    is_number, is_level = kind == "number", kind == "level"
-    in_level = F.coalesce(F.element_at("_counts", level), F.lit(0))
-    laid_out = cells.join(frame, "variable").filter((kind != "unknown") | F.col("_outside").isNotNull())
-    return laid_out.select(
-        "variable", "stratum",
-        F.when(is_number, F.col("known")).when(is_level, in_level).otherwise(F.col("_outside")).alias("n"),
-        F.when(is_number, F.col("_outside") - F.col("known")).alias("n_missing"),
-        *[F.when(is_number, F.col(c)).alias(c) for c in ("mean", "sd", "min", "max")],
-        "level", "level_number",
-        F.when(is_level & (F.col("_in_levels") > 0), in_level / F.col("_in_levels") * 100).alias("percent"),
-    )
+        rest = entry(F.lit(UNKNOWN), F.size("_levels") + 1, F.col("_outside"), F.lit(None).cast("double"))
+        laid_out = F.when(F.col("_outside").isNotNull(), F.concat(laid_out, F.array(rest))).otherwise(laid_out)
+    shown = F.when(F.col("_merged"), F.lit(OVERALL)).otherwise(F.col("stratum").cast("string"))
+    return cells.withColumn("_levels", listed).select("variable", shown.alias("stratum"), F.inline(laid_out))
 
 
 def summarize_continuous(df: DataFrame, cols: Sequence[str], by: str | None = None,
@@ -128,7 +177,7 @@ def summarize_continuous(df: DataFrame, cols: Sequence[str], by: str | None = No
     return summarize_columns(df, cols, None, by, add_overall).drop("level", "level_number", "percent")
 
 
-def summarize_categorical(df: DataFrame, levels: Mapping[str, Sequence[str]], by: str | None = None,
+def summarize_categorical(df: DataFrame, levels: Mapping[str, Sequence[str] | FoundLevels], by: str | None = None,
                           add_overall: bool = False, missing: bool = True) -> DataFrame:
     """Categorical part of ``summarize_columns``."""
     summary = summarize_columns(df, (), levels, by, add_overall, missing)

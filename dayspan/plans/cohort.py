@@ -9,18 +9,14 @@ from pyspark.sql import functions as F
 
 from dayspan.functions.dates import calendar_year, days_between, whole_months
 from dayspan.functions.labels import n_percent
-from dayspan.functions.levels import levels_with_last, recode
+from dayspan.functions.levels import recode
 from dayspan.functions.ratings import RATING_LEVELS, bin_top, rating_text
-from dayspan.operators.aggregates import collapse_rare, freq, freq_with_share, summarize_columns
+from dayspan.operators.aggregates import FoundLevels, collapse_rare, freq, freq_with_share, summarize_columns
 from dayspan.operators.association import compare_groups
 from dayspan.operators.joins import exists_flag, full_join_all
 from dayspan.operators.reshape import melt_ratings, pivot_counts
 from dayspan.operators.select import across, cols_like, subset_ids
 
-# A table with more rows for one variable than this is not read by anyone, and the levels must fit a driver list.
-_MOST_LEVELS = 10_000
-
-
 def merge_sources(sources: Sequence[DataFrame], id_col: str, ids: DataFrame | None = None) -> DataFrame:
     """Full join of the source tables, restricted to a set of ids (the first column of ``ids``).
 
@@ -45,8 +41,7 @@ def sample_characteristics(df: DataFrame, continuous: Sequence[str], levels: Map
 
     ``recodes`` replaces values, ``unknown`` lists columns whose nulls become a level,
     ``rare`` collapses small categories into "Other". Levels of that column may be
-    left out; they are then read from its collapsed values (those left have at
-    least ``rare_below`` rows).
+    left out; they are then those of its collapsed values.
     """
     if rare:
         df = collapse_rare(df, rare, rare_below, out=rare_out)
@@ -55,11 +50,8 @@ def sample_characteristics(df: DataFrame, continuous: Sequence[str], levels: Map
     df = across(df, list(unknown), lambda c: F.coalesce(c, F.lit("Unknown")))
     levels = dict(levels)
     rare_out = rare_out or rare
-    if rare_out and rare_out not in levels:
-        names = df.filter(F.col(rare_out).isNotNull()).select(rare_out).distinct().limit(_MOST_LEVELS + 1).collect()
-        if len(names) > _MOST_LEVELS:
-            raise ValueError(f"{rare_out} has more than {_MOST_LEVELS} levels; raise rare_below or list its levels")
-        levels[rare_out] = levels_with_last([r[0] for r in names])
+    if rare_out:
+        levels.setdefault(rare_out, FoundLevels(last="Other"))
     by = None
     if members is not None:
         df, by = exists_flag(df, members, [id_col], flag), flag
@@ -85,13 +77,11 @@ def event_characteristics(labelled: DataFrame, categories: Sequence[str], years:
                           continuous: Sequence[str] = ("study_day", "hospitalization_length_of_stay_days")) -> DataFrame:
     """Summary of the events: type, year, and continuous columns; no rows for missing values.
 
-    Without ``years`` the levels are the calendar years of the events, which one aggregation brings to the driver.
+    Without ``years`` the levels are the calendar years of the events.
     """
     events = labelled.filter(F.col(category_col).isNotNull()).withColumn("visit_year", calendar_year(F.col(date_col)))
-    if years is None:
-        found = events.agg(F.array_sort(F.collect_set("visit_year"))).first()[0]
-        years = [y for y in found if y is not None]
-    levels = {category_col: list(categories), "visit_year": [str(y) for y in years]}
+    listed = FoundLevels() if years is None else [str(y) for y in years]
+    levels = {category_col: list(categories), "visit_year": listed}
     return summarize_columns(events, continuous, levels, missing=False)
 
 

@@ -64,9 +64,25 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return staged
 
 
+def stage_bucketed(df: DataFrame, label: str, key: str, buckets: int) -> DataFrame:
+    """Write ``df`` as a table in buckets of ``key``: grouping and joining by it need no shuffle any more.
+
+    ``df`` should come hash-partitioned by the key into as many parts, which gives one file per bucket.
+    """
+    spark = df.sparkSession
+    path = new_stage_path(spark, label)
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    df.write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(name)
+    staged = spark.table(name)
+    staged.stage_path, staged.stage_table = path, name
+    return staged
+
+
 def release(*staged: DataFrame) -> None:
     """Delete the files of staged tables that no later result reads."""
     for df in staged:
+        if hasattr(df, "stage_table"):
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {df.stage_table}")
         jvm = df.sparkSession._jvm
         path = jvm.org.apache.hadoop.fs.Path(df.stage_path)
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

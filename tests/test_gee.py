@@ -1,6 +1,7 @@
 """Spark sums against a dense numpy fit, and the result rows."""
 
 import math
+import os
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ from dense_gee import dense_gee
 
 from dayspan.functions.tails import chi2_tail
 from dayspan.models.gee import AR1, EXCHANGEABLE, INDEPENDENCE, PreparedModels, gee_fit, gee_select
-from dayspan.models.results import RESULT_SCHEMA, gee_results, gee_sweep, result_rows
+from dayspan.models.results import RESULT_SCHEMA, fit_report, gee_results, gee_sweep, result_rows
 from dayspan.models.spec import ModelSpec, design
 
 LEVELS = {"x": ["No", "Yes"], "g": ["a", "b", "c", "empty"]}
@@ -41,12 +42,11 @@ def data(spark):
 
 
 @pytest.mark.parametrize("corr", [EXCHANGEABLE, AR1, INDEPENDENCE])
-@pytest.mark.parametrize("limit", [0, 10_000])
-def test_fit_matches_dense(data, corr, limit):
+@pytest.mark.parametrize("cluster_rows", [0, 5, 10_000])
+def test_fit_matches_dense(data, corr, cluster_rows):
+    """All clusters in buckets, the larger ones in parts, or all in parts."""
     df, dense = data
-    if limit == 0 and corr != AR1:
-        pytest.skip("only AR(1) scans neighbours")
-    fit = gee_fit(df, ModelSpec("y", ("t", "x")), "id", ["day"], corr, LEVELS, limit)
+    fit = gee_fit(df, ModelSpec("y", ("t", "x")), "id", ["day"], corr, LEVELS, cluster_rows)
     b, v, a = dense_gee(pick(dense, [0, 1, 2]), corr)
     assert fit.converged
     np.testing.assert_allclose(fit.beta, b, atol=1e-8)
@@ -107,6 +107,98 @@ def test_separated_predictor_falls_back_to_independence(spark):
     assert len(result_rows(fit)) == 3
 
 
+def separated(spark, n=360):
+    """A predictor that tells the outcomes apart, one that does so on one side only, a constant, and two usual ones."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(n):
+        y = int(rng.random() < 0.4)
+        rows.append((i // 6, i % 6, y, float(y), float(y and i % 3 == 0), 1.0, float(rng.normal()) + 0.5 * y, float(rng.normal())))
+    return spark.createDataFrame(rows, "id int, day int, y int, same double, one_sided double, constant double, a double, b double")
+
+
+def test_separation_is_recognized_and_marked(spark):
+    df = separated(spark)
+    names = ["same", "a", "one_sided", "constant", "b"]
+    fits = gee_select(df, [ModelSpec("y", (n,)) for n in names], "id", ["day"])
+    alone = gee_select(df, [ModelSpec("y", (n,)) for n in ("a", "b")], "id", ["day"])
+    report = {r["model_formula"]: r for r in fit_report(spark, fits).collect()}
+    assert {k: r["reason"] for k, r in report.items()} == {
+        "y ~ same": "separated", "y ~ one_sided": "separated", "y ~ constant": "singular", "y ~ a": "converged", "y ~ b": "converged"}
+    assert all(report[f"y ~ {n}"]["iterations"] < 15 for n in ("same", "one_sided", "constant"))
+    assert [r["converged"] for r in report.values()] == [r["reason"] == "converged" for r in report.values()]
+    assert report["y ~ same"]["corr_structure"] == INDEPENDENCE
+    rows = {(r["model_formula"], r["term"]): r for r in gee_results(spark, fits, report=True).collect()}
+    for name in ("same", "one_sided", "constant"):
+        row = rows[f"y ~ {name}", name]
+        assert all(row[c] is None for c in ("or", "or_ci_low", "or_ci_high", "beta_hat", "std_error", "wald_p_value", "anova_p_value", "QIC"))
+        assert row["converged"] is False and row["n_obs"] == 360
+    # The other side's rate is a finite estimate.
+    rate = df.filter("one_sided = 0").agg({"y": "avg"}).first()[0]
+    assert rows["y ~ one_sided", "(Intercept)"]["beta_hat"] == pytest.approx(math.log(rate / (1 - rate)), abs=1e-4)
+    for fit, neighbour in zip(alone, (fits[1], fits[4])):
+        assert neighbour.corr == fit.corr and neighbour.converged
+        np.testing.assert_allclose(neighbour.beta, fit.beta, atol=1e-9)
+        np.testing.assert_allclose(neighbour.std_error, fit.std_error, atol=1e-9)
+
+
+def test_a_rare_event_is_not_taken_for_separation(spark):
+    """One event among 20,000 has a finite solution far out; the same without it has none."""
+    rows = [(i % 500, i, 0, float(i % 2)) for i in range(40_000)]
+    rows += [(0, 50_000 + i, 1, 0.0) for i in range(9)] + [(1, 60_000, 1, 1.0)]
+    df = spark.createDataFrame(rows, "id int, day int, y int, x double")
+    fit = gee_fit(df, ModelSpec("y", ("x",)), "id", ["day"], INDEPENDENCE)
+    assert fit.reason == "converged" and fit.beta[1] == pytest.approx(math.log(1 / 20_000) - math.log(9 / 20_000), abs=1e-6)
+    fit = gee_fit(df.filter("NOT (x = 1 AND y = 1)"), ModelSpec("y", ("x",)), "id", ["day"], INDEPENDENCE)
+    assert fit.reason == "separated" and np.isnan(fit.beta[1]) and fit.beta[0] == pytest.approx(math.log(9 / 20_000), abs=1e-3)
+
+
+def test_models_share_one_narrow_table(spark, tmp_path):
+    """Eight models of the same columns take little more room than the largest of them, and know their own rows."""
+    rng = np.random.default_rng(8)
+    rows = [(i // 20, i % 20, float(rng.normal()), None if i % 7 == 0 else float(rng.normal()), float(rng.integers(0, 2)), int(rng.integers(0, 2)))
+            for i in range(20_000)]
+    df = spark.createDataFrame(rows, "id int, day int, a double, b double, c double, y int")
+    sets = [("a", "b", "c"), ("a",), ("b",), ("c",), ("a", "b"), ("a", "c"), ("b", "c"), ("c", "a", "b")]
+    many = PreparedModels(df, [ModelSpec("y", s) for s in sets], "id", ["day"])
+    one = PreparedModels(df, [ModelSpec("y", sets[0])], "id", ["day"])
+
+    def size(prepared):
+        root = prepared.data.stage_path.removeprefix("file:")
+        return sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(root) for f in files if f.endswith(".parquet"))
+
+    assert many.class_of == [0, 1, 0, 1, 0, 1, 0, 0]
+    assert many.data.count() == df.count() and one.data.count() == df.filter("b IS NOT NULL").count()
+    # Two classes of rows (with and without b): the row before is kept for each.
+    assert size(many) <= 1.5 * size(one)
+    together, apart = many.fit(AR1), one.fit(AR1)
+    np.testing.assert_allclose(together[0].beta, apart[0].beta, atol=1e-9)
+    np.testing.assert_allclose(together[0].covariance, apart[0].covariance, atol=1e-9)
+    for m in (1, 5, 6):
+        single = gee_fit(df, ModelSpec("y", sets[m]), "id", ["day"], AR1)
+        np.testing.assert_allclose(together[m].beta, single.beta, atol=1e-9)
+        assert together[m].n_obs == single.n_obs
+
+
+def test_a_pass_has_one_exchange(spark, data):
+    df, _ = data
+    prepared = PreparedModels(df, [ModelSpec("y", ("t", "x")), ModelSpec("y", ("x",))], "id", ["day"], LEVELS)
+    for corr in (EXCHANGEABLE, AR1):
+        zero = {m: np.zeros(len(prepared.columns[m])) for m in (0, 1)}
+        plan = prepared.pass_frame(corr, [0, 1], zero, {0: 0.1, 1: 0.1})._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(m") == 1 and plan.count("Exchange ") == 1
+    prepared.release()
+    assert not os.path.exists(prepared.data.stage_path.removeprefix("file:"))
+
+
+def test_many_models_fill_several_words(spark, data):
+    df, _ = data
+    specs = [ModelSpec("y", ("x",)) if i % 2 else ModelSpec("y", ("t",)) for i in range(130)]
+    holes = df.selectExpr("id", "day", "IF(day % 3 = 1, NULL, t) AS t", "x", "y")
+    prepared = PreparedModels(holes, specs, "id", ["day"], LEVELS)
+    assert prepared.class_of == [i % 2 for i in range(130)]
+
+
 def test_fit_statistics(data):
     df, dense = data
     fit = gee_fit(df, ModelSpec("y", ("t", "x")), "id", ["day"], AR1, LEVELS)
