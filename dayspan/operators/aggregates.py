@@ -64,7 +64,7 @@ OVERALL, UNKNOWN = "Overall", "Unknown"
 
 @dataclass(frozen=True)
 class FoundLevels:
-    """Levels of a column that are read from its values, sorted, with one of them moved to the end."""
+    """Levels of a column that are read from its values, sorted; ``last`` is a level that ends the list, found or not."""
 
     last: str | None = None
 
@@ -87,8 +87,7 @@ def summarize_columns(df: DataFrame, continuous: Sequence[str] = (),
         parts.append(_moments(df, continuous, by, add_overall))
     if categorical:
         parts.append(_level_shares(df, categorical, by, add_overall, missing))
-    columns = ["variable", "stratum", "n", "n_missing", "mean", "sd", "min", "max", "level", "level_number", "percent"]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).select(*columns)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _moments(df: DataFrame, columns: Sequence[str], by: str | None, add_overall: bool) -> DataFrame:
@@ -154,8 +153,7 @@ def _level_shares(df: DataFrame, categorical: Mapping[str, Sequence[str] | Found
         else:
             own = F.array_sort("_found")
             if levels.last is not None:
-                others = F.filter(own, lambda v, last=levels.last: v != last)
-                own = F.when(F.array_contains("_found", levels.last), F.concat(others, F.array(F.lit(levels.last)))).otherwise(others)
+                own = F.concat(F.filter(own, lambda v: v != levels.last), F.array(F.lit(levels.last)))
         listed = F.when(F.col("variable") == name, own).otherwise(listed)
 
     def entry(name: Column, number: Column, n: Column, share: Column) -> Column:
@@ -167,8 +165,10 @@ def _level_shares(df: DataFrame, categorical: Mapping[str, Sequence[str] | Found
     if missing:
         rest = entry(F.lit(UNKNOWN), F.size("_levels") + 1, F.col("_outside"), F.lit(None).cast("double"))
         laid_out = F.when(F.col("_outside").isNotNull(), F.concat(laid_out, F.array(rest))).otherwise(laid_out)
-    shown = F.when(F.col("_merged"), F.lit(OVERALL)).otherwise(F.col("stratum").cast("string"))
-    return cells.withColumn("_levels", listed).select("variable", shown.alias("stratum"), F.inline(laid_out))
+    shown = F.when(F.col("_merged"), F.lit(OVERALL)).otherwise(F.col("stratum"))
+    no_moments = {c: F.lit(None).cast("double") for c in ("mean", "sd", "min", "max")} | {"n_missing": F.lit(None).cast("bigint")}
+    return cells.withColumn("_levels", listed).select("variable", shown.alias("stratum"), F.inline(laid_out)).withColumns(
+        no_moments).select("variable", "stratum", "n", "n_missing", "mean", "sd", "min", "max", "level", "level_number", "percent")
 
 
 def summarize_continuous(df: DataFrame, cols: Sequence[str], by: str | None = None,

@@ -556,7 +556,7 @@ def q_rank(spark, sf_dir):
 @query("rank_sum_in_blocks", RANK_SQL)
 def q_rank_blocks(spark, sf_dir):
     return compare_groups(
-        returned_lines(spark, sf_dir), "returned", continuous=["l_quantity", "l_extendedprice"], group_limit=0
+        returned_lines(spark, sf_dir), "returned", continuous=["l_quantity", "l_extendedprice"]
     )
 
 
