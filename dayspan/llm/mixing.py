@@ -31,8 +31,8 @@ from dayspan.llm.common import stage
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Cells of a source that one row of the slot generator stands for.
-_CHUNK = 1 << 16
+#: Cells of a source that one row of the slot generator stands for, and cells of a generating task.
+_CHUNK, _CELLS = 1 << 13, 1 << 18
 
 
 def source_targets(sizes: DataFrame, weights: int = 3, most: int = 3) -> DataFrame:
@@ -106,10 +106,13 @@ def _rank(cell: str, first: str, end: str, bits: int) -> Column:
 
 
 def slots(grid: DataFrame, bits: int) -> DataFrame:
-    """Slots of the mix: number (of the source), rank and slot. Large sources are dealt out in chunks of cells."""
+    """Slots of the mix: number (of the source), rank and slot. Large sources are dealt out in chunks of cells.
+
+    The number of tasks is given, because the chunks' own bytes say nothing of what they unfold to.
+    """
     chunks = grid.where("end > first").select(
         "number", "first", "end", F.explode(F.sequence("first", F.col("end") - 1, F.lit(_CHUNK))).alias("at")
-    ).repartition("number", "at")
+    ).repartition(max(1, (1 << bits) // _CELLS), "number", "at")
     cells = chunks.select(
         "number", "first", "end", F.explode(F.sequence("at", F.least(F.col("at") + _CHUNK, F.col("end")) - 1)).alias("cell")
     )
@@ -162,7 +165,8 @@ def mix_schedule(docs: DataFrame, grid: DataFrame, bits: int, seed: int = 2024)
         .select("number", "rank", "epoch", "doc_id", "size", "copy", F.col("from").alias("at"),
                 (F.col("from") - F.col("at")).alias("start"), (F.col("to") - F.col("from")).alias("length"))
     )
-    return pieces.join(slots(grid, bits), ["number", "rank"]).drop("rank")
+    # The slots grow with the corpus, but the optimizer takes them for as few as the chunks: no broadcast.
+    return pieces.join(slots(grid, bits).hint("merge"), ["number", "rank"]).drop("rank")
 
 
 def prepare(documents: DataFrame, block: int = 1024, weights: int = 3, most: int = 3) -> tuple[DataFrame, DataFrame, int]:
