@@ -11,8 +11,9 @@ tasks, each taking the open bins of ``FAN_IN`` tasks, until one task has seen th
 task has a bound, and only open bins move.
 
 Token ids are those of the tokenizer file. As its tokens never cross the bounds of its pre-tokenization, a text of
-plain lines of words is cut at its spaces, and each distinct word is encoded once and remembered. Other Latin-1 texts
-are cut into pre-tokenization units, and texts beyond Latin-1 go to the tokenizer whole.
+plain lines of words is cut at its spaces, and other Latin-1 texts into pre-tokenization units; each distinct word or
+unit is encoded once and remembered. Texts beyond Latin-1, and those in which an added token of the file is written
+out, go to the tokenizer whole.
 
 A null text is empty and still gets its end id. Rows of equal id are packed separately. A null id is kept. Ties of
 free space are broken by taking the bin that got this space last. Extra columns are not read.
@@ -20,12 +21,11 @@ free space are broken by taking the bin that got this space last. Extra columns
 
 from __future__ import annotations
 
-import json
 import re
 import sys
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cached_property, reduce
 
 import pyarrow as pa
@@ -53,23 +53,7 @@ _LATIN_1 = re.compile(r"[\x00-\xff]*\Z")
 #: White space other than one space between words and one line end between lines; such a text is cut into units.
 _LOOSE = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", "\x85", "\xa0")
 #: Only short words are remembered, and so many of them.
-_REMEMBERED_CHARS, _REMEMBERED_WORDS = 32, 500_000
-
-
-def rank_encoding(path: str):
-    """The vocabulary of a byte-level tokenizer file as ranked merges, or None where ids don't follow the order of merges."""
-    import tiktoken
-
-    with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
-    vocabulary = model["vocab"]
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that the file shows as themselves; others as 256 and on
-    code = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
-    merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
-    if sorted(vocabulary[c] for c in code) != list(range(256)) or [vocabulary[t] for t in merged] != list(range(256, 256 + len(merged))):
-        return None
-    ranks = {bytes(code[c] for c in t): vocabulary[t] for t in (*code, *merged)}
-    return tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+_REMEMBERED_CHARS, _REMEMBERED_WORDS = 32, 300_000
 
 
 class Encoder:
@@ -79,47 +63,46 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.ranked = rank_encoding(path)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return _as_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def units(self, text: str) -> bytes:
         """Ids of a Latin-1 text by its pre-tokenization units."""
-        if self.ranked is None:
-            return self.whole(text)
-        # Merging takes time with the square of a unit's length here, so long ones are left to the tokenizer.
-        return b"".join([
-            _as_bytes(self.ranked._encode_single_piece(u)) if len(u) <= 256 else self.whole(u) for u in _UNITS.findall(text)
-        ])
+        return _joined(self.pieces, _UNITS.findall(text), self.whole)
 
     def ids(self, text: str) -> bytes:
-        if not _LATIN_1.match(text):
+        if not _LATIN_1.match(text) or any(t in text for t in self.added):
             return self.whole(text)
         if any(s in text for s in _LOOSE) or text[:1] in ("", " ", "\n") or text[-1:] in (" ", "\n"):
             return self.units(text)
         # A space belongs to the word after it, a line end is a unit of its own: mark line starts to tell them apart.
-        words, known = text.replace("\n", " \n").split(" "), self.words
+        words = text.replace("\n", " \n").split(" ")
         words[0] = "\n" + words[0]
-        try:
-            out = b"".join([known[w] for w in words])
-        except KeyError:
-            if len(known) > _REMEMBERED_WORDS:
-                known.clear()
-            extra = {}
-            for w in words:
-                if w not in known and w not in extra:
-                    (known if len(w) <= _REMEMBERED_CHARS else extra)[w] = self.units(w if w[:1] == "\n" else " " + w)
-            out = b"".join([known[w] if w in known else extra[w] for w in words])
-        return out[len(self.newline):]
+        return _joined(self.words, words, lambda w: self.units(w if w[:1] == "\n" else " " + w))[len(self.newline):]
 
     @cached_property
     def newline(self) -> bytes:
         return self.units("\n")
 
 
+def _joined(known: dict[str, bytes], parts: list[str], encode: Callable[[str], bytes]) -> bytes:
+    """Ids of all parts; short ones are remembered."""
+    try:
+        return b"".join([known[p] for p in parts])
+    except KeyError:
+        if len(known) > _REMEMBERED_WORDS:
+            known.clear()
+        extra = {}
+        for p in parts:
+            if p not in known and p not in extra:
+                (known if len(p) <= _REMEMBERED_CHARS else extra)[p] = encode(p)
+        return b"".join([known[p] if p in known else extra[p] for p in parts])
+
+
 def _as_bytes(ids: list[int]) -> bytes:
     out = array("I", ids)
     if sys.byteorder == "big":

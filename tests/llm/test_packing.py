@@ -19,7 +19,9 @@ def tokenizer():
 
 
 @pytest.mark.parametrize("text", ["", " ", "a", "it's we'll 'tis", "Größe ß ½ x²  y\n\n\n z \t\t ", "\x1c\x1d a\x85b\xa0c", "œuvre – 中文 ᾳ",
-                                  " " * 300, "a" * 5000, "_-__ 12ab34 \x00\x7f", "tab\t\tnew\r\nline ", "!!! ??\xad\xb4 ª"])
+                                  " " * 300, "a" * 5000, "_-__ 12ab34 \x00\x7f", "tab\t\tnew\r\nline ", "!!! ??\xad\xb4 ª",
+                                  "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y", "<|endoftext|> a\nb <|endoftext|>",
+                                  "中文 <|endoftext|> ü", "< |endoftext|> <|endoftext|", "word " * 50 + "<|endoftext|>"])
 def test_ids_are_those_of_the_tokenizer(tokenizer, text):
     want = b"".join(i.to_bytes(4, "little") for i in tokenizer.encode(text, add_special_tokens=False).ids)
     assert Encoder(PATH).ids(text) == want
@@ -32,6 +34,13 @@ def test_random_latin_texts(tokenizer):
         assert encoder.ids(text) == b"".join(i.to_bytes(4, "little") for i in tokenizer.encode(text, add_special_tokens=False).ids)
 
 
+def test_added_tokens_are_found_anywhere(tokenizer):
+    r, encoder = random.Random(2), Encoder(PATH)
+    for _ in range(100):
+        text = "".join(r.choice(["<|endoftext|>", "a", " ", "\n", "word ", "<|", "endoftext", "|>", "é"]) for _ in range(r.randrange(30)))
+        assert encoder.ids(text) == b"".join(i.to_bytes(4, "little") for i in tokenizer.encode(text, add_special_tokens=False).ids)
+
+
 def test_cut():
     assert cut(5, 10) == [(0, 5)] and cut(10, 10) == [(0, 10)] and cut(25, 10) == [(0, 5), (5, 10), (15, 10)]
 
