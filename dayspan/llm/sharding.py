@@ -3,15 +3,14 @@
 Rows are ordered by (key, row number) and cut into parts of near equal bytes. The cuts are found by probing: each round
 counts the exact bytes and rows below candidate boundaries in one partially aggregated pass over a narrow written table,
 and narrows every boundary's bracket, until the bytes below it are within ``tolerance`` of its share or one row decides.
-Where a boundary falls into the rows of one key, probing goes on by row number, so a key with a third of all rows is
-cut like any other. Then all rows are exchanged once, by part.
+A boundary that falls into the rows of one key moves to the nearer end of them, so equal texts share a shard; only a key
+larger than a shard's share is cut, by probing on by row number. Then all rows are exchanged once, by part.
 
 A shard is a run of parts of bounded row counts, so a row's slot is the exact number of rows in the shard's earlier parts
 plus its number within its part; no task holds a shard.
 
 The driver sees sums per probe: at most ``PROBES`` per boundary. Null texts have size 16 and come first. Rows of equal key
-stay together unless a boundary's tolerance asks for a cut; equal rows are told apart by their row number. Extra
-columns are not read.
+stay together unless they alone exceed a shard; equal rows are told apart by their row number. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -51,8 +50,12 @@ def _between(low: int, high: int, count: int) -> list[int]:
     return sorted({low + (high - low) * i // (count + 1) for i in range(1, count + 1)} - {low, high})
 
 
-def find_splitters(rows: DataFrame, parts: int, tolerance: float) -> list[tuple[int, int]]:
-    """Ascending (key, row number) splitters of ``rows`` (key, number, size): row r belongs to part i if i splitters aren't beyond it."""
+def find_splitters(rows: DataFrame, parts: int, tolerance: float, runs: int = 1) -> list[tuple[int, int]]:
+    """Ascending (key, row number) splitters of ``rows`` (key, number, size): row r belongs to part i if i splitters aren't beyond it.
+
+    Every ``runs`` parts are a shard. Only between parts of one shard, or in a key of more bytes than a shard's share, may a
+    splitter fall into the rows of a key.
+    """
     whole = rows.agg(F.sum("size").alias("b"), F.min("key").alias("lk"), F.max("key").alias("hk"), F.max("number").alias("n")).first()
     if not whole["b"] or parts < 2:
         return []
@@ -90,7 +93,9 @@ def find_splitters(rows: DataFrame, parts: int, tolerance: float) -> list[tuple[
             nearest = min((low, high), key=lambda side: abs(side[1] - target))
             tied = low[0][0] == high[0][0] or high[0] == (low[0][0] + 1, -1)
             closed = tied and (high[0][1] if high[0][0] == low[0][0] else last + 1) - low[0][1] <= 1
-            if abs(nearest[1] - target) <= slack or closed:
+            one_key = low[0][1] == -1 and high[0] == (low[0][0] + 1, -1)
+            whole_key = one_key and i % runs == 0 and high[1] - low[1] <= total * runs // parts
+            if abs(nearest[1] - target) <= slack or closed or whole_key:
                 settled[i] = nearest[0]
                 del brackets[i]
             else:
@@ -116,7 +121,7 @@ def histogram_shards(docs: DataFrame, shards: int = 40, tolerance: float = 0.002
     # Keys leave room for a position beyond the largest.
     rows = rows.withColumn("key", F.least("key", F.lit((1 << 63) - 2)))
     runs = max(1, -(-rows.count() // (shards * PART_ROWS)))
-    splitters = find_splitters(rows, shards * runs, tolerance / runs)
+    splitters = find_splitters(rows, shards * runs, tolerance / runs, runs)
     placed = rows.withColumn("part", probes_upto(F.col("key"), F.col("number"), splitters))
     counts = {r["part"]: r["count"] for r in placed.groupBy("part").count().collect()}
     before = [sum(counts.get(p, 0) for p in range(i - i % runs, i)) for i in range(shards * runs)]
