@@ -6,16 +6,19 @@ sums give the hash of every word by one subtraction, so no Python object is made
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dayspan.session import release, stage
 
-__all__ = ["Words", "bitmap_of", "in_bitmap", "mix", "release", "signed", "stage", "text_slices", "window_hashes", "words_of"]
+__all__ = [
+    "Words", "bitmap_of", "in_bitmap", "map_by_place", "mix", "release", "signed", "stage", "text_slices", "unused", "window_hashes", "words_of",
+]
 
 #: Text of one numpy step; a longer document is a step of its own.
 STEP_BYTES = 1 << 20
@@ -160,9 +163,13 @@ def in_bitmap(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (keys & np.uint64(63))) & np.uint64(1) != 0
 
 
-def same(*names: str, left: str = "", right: str = "") -> Column:
-    """Null-safe equality of equally named keys under two prefixes."""
-    out = F.lit(True)
-    for name in names:
-        out = out & F.col(f"{left}{name}").eqNullSafe(F.col(f"{right}{name}"))
-    return out
+def map_by_place(df: DataFrame, run: Callable, schema: T.StructType) -> DataFrame:
+    """``mapInArrow`` of a function that finds its columns by position, whatever their names."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(run, schema)
+
+
+def unused(name: str, columns: Sequence[str]) -> str:
+    """The name, lengthened until no column has it."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
