@@ -1,10 +1,9 @@
 """Line dedup by content-defined chunks of lines.
 
-A rolling hash over the hashes of a line and the line before it ends a chunk after one line in ``1 / density``; a line
-of at least ``long_words`` words (a paragraph written as one line) is a chunk of its own. Boundaries depend on nearby
-lines only, so an inserted line shifts no boundary beyond the next one. A chunk counts if it has several lines or is such
-a paragraph. Chunk hashes are counted over all documents; only chunks whose hash occurs again are grouped by their bytes,
-and of equal chunks the first (smallest doc_id, then place) stays.
+A rolling hash over the hashes of a line and the line before it ends a chunk after one line in ``1 / density``. Boundaries
+depend on nearby lines only, so an inserted line shifts no boundary beyond the next one. A chunk counts if it has several
+lines. Chunk hashes are counted over all documents; only chunks whose hash occurs again are grouped by their bytes, and of
+equal chunks the first (smallest doc_id, then place) stays.
 
 A fixed-size bitmap of the repeated hashes rules out other chunks before their bytes are shuffled. Grouping is partially
 aggregated, so a chunk that many documents share is one row of a task.
@@ -22,9 +21,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dayspan.llm.common import (
-    _POWERS, NOT_SPACE, bitmap_of, byte_class, in_bitmap, mix, signed, stage, text_slices, words_of,
+    _POWERS, bitmap_of, byte_class, in_bitmap, map_by_place, mix, signed, stage, text_slices, unused,
+    words_of,
 )
 
 BITMAP_BITS = 24
@@ -32,7 +33,7 @@ BITMAP_BITS = 24
 _NOT_LINE_END = ~byte_class(b"\n")
 
 
-def line_chunks(data: np.ndarray, offsets: np.ndarray, density: int, long_words: int):
+def line_chunks(data: np.ndarray, offsets: np.ndarray, density: int):
     """(row, start, end, next start, hash) of the chunks that count; byte positions within the row.
 
     ``end`` is that of the last line, ``next start`` that of the next chunk's first line or of the text.
@@ -41,39 +42,32 @@ def line_chunks(data: np.ndarray, offsets: np.ndarray, density: int, long_words:
     n = len(lines.hashes)
     if not n:
         return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),)
-    solid = NOT_SPACE[data]
-    heads = solid.copy()
-    heads[1:] &= ~solid[:-1]
-    word_sums = np.concatenate([[0], np.cumsum(heads)])
-    word_counts = word_sums[lines.ends] - word_sums[lines.starts]
     row = np.searchsorted(lines.first, np.arange(n), side="right") - 1
-    long = word_counts >= long_words
     before = np.concatenate([np.zeros(1, np.uint64), lines.hashes[:-1]])
     before[1:][row[1:] != row[:-1]] = 0
     rolled = mix(lines.hashes * np.uint64(3) + before)
-    last = (rolled % np.uint64(density) == 0) | long
-    last[:-1] |= long[1:] | (row[1:] != row[:-1])
+    last = rolled % np.uint64(density) == 0
+    last[:-1] |= row[1:] != row[:-1]
     last[-1] = True
     tail = np.flatnonzero(last)
     head = np.concatenate([[0], tail[:-1] + 1])
     up, down = _POWERS.upto(n + 1)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(lines.hashes * up[:n], dtype=np.uint64)])
     hashes = mix((total[tail + 1] - total[head]) * down[head] + (tail - head).astype(np.uint64))
-    counts = (tail > head) | long[tail]
     origin = offsets[row[head]]
     after = np.concatenate([lines.starts[head[1:]], offsets[-1:]])
     after = np.minimum(after, offsets[row[head] + 1])
-    keep = np.flatnonzero(counts)
+    keep = np.flatnonzero(tail > head)
     return tuple(x[keep] for x in (row[head], lines.starts[head] - origin, lines.ends[tail] - origin, after - origin, hashes))
 
 
-def _chunk_rows(density: int, long_words: int, repeated=None):
+def _chunk_rows(density: int, repeated=None):
     """Hashes of all chunks or, given the bitmap of repeated ones, their places and bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, data, offsets in text_slices(batch):
-                row, start, stop, after, hashes = line_chunks(data, offsets, density, long_words)
+                row, start, stop, after, hashes = line_chunks(data, offsets, density)
                 if repeated is None:
                     yield pa.record_batch({"hash": signed(hashes)})
                     continue
@@ -90,15 +84,15 @@ def _chunk_rows(density: int, long_words: int, repeated=None):
     return run
 
 
-def repeated_chunks(docs: DataFrame, density: int = 3, long_words: int = 40) -> DataFrame:
+def repeated_chunks(docs: DataFrame, density: int = 3) -> DataFrame:
     """Ranges to remove: (doc_id, text_hash, at, after) of every chunk that isn't the first of its bytes."""
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("_text_hash"))
-    hashes = texts.select("text").mapInArrow(_chunk_rows(density, long_words), "hash long")
+    hashes = texts.select("text").mapInArrow(_chunk_rows(density), "hash long")
     again = hashes.groupBy("hash").count().where("count > 1")
     repeated = docs.sparkSession.sparkContext.broadcast(bitmap_of(again, "hash", BITMAP_BITS))
     places = stage(
         texts.mapInArrow(
-            _chunk_rows(density, long_words, repeated), "doc_id long, text_hash long, at long, after long, hash long, chunk binary"
+            _chunk_rows(density, repeated), "doc_id long, text_hash long, at long, after long, hash long, chunk binary"
         ),
         "chunks",
     )
@@ -114,7 +108,7 @@ def repeated_chunks(docs: DataFrame, density: int = 3, long_words: int = 40) ->
     )
 
 
-def _cut(names: list[str], place: int):
+def _cut(names: list[str], place: int, count: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, cuts, out = batch.column(place), batch.column(len(names)), []
@@ -130,20 +124,20 @@ def _cut(names: list[str], place: int):
             columns = list(batch.columns[: len(names)])
             columns[place] = pa.array(out, pa.string())
             removed = pa.array([len({(r["at"], r["after"]) for r in c}) if c else 0 for c in cuts.to_pylist()], pa.int64())
-            yield pa.record_batch([*columns, removed], names=[*names, "_removed"])
+            yield pa.record_batch([*columns, removed], names=[*names, count])
 
     return run
 
 
-def remove_repeated_chunks(docs: DataFrame, density: int = 3, long_words: int = 40, count: str = "n_chunks_removed") -> DataFrame:
+def remove_repeated_chunks(docs: DataFrame, density: int = 3, count: str = "n_chunks_removed") -> DataFrame:
     """``docs`` with the repeated chunks cut from ``text``, and the number of them as the last column ``count``."""
+    id_name, hash_name, cuts = (unused(name, docs.columns) for name in ("cut_id", "cut_hash", "cuts"))
     ranges = (
-        repeated_chunks(docs, density, long_words)
-        .groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("at", "after")).alias("_cuts"))
-        .select(F.col("doc_id").alias("_cut_id"), F.col("text_hash").alias("_cut_hash"), "_cuts")
+        repeated_chunks(docs, density)
+        .groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("at", "after")).alias(cuts))
+        .withColumnsRenamed({"doc_id": id_name, "text_hash": hash_name})
     )
-    own = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_cut_id")) & (F.xxhash64("text") == F.col("_cut_hash"))
-    joined = docs.join(ranges, own, "left").select(*docs.columns, "_cuts")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    cut = joined.mapInArrow(_cut(docs.columns, docs.columns.index("text")), f"{fields}, _removed long")
-    return cut.withColumnRenamed("_removed", count)
+    own = F.col("doc_id").cast("bigint").eqNullSafe(F.col(id_name)) & (F.xxhash64("text") == F.col(hash_name))
+    joined = docs.join(ranges, own, "left").drop(id_name, hash_name)
+    schema = T.StructType([*docs.schema.fields, T.StructField(count, T.LongType())])
+    return map_by_place(joined, _cut(docs.columns, docs.columns.index("text"), count), schema)
