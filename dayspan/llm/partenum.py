@@ -2,23 +2,26 @@
 
 A document's set holds the hashes of its distinct word shingles. Two sets link if their Jaccard similarity is at
 least ``percent`` / 100. Sizes are cut into bands; within a band the similarity bounds the number of differing
-elements by some k. A hash cuts the domain of elements into n1 partitions of N2 parts each, and every choice of
-parts within one partition gives one signature, the hash of the set's elements in those parts. As soon as
-n1 * N2 > k, some partition of two linked sets differs in fewer than N2 parts, so they agree on a choice and share
-its signature.
+elements by some k. A hash cuts the domain of elements into n1 partitions of n2 parts each, and every choice of c
+parts within one partition gives one signature, the hash of the set's elements in those parts. An element spoils the
+choices that hold its part; it takes n2 - c + 1 spoiled parts to leave a partition no choice. As soon as
+n1 * (n2 - c + 1) > k, two linked sets agree on a choice and share its signature. Small sets take every two of three
+parts (``SUBSETS``): more elements to a signature, so fewer that are shared by chance. Larger ones, which give most of
+the signatures, take single parts of two, the scheme with the fewest.
 
 That argument may rest on a choice that is empty in both sets, and signatures of nothing are not emitted. So a set
-counts how many differing elements could empty or spoil all of its choices. If k are enough, it also gives
+counts how many differing elements could empty or spoil all of its choices: of a partition with m filled parts, the
+lesser of m and n2 - c + 1. If k are enough, it also gives
 signatures under a domain cut ``FINER`` times as fine, and if those don't suffice either, one for every element.
 Two linked sets both do so, or one of them is covered by the coarser cut; no link is lost.
 
 The flow:
 
 1. every document gets (size, 128-bit digest of its set); equal sets are one class, represented by its smallest id;
-2. signatures are counted with partial aggregation; a signature of one class is finished;
-3. signatures are made again, ruled out by a fixed-size bitmap of those of several classes, and joined with them.
-   Classes that share a signature form a family under the smallest class, so a family is named once, however
-   many signatures its members share;
+2. (signature, class) pairs are made once, sorted by signature in one exchange, and read as a stream; a signature of one
+   class is finished;
+3. classes that share a signature form a family under the smallest of them, so a family is named once, however many
+   signatures its members share;
 4. families are compared in blocks of bounded size, where every pair of blocks is a group. First by sketches, the
    numbers of elements in ``BUCKETS`` ranges of the hash: the sum of their differences is a lower bound of the number
    of differing elements, so classes that no other one of the group can reach need not send their sets;
@@ -35,6 +38,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -45,12 +50,11 @@ from dayspan.llm.common import (
     NOT_SPACE, bitmap_of, in_bitmap, mix, release, signed, stage, text_slices, window_hashes, words_of,
 )
 
-#: Parts of a partition. A choice leaves out all but one, so each part of a partition is a choice and its
-#: partition may hold N2 - 1 differing parts. Fewer left out would mean more signatures to shuffle.
-N2 = 2
+#: Parts of a partition and parts of a choice: up to so many differing elements, and beyond.
+SUBSETS_UPTO, SUBSETS, SINGLES = 30, (3, 2), (2, 1)
 #: How much finer the domain is cut for sets that the first cut doesn't cover.
 FINER = 8
-#: Bits of the bitmaps that rule out rows before a shuffle (8 MB, whatever the number of documents).
+#: Bits of the bitmap that rules out documents before their sets are sent (8 MB, whatever their number).
 BITMAP_BITS = 26
 #: Ranges of a sketch; a count beyond 255 is kept as 255, which only makes the lower bound lower.
 BUCKETS = 128
@@ -126,12 +130,13 @@ def signatures(sets: Sets, percent: int) -> tuple[np.ndarray, np.ndarray]:
         smaller = (low <= sizes) & (sizes <= high)
         larger = (sizes > high) & (-(-sizes * percent // 100) <= high)
         left = np.flatnonzero(smaller | larger) if k else []  # k = 0: only equal sets link, and those are one class
-        for level, n1 in enumerate((-(-(k * 6 // 5 + 3) // N2), FINER * (k + 1))):
+        shape = SUBSETS if k <= SUBSETS_UPTO else SINGLES
+        for level, n1 in enumerate((-(-(k * 6 // 5 + 3) // (shape[0] - shape[1] + 1)), FINER * (k + 1))):
             if len(left):
-                row, value, filled = _cut(sets, left, n1 * N2)
+                row, value, spoilt_by = _cut(sets, left, n1, *shape)
                 rows.append(row)
                 found.append(mix(value + np.uint64((number * 4 + level) * 0x2545F4914F6CDD1D % (1 << 64))))
-                left = left[filled <= k]
+                left = left[spoilt_by <= k]
         if len(left):
             row, at = _spread(sets, left)
             rows.append(row)
@@ -148,18 +153,35 @@ def _spread(sets: Sets, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(rows, lengths), np.repeat(sets.bounds[rows] - before, lengths) + np.arange(lengths.sum())
 
 
-def _cut(sets: Sets, rows: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Under one cut of the domain: (row, hash) of each part that isn't empty, and their number for each row.
+def _cut(sets: Sets, rows: np.ndarray, n1: int, n2: int, chosen: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Under one cut of the domain: (row, hash) of each choice that isn't empty, and for each row how many elements spoil all.
 
     Elements are ascending hashes, and equal ranges of the hash are the parts, so each part is one run.
     """
     row, at = _spread(sets, rows)
-    part = (sets.elements[at] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+    part = (sets.elements[at] >> np.uint64(32)) * np.uint64(n1 * n2) >> np.uint64(32)
     heads = np.flatnonzero((part[1:] != part[:-1]) | (row[1:] != row[:-1])) + 1
     heads = np.concatenate([[0], heads])
     tails = np.concatenate([heads[1:], [len(at)]]) - 1
-    value = mix(sets.totals[at[tails] + 1] - sets.totals[at[heads]]) ^ mix(part[heads] + np.uint64(1))
-    return row[heads], value, np.bincount(np.searchsorted(rows, row[heads]), minlength=len(rows))
+    total = sets.totals[at[tails] + 1] - sets.totals[at[heads]]
+    row, part = row[heads], part[heads].astype(np.int64)
+    partition = part // n2
+    first = np.concatenate([[True], (partition[1:] != partition[:-1]) | (row[1:] != row[:-1])])
+    group = np.cumsum(first) - 1
+    filled = np.bincount(group)
+    cost = np.minimum(filled, n2 - chosen + 1)
+    spoilt_by = np.bincount(np.searchsorted(rows, row[first]), weights=cost, minlength=len(rows)).astype(np.int64)
+    if chosen == 1:
+        return row, mix(total) ^ mix((part + 1).astype(np.uint64)), spoilt_by
+    sums, used = np.zeros((len(filled), n2), np.uint64), np.zeros((len(filled), n2), bool)
+    sums[group, part % n2], used[group, part % n2] = total, True
+    out_rows, out = [], []
+    for number, parts in enumerate(combinations(range(n2), chosen)):
+        held = used[:, parts].any(axis=1)
+        name = (partition[first][held] * comb(n2, chosen) + number + 1).astype(np.uint64)
+        out_rows.append(row[first][held])
+        out.append(mix(sums[held][:, parts].sum(axis=1, dtype=np.uint64)) ^ mix(name))
+    return np.concatenate(out_rows), np.concatenate(out), spoilt_by
 
 
 def _sets(batch: pa.RecordBatch, shingle: int) -> Iterator[tuple[int, int, Sets]]:
@@ -181,7 +203,7 @@ def _digests(shingle: int):
     return run
 
 
-def _signature_rows(shingle: int, percent: int, wanted=None):
+def _signature_rows(shingle: int, percent: int):
     """Signatures of every class that a task meets; copies within a task are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,13 +219,26 @@ def _signature_rows(shingle: int, percent: int, wanted=None):
                 if len(seen) > 1_000_000:
                     seen.clear()
                 keep = fresh[rows]
-                if wanted is not None:
-                    keep &= in_bitmap(wanted.value, found)
                 yield pa.record_batch({"signature": signed(found[keep]), "class": names[rows[keep]]})
 
     return run
 
 
+def _families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(leader, class) of the classes that share a signature with a smaller one, from rows sorted by (signature, class)."""
+    last = leader = None
+    for batch in batches:
+        signature, own = (batch.column(c).to_numpy() for c in ("signature", "class"))
+        if not len(own):
+            continue
+        head = np.concatenate([[signature[0] != last], signature[1:] != signature[:-1]])
+        leaders = own[head] if head[0] else np.concatenate([[leader], own[head]])
+        leading = leaders[np.cumsum(head) - int(head[0])]
+        pairs = np.unique(np.stack([leading, own], axis=1)[own != leading], axis=0)
+        yield pa.record_batch({"leader": pairs[:, 0], "class": pairs[:, 1]})
+        last, leader = signature[-1], leading[-1]
+
+
 def _elements(shingle: int, wanted):
     """Sets of the documents whose id may be that of a representative."""
 
@@ -356,16 +391,12 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80) ->
     own = stage(texts.mapInArrow(_digests(shingle), "doc_id long, size long, a long, b long, sketch binary"), "sets")
     classes = stage(own.where("size > 0").groupBy("a", "b", "size").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch")), "classes")
 
-    # Signatures of at least two classes.
     rows = texts.mapInArrow(_signature_rows(shingle, percent), "signature long, class long")
-    shared = stage(
-        rows.groupBy("signature").agg(F.min("class").alias("leader"), F.max("class").alias("other"))
-        .where("leader <> other").select("signature", "leader"),
-        "signatures",
+    pairs = stage(
+        rows.repartition("signature").sortWithinPartitions("signature", "class").mapInArrow(_families, "leader long, class long").distinct(),
+        "families",
     )
-    repeated = spark.sparkContext.broadcast(bitmap_of(shared, "signature", BITMAP_BITS))
-    again = texts.mapInArrow(_signature_rows(shingle, percent, repeated), "signature long, class long")
-    members = stage(again.join(shared, "signature").select("leader", "class").distinct(), "families")
+    members = pairs.union(pairs.select("leader", F.col("leader").alias("class")).distinct())
 
     # Blocks of each family, by documents and by elements. A class is known by its digest's first half; should two
     # sets share it, both are members.
@@ -402,7 +433,7 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80) ->
         .mapInArrow(_family_links(percent), "u long, v long")
     )
     found = components(links)
-    release(shared, members, near)
+    release(pairs, near)
     named = classes.join(found, classes["id"] == found["node"], "left").select(
         "a", "b", F.coalesce("component", "id").alias("component_id")
     )

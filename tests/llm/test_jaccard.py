@@ -125,3 +125,54 @@ def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "u long, v long")
     got = {r["node"]: r["component"] for r in components(edges).collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, 101: 100}
+
+
+def test_subsets_of_parts_share_a_signature_with_every_linked_set():
+    """Small sets take every two of three parts; whatever may differ within the bound, a signature is shared."""
+    import dayspan.llm.partenum as partenum
+
+    assert partenum.SUBSETS == (3, 2)
+    r = np.random.default_rng(11)
+    for size in (5, 6, 9, 14, 30, 60, 90):
+        for _ in range(40):
+            base = r.integers(0, 1 << 63, size, dtype=np.uint64)
+            k = size * 20 // 180 * 2
+            gone = int(r.integers(0, k // 2 + 1))
+            other = np.concatenate([base[gone:], r.integers(0, 1 << 63, k // 2 - gone if r.random() < 0.5 else gone, dtype=np.uint64)])
+            both, union = len(np.intersect1d(base, other)), len(np.union1d(base, other))
+            if 100 * both < 80 * union:
+                continue
+            sets = Sets.__new__(Sets)
+            parts = [np.sort(base), np.sort(other)]
+            sets.elements, sets.bounds = np.concatenate(parts), np.cumsum([0, len(base), len(other)])
+            sets.sizes = np.diff(sets.bounds)
+            sets.totals = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(sets.elements), dtype=np.uint64)])
+            rows, found = signatures(sets, 80)
+            assert both == union or set(found[rows == 0].tolist()) & set(found[rows == 1].tolist())
+
+
+def test_a_choice_covers_two_parts():
+    """The signatures of a partition with three filled parts: one for each pair, each changed by its own parts only."""
+    from dayspan.llm.partenum import _cut
+
+    r = np.random.default_rng(3)
+    def of(elements):
+        sets = Sets.__new__(Sets)
+        sets.elements = np.sort(elements)
+        sets.bounds, sets.sizes = np.array([0, len(elements)]), np.array([len(elements)])
+        sets.totals = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(sets.elements), dtype=np.uint64)])
+        return _cut(sets, np.array([0]), 1, 3, 2)
+
+    thirds = [r.integers(i << 62, (i + 1) << 62, 4, dtype=np.uint64) // np.uint64(3) + np.uint64(0) for i in range(3)]
+    low, width = [0, (1 << 64) // 3 + 1, 2 * ((1 << 64) // 3) + 2], (1 << 64) // 3 - 2**34
+    thirds = [np.array([low[i] + int(x) % width for x in r.integers(0, 1 << 63, 4)], np.uint64) + np.uint64(2**33) for i in range(3)]
+    _, whole, cost = of(np.concatenate(thirds))
+    assert len(whole) == 3 and cost.tolist() == [2]
+    for i in range(3):
+        changed = [t if j != i else t + np.uint64(5) for j, t in enumerate(thirds)]
+        _, other, _ = of(np.concatenate(changed))
+        assert len(set(whole.tolist()) & set(other.tolist())) == 1
+        _, fewer, cost = of(np.concatenate([t for j, t in enumerate(thirds) if j != i]))
+        assert len(fewer) == 3 and cost.tolist() == [2]
+    _, single, cost = of(thirds[0])
+    assert len(single) == 2 and cost.tolist() == [1]
