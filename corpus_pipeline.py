@@ -8,7 +8,9 @@ Every stage works on all rows that the one before it kept. The first four return
 * benchmark decontamination drops documents in which a window of a benchmark item occurs;
 * best-fit packing gives each remaining document's place in the training sequences.
 
-Rows of equal id: identical ones count as one document for line dedup and as a group for the join, which keeps one.
+A document is its id and text: decisions hold for that pair, known by a 64-bit hash of both, and never for all rows of an
+id. Rows equal in both are one document, of which the join keeps one row. A null id counts like any other value and sorts
+last. Extra columns pass through the first four stages, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,33 +29,49 @@ from dayspan.llm.partenum import jaccard_components
 from dayspan.llm.queries import table, tokenizer_path
 
 
+def apart(name: str) -> str:
+    """A column name that no table has."""
+    return f"_{name}_{uuid.uuid4().hex[:8]}"
+
+
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    key = apart("key")
+    return docs.withColumn(key, F.xxhash64("doc_id", "text")), key
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the labels that the documents carry; a label is never read when its document is judged."""
-    scored = language_scores(docs, docs.select("text", "lang"))
-    return scored.where("not rejected").select(*docs.columns)
+    prefix = apart("language")
+    scored = language_scores(docs, docs.select("text", "lang"), prefix=prefix)
+    return scored.where(~F.col(f"{prefix}rejected")).drop(*[f"{prefix}{c}" for c in ("lang_pred", "score", "rejected")])
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    count = f"_removed_{uuid.uuid4().hex[:8]}"
+    count = apart("removed")
     cut = remove_repeated_chunks(docs, count=count)
-    return cut.where((F.col(count) == 0) | F.col("text").rlike(r"[^ \t-\r]")).select(*docs.columns)
+    return cut.where((F.col(count) == 0) | F.col("text").rlike(r"[^ \t-\r]")).drop(count)
 
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't the smallest id of their component go; so do further rows of the id that stays."""
-    found = jaccard_components(docs.select("doc_id", "text"))
-    gone = found.where("component_id < doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    # Rows of one id are rare: only these are compared with each other.
-    twice = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(twice).select(*docs.columns)
+    """Of the documents of a component the one with the smallest id stays, once."""
+    docs, key = keyed(docs)
+    found = jaccard_components(docs.select(F.col(key).alias("doc_id"), "text")).select(F.col("doc_id").alias("key"), "component_id")
+    ids = docs.groupBy(F.col(key).alias("key")).agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"))).alias("id"), F.count(F.lit(1)).alias("rows"))
+    members = found.distinct().join(ids, "key")
+    kept = members.groupBy("component_id").agg(F.min(F.struct("id", "key", "rows")).alias("kept")).select(
+        F.col("kept.key").alias(key), (F.col("kept.rows") > 1).alias("_repeated"))
+    single, repeated = kept.where("not _repeated").drop("_repeated"), kept.where("_repeated").drop("_repeated")
+    # Rows that occur more than once are few by now: only these are compared with each other.
+    once = docs.join(single, key, "left_semi")
+    return once.unionByName(docs.join(repeated, key, "left_semi").dropDuplicates([key])).drop(key)
 
 
 def drop_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = contamination(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    dirty = found.where("contaminated").select(F.col("doc_id").alias("_dirty")).distinct()
-    return docs.join(dirty, docs["doc_id"].eqNullSafe(F.col("_dirty")), "left_anti").select(*docs.columns)
+    docs, key = keyed(docs)
+    found = contamination(docs.select(F.col(key).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    dirty = found.where("contaminated").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(dirty, key, "left_anti").drop(key)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
