@@ -22,11 +22,12 @@ The flow:
    class is finished;
 3. classes that share a signature form a family under the smallest of them, so a family is named once, however many
    signatures its members share;
-4. families are compared in blocks of bounded size, where every pair of blocks is a group. First by sketches, the
-   numbers of elements in ``BUCKETS`` ranges of the hash: the sum of their differences is a lower bound of the number
-   of differing elements, so classes that no other one of the group can reach need not send their sets;
-5. the rest send their sets, and exact intersections come from a product of 0/1 matrices over the elements that occur
-   twice. Only a spanning forest of the verified links leaves the task;
+4. families are compared in blocks of bounded size, where every pair of blocks is a group, by sketches: the numbers of
+   elements in ``BUCKETS`` ranges of the hash. The sum of their differences is a lower bound of the number of differing
+   elements, so it leaves few pairs, whose components hold every link. A class is in many families but in one component;
+5. components are cut into blocks like families; only now sets are sent, once for each block of their component, and
+   exact intersections come from a product of 0/1 matrices over the elements that occur twice. Only a spanning forest
+   of the verified links leaves the task;
 6. components by alternating star contractions, each round written to the shared folder.
 
 Nulls and empty texts have empty sets and link with nothing. Rows of equal id and text are one document twice: each
@@ -329,24 +330,27 @@ def _batches(rows: Iterator[tuple], names: list[str]) -> Iterator[pa.RecordBatch
 
 
 def _near_by_sketch(percent: int):
-    """Members of each group that some other member may link with: (leader, p, q, piece, id, class)."""
+    """Pairs of ids that join the members of a group which their sketches allow to link: a star for each piece."""
 
     def rows(batches):
-        for key, members in _groups(batches, ["leader", "p", "q"]):
+        for _, members in _groups(batches, ["name", "p", "q"]):
             members = sorted(set(members))
             if len(members) > 1:
-                ids, classes, sizes, sketches = zip(*members)
+                ids, sizes, sketches = zip(*members)
                 pieces = reachable(np.array(sizes), np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, BUCKETS), percent)
-                yield from ((*key, int(piece), i, c) for piece, i, c in zip(pieces, ids, classes) if piece >= 0)
+                first: dict[int, int] = {}
+                for piece, i in zip(pieces.tolist(), ids):
+                    if piece >= 0 and first.setdefault(piece, i) != i:
+                        yield first[piece], i
 
-    return lambda batches: _batches(rows(batches), ["leader", "p", "q", "piece", "id", "class"])
+    return lambda batches: _batches(rows(batches), ["u", "v"])
 
 
-def _family_links(percent: int):
-    """Verified links of each piece of a group as a forest under smallest ids."""
+def _verified_links(percent: int):
+    """Verified links of each group as a forest under smallest ids."""
 
     def rows(batches):
-        for _, members in _groups(batches, ["leader", "p", "q", "piece"]):
+        for _, members in _groups(batches, ["name", "p", "q"]):
             members = sorted(set(members))
             if len(members) > 1:
                 names = [i for i, _ in members]
@@ -356,6 +360,24 @@ def _family_links(percent: int):
     return lambda batches: _batches(rows(batches), ["u", "v"])
 
 
+def _in_blocks(members: DataFrame) -> DataFrame:
+    """Members (name, id, size) of named groups, cut into blocks: a row for each pair (p, q) of blocks that a member is in."""
+    blocks = members.groupBy("name").agg(F.count("*").alias("n"), F.sum("size").alias("e")).select(
+        "name", F.greatest(F.ceil(F.col("n") / BLOCK_DOCS), F.ceil(F.col("e") / BLOCK_ELEMENTS)).cast("int").alias("nb"))
+    return (
+        members.join(blocks, "name")
+        .withColumn("own", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
+        .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+        .withColumn("p", F.least("own", "with").cast("bigint")).withColumn("q", F.greatest("own", "with").cast("bigint"))
+        .drop("nb", "own", "with")
+    )
+
+
+def _by_group(rows: DataFrame, *columns: str) -> DataFrame:
+    group = ["name", "p", "q"]
+    return rows.select(*group, *columns).repartition(*group).sortWithinPartitions(*group)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Smallest reachable node of every node of the edges (u, v): rows (node, component).
 
@@ -398,42 +420,28 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80) ->
     )
     members = pairs.union(pairs.select("leader", F.col("leader").alias("class")).distinct())
 
-    # Blocks of each family, by documents and by elements. A class is known by its digest's first half; should two
-    # sets share it, both are members.
-    held = classes.where("id is not null").withColumnRenamed("a", "class")
-    sizes = held.groupBy("class").agg(F.max("size").alias("size"))
-    blocks = (
-        members.join(sizes, "class").groupBy("leader").agg(F.count("*").alias("n"), F.sum("size").alias("e"))
-        .select("leader", F.greatest(F.ceil(F.col("n") / BLOCK_DOCS), F.ceil(F.col("e") / BLOCK_ELEMENTS)).cast("int").alias("nb"))
+    # A class is known by its digest's first half; should two sets share it, both are members.
+    held = classes.where("id is not null").withColumnRenamed("a", "class").select("class", "id", "size", "sketch")
+    families = members.join(held, "class").withColumnRenamed("leader", "name")
+    near = components(
+        _by_group(_in_blocks(families), "id", "size", "sketch").mapInArrow(_near_by_sketch(percent), "u long, v long")
     )
-    placed = (
-        members.join(blocks, "leader")
-        .withColumn("own", F.pmod(F.xxhash64("class"), F.col("nb")).cast("int"))
-        .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        .select("class", "leader", F.least("own", "with").cast("bigint").alias("p"), F.greatest("own", "with").cast("bigint").alias("q"))
+    release(pairs)
+    pieces = stage(
+        near.select(F.col("component").alias("name"), F.col("node").alias("id"))
+        .union(near.select(F.col("component").alias("name"), F.col("component").alias("id")).distinct())
+        .join(held.select("id", "class", "size"), "id"),
+        "pieces",
     )
-    group = ["leader", "p", "q"]
-    near = stage(
-        placed.join(held, "class").select(*group, "id", "class", "size", "sketch")
-        .repartition(*group).sortWithinPartitions(*group)
-        .mapInArrow(_near_by_sketch(percent), "leader long, p long, q long, piece long, id long, class long"),
-        "near",
-    )
-    representatives = near.select("class", "id").distinct()
-    wanted = spark.sparkContext.broadcast(bitmap_of(representatives, "id", BITMAP_BITS))
+    wanted = spark.sparkContext.broadcast(bitmap_of(pieces, "id", BITMAP_BITS))
     contents = (
         texts.mapInArrow(_elements(shingle, wanted), "class long, id long, elements binary")
-        .join(representatives, ["class", "id"], "left_semi")
+        .join(pieces.select("class", "id"), ["class", "id"], "left_semi")
         .groupBy("class", "id").agg(F.first("elements").alias("elements"))
     )
-    group = [*group, "piece"]
-    links = (
-        near.join(contents, ["class", "id"]).select(*group, "id", "elements")
-        .repartition(*group).sortWithinPartitions(*group)
-        .mapInArrow(_family_links(percent), "u long, v long")
-    )
+    links = _by_group(_in_blocks(pieces).join(contents, ["class", "id"]), "id", "elements").mapInArrow(_verified_links(percent), "u long, v long")
     found = components(links)
-    release(pairs, near)
+    release(pieces)
     named = classes.join(found, classes["id"] == found["node"], "left").select(
         "a", "b", F.coalesce("component", "id").alias("component_id")
     )
