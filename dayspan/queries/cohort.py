@@ -453,7 +453,20 @@ def q_rating_frequency(spark, sf_dir):
     return rating_frequency(labels, ratings, "pain_symptom_day", as_text=False)
 
 
-@query("rating_frequency_text")
+def n_percent_sql(n: str, whole: str) -> str:
+    share = f"rtrim(rtrim(format('{{:.2f}}', round(CAST({n} AS DOUBLE) / {whole} * 100, 2)), '0'), '.')"
+    return f"format('{{:,}}', CAST({n} AS BIGINT)) || ' (' || {share} || '%)'"
+
+
+RATING_TEXTS = ", ".join(
+    f"max(CASE WHEN rating = '{r}' THEN {n_percent_sql('n', 'total')} END) AS \"{r}\"" for r in ("Not endorsed or 0", "1", "2", "3", "4")
+)
+
+
+@query("rating_frequency_text", f"""WITH {fr.SYMPTOMS_SQL}, {RATINGS_LONG_SQL},
+summed AS (SELECT *, sum(n) OVER w AS total, coalesce(sum(n) FILTER (WHERE rating IN ('2', '3', '4')) OVER w, 0) AS severe
+  FROM counted WINDOW w AS (PARTITION BY symptom))
+SELECT symptom, {RATING_TEXTS}, max({n_percent_sql('severe', 'total')}) AS "Moderate-to-severe" FROM summed GROUP BY symptom""")
 def q_rating_frequency_text(spark, sf_dir):
     labels = fr.symptoms(spark, sf_dir)
     ratings = labels.select("record_id", "date", "study_day", "pain_highest_rating", "nausea_highest_rating")
