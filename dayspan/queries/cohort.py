@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from dayspan.operators.windows import study_day
@@ -96,51 +97,49 @@ def q_study_duration(spark, sf_dir):
 
 
 def wide_slots(spark, sf_dir):
-    """Orders of a customer as numbered columns: three hospital slots and two emergency slots."""
+    """All orders of a customer as numbered columns: urgent ones in ten hospital slots, others in ten emergency slots.
+
+    A customer with more orders of a kind has further rows, told apart by ``part``.
+    """
     orders = fr.table(spark, sf_dir, "orders").withColumn("day", F.col("o_orderdate").cast("date"))
     urgent = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
-    slot = (F.col("o_orderkey") % 3).cast("string")
-    first = {
-        f"hosp{i}_{name}": F.min(F.when(urgent & (slot == str(i)), F.struct("o_orderkey", value)))[value_name]
-        for i in range(3)
-        for name, value, value_name in (
-            ("admit_date", F.col("day").alias("v"), "v"), ("reason", F.col("o_orderpriority").alias("v"), "v"),
-        )
-    }
-    first |= {
-        f"edvisit{i}_{name}": F.min(F.when(~urgent & (slot == str(i)), F.struct("o_orderkey", value)))["v"]
-        for i in range(2)
-        for name, value in (("date", F.col("day").alias("v")), ("reason", F.col("o_orderstatus").alias("v")))
-    }
-    return orders.groupBy(F.col("o_custkey").alias("record_id")).agg(*[c.alias(n) for n, c in first.items()])
+    number = F.row_number().over(Window.partitionBy("o_custkey", urgent).orderBy("o_orderkey")) - 1
+    placed = orders.withColumn("n", number).withColumns({"part": F.expr("n div 10"), "slot": F.col("n") % 10})
+    columns = {}
+    for i in range(10):
+        for kind, is_kind, date, reason in (("hosp", urgent, "admit_date", "o_orderpriority"), ("edvisit", ~urgent, "date", "o_orderstatus")):
+            here = is_kind & (F.col("slot") == i)
+            columns[f"{kind}{i + 1:02}_{date}"] = F.max(F.when(here, F.col("day")))
+            columns[f"{kind}{i + 1:02}_reason"] = F.max(F.when(here, F.col(reason)))
+    return placed.groupBy(F.col("o_custkey").alias("record_id"), "part").agg(*[c.alias(n) for n, c in columns.items()])
 
 
 SLOTS_SQL = """
+slotted AS (
+  SELECT o_custkey AS record_id, CAST(o_orderdate AS DATE) AS date, o_orderpriority, o_orderstatus, o_orderpriority IN ('1-URGENT', '2-HIGH') AS is_urgent,
+    row_number() OVER (PARTITION BY o_custkey, o_orderpriority IN ('1-URGENT', '2-HIGH') ORDER BY o_orderkey) - 1 AS k FROM orders
+),
 urgent AS (
-  SELECT o_custkey AS record_id, CAST(o_orderkey % 3 AS VARCHAR) AS slot, min_by(CAST(o_orderdate AS DATE), o_orderkey) AS admit_date,
-    min_by(o_orderpriority, o_orderkey) AS reason
-  FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') GROUP BY 1, 2
+  SELECT record_id, k // 10 AS part, lpad(CAST(k % 10 + 1 AS VARCHAR), 2, '0') AS slot, date AS admit_date, o_orderpriority AS reason FROM slotted WHERE is_urgent
 ),
 other AS (
-  SELECT o_custkey AS record_id, CAST(o_orderkey % 3 AS VARCHAR) AS slot, min_by(CAST(o_orderdate AS DATE), o_orderkey) AS date,
-    min_by(o_orderstatus, o_orderkey) AS reason
-  FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH') AND o_orderkey % 3 < 2 GROUP BY 1, 2
+  SELECT record_id, k // 10 AS part, lpad(CAST(k % 10 + 1 AS VARCHAR), 2, '0') AS slot, date, o_orderstatus AS reason FROM slotted WHERE NOT is_urgent
 )"""
 
 SPECS = [
-    SlotSpec("hosp(.)_(.*)", "admit_date", HOSPITAL, "hospitalization_number"),
-    SlotSpec("edvisit(.)_(.*)", "date", ED, "ed_visit_number"),
+    SlotSpec("hosp(..)_(.*)", "admit_date", HOSPITAL, "hospitalization_number"),
+    SlotSpec("edvisit(..)_(.*)", "date", ED, "ed_visit_number"),
 ]
 
 EVENT_LOG_SQL = SLOTS_SQL + """,
 log AS (
-  SELECT record_id, admit_date AS date, 'Hospitalization' AS visit_type, 0 AS rank, slot, reason, admit_date FROM urgent
-  UNION ALL SELECT record_id, date, 'ED', 1, slot, reason, NULL FROM other
+  SELECT record_id, admit_date AS date, 'Hospitalization' AS visit_type, 0 AS rank, part, slot, reason, admit_date FROM urgent
+  UNION ALL SELECT record_id, date, 'ED', 1, part, slot, reason, NULL FROM other
 ),
 numbered AS (
-  SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY date NULLS LAST, rank, slot) AS visit_number,
-    CASE WHEN rank = 0 THEN row_number() OVER (PARTITION BY record_id, rank ORDER BY date NULLS LAST, slot) END AS hospitalization_number,
-    CASE WHEN rank = 1 THEN row_number() OVER (PARTITION BY record_id, rank ORDER BY date NULLS LAST, slot) END AS ed_visit_number
+  SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY date NULLS LAST, rank, part, slot) AS visit_number,
+    CASE WHEN rank = 0 THEN row_number() OVER (PARTITION BY record_id, rank ORDER BY date NULLS LAST, part, slot) END AS hospitalization_number,
+    CASE WHEN rank = 1 THEN row_number() OVER (PARTITION BY record_id, rank ORDER BY date NULLS LAST, part, slot) END AS ed_visit_number
   FROM log
 )
 SELECT record_id, CAST(date AS VARCHAR) AS date, visit_type, reason, CAST(admit_date AS VARCHAR) AS admit_date,
@@ -149,7 +148,7 @@ SELECT record_id, CAST(date AS VARCHAR) AS date, visit_type, reason, CAST(admit_
 
 @query("event_log", f"WITH {EVENT_LOG_SQL}")
 def q_event_log(spark, sf_dir):
-    return build_event_log(wide_slots(spark, sf_dir), "record_id", SPECS, bounded_groups=True)
+    return build_event_log(wide_slots(spark, sf_dir), "record_id", SPECS, tie=["part"], bounded_groups=True)
 
 
 @query("event_log_in_panel", f"""WITH {EVENT_LOG_SQL}
@@ -160,7 +159,7 @@ def q_event_log_in_panel(spark, sf_dir):
         F.min(F.col("o_orderdate").cast("date")).alias("s")
     ).withColumn("e", F.date_add("s", 400))
     panel = expand_panel(bounds, "record_id", "s", "e", unique_ids=True)
-    return build_event_log(wide_slots(spark, sf_dir), "record_id", SPECS, panel, bounded_groups=True)
+    return build_event_log(wide_slots(spark, sf_dir), "record_id", SPECS, panel, ["part"], bounded_groups=True)
 
 
 @query("categorize_visits", f"""WITH {fr.CATEGORIZED_SQL}
@@ -364,21 +363,18 @@ def q_analysis_excluding(spark, sf_dir):
 
 
 @query("merge_categories", """
-WITH a AS (SELECT c_custkey AS record_id, CASE WHEN c_nationkey % 5 = 0 THEN NULL ELSE c_mktsegment END AS cancer_type_from_emr
-  FROM customer WHERE c_custkey BETWEEN 1001 AND 1183 OR c_custkey < 600),
-b AS (SELECT c_custkey AS record_id, CASE WHEN c_nationkey % 5 = 0 THEN NULL ELSE c_mktsegment END AS cancer_type_from_emr,
-  'type ' || c_nationkey AS category FROM customer WHERE c_custkey % 2 = 0)
+WITH a AS (SELECT c_custkey AS record_id, CASE WHEN c_nationkey % 5 = 0 THEN NULL ELSE c_mktsegment END AS cancer_type_from_emr FROM customer),
+b AS (SELECT c_custkey + 10 AS record_id, CASE WHEN c_nationkey % 5 = 0 THEN NULL ELSE c_mktsegment END AS cancer_type_from_emr,
+  'type ' || c_nationkey AS category FROM customer)
 SELECT coalesce(a.record_id, b.record_id) AS record_id, coalesce(a.cancer_type_from_emr, b.cancer_type_from_emr) AS cancer_type_from_emr,
   b.category AS category_known, '' AS category_new, '' AS notes
 FROM a FULL JOIN b ON a.record_id = b.record_id AND a.cancer_type_from_emr IS NOT DISTINCT FROM b.cancer_type_from_emr""")
 def q_merge_categories(spark, sf_dir):
     customer = fr.table(spark, sf_dir, "customer")
     segment = F.when(F.col("c_nationkey") % 5 == 0, None).otherwise(F.col("c_mktsegment"))
-    diagnoses = customer.filter(F.col("c_custkey").between(1001, 1183) | (F.col("c_custkey") < 600)).select(
-        F.col("c_custkey").alias("record_id"), segment.alias("cancer_type")
-    )
-    known = customer.filter(F.col("c_custkey") % 2 == 0).select(
-        F.col("c_custkey").alias("record_id"), segment.alias("cancer_type_from_emr"),
+    diagnoses = customer.select(F.col("c_custkey").alias("record_id"), segment.alias("cancer_type"))
+    known = customer.select(
+        (F.col("c_custkey") + 10).alias("record_id"), segment.alias("cancer_type_from_emr"),
         F.concat(F.lit("type "), F.col("c_nationkey").cast("string")).alias("category"),
     )
     return merge_categories(

@@ -1,8 +1,9 @@
 """Cohort frames derived from the given tables, in Spark and as SQL common table expressions.
 
 A user of ``events`` plays the participant, the days from the first to the last
-event are the study period (with a pause for every fifth user), large ``error``
-and ``purchase`` events are the encounters, and every event is also a response.
+event are the study period (with a pause for every fifth user), and every event is
+both a response and an encounter under review: large ``error`` and ``purchase`` events
+are mostly included, all others are not.
 """
 
 from __future__ import annotations
@@ -46,18 +47,18 @@ def key_number():
 
 
 def encounters(spark, sf_dir) -> DataFrame:
-    """Reviewed encounters with a free-text decision."""
+    """All events as reviewed encounters with a free-text decision."""
     k = F.col("k")
     hospital = F.col("event_type") == "purchase"
+    minor = ~F.col("event_type").isin("error", "purchase") | (F.col("value") <= 100)
     return (
         table(spark, sf_dir, "events")
-        .filter(F.col("event_type").isin("error", "purchase") & (F.col("value") > 100))
         .withColumns({"k": key_number(), "date": F.col("ts").cast("date")})
         .select(
             "event_id", F.col("user_id").alias("record_id"), "date",
             F.when(hospital, "Hospitalization").otherwise("ED").alias("visit_type"),
             F.when(k % 10 == 0, "NA").otherwise(F.concat(F.lit("reason "), k.cast("string"))).alias("visit_reason"),
-            F.when(k % 7 == 0, "no, planned").when(k % 9 == 0, "unclear").otherwise("yes").alias("include_yes_no"),
+            F.when(minor, "no, minor").when(k % 7 == 0, "no, planned").when(k % 9 == 0, "unclear").otherwise("yes").alias("include_yes_no"),
             F.when(hospital, F.col("date")).alias("hospitalization_admit_date"),
             F.when(hospital, F.date_add("date", k % 5)).alias("hospitalization_discharge_date"),
             F.when(hospital, k % 5).alias("hospitalization_length_of_stay_days"),
@@ -136,11 +137,11 @@ encounters AS (
   SELECT event_id, user_id AS record_id, date,
     CASE WHEN event_type = 'purchase' THEN 'Hospitalization' ELSE 'ED' END AS visit_type,
     CASE WHEN k % 10 = 0 THEN NULL ELSE 'reason ' || k END AS visit_reason,
-    CASE WHEN k % 7 = 0 THEN 'no, planned' WHEN k % 9 = 0 THEN 'unclear' ELSE 'yes' END AS include_yes_no,
+    CASE WHEN event_type NOT IN ('error', 'purchase') OR value <= 100 THEN 'no, minor' WHEN k % 7 = 0 THEN 'no, planned' WHEN k % 9 = 0 THEN 'unclear' ELSE 'yes' END AS include_yes_no,
     CASE WHEN event_type = 'purchase' THEN date END AS admit,
     CASE WHEN event_type = 'purchase' THEN date + k % 5 END AS discharge,
     CASE WHEN event_type = 'purchase' THEN k % 5 END AS stay
-  FROM keyed WHERE event_type IN ('error', 'purchase') AND value > 100
+  FROM keyed
 )"""
 
 CATEGORIZED_SQL = ENCOUNTERS_SQL + """,

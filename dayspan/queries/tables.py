@@ -176,19 +176,19 @@ def q_relocate(spark, sf_dir):
 
 # Joins
 
-CUSTOMER_A = "(SELECT c_custkey AS id, c_acctbal FROM customer WHERE c_custkey % 3 <> 0)"
-CUSTOMER_B = "(SELECT c_custkey AS id, c_mktsegment FROM customer WHERE c_custkey % 2 = 0)"
+CUSTOMER_A = "(SELECT c_custkey AS id, c_acctbal FROM customer)"
+PART_B = "(SELECT p_partkey + 50 AS id, p_brand FROM part)"
 
 
 def two_sides(spark, sf_dir):
-    customer = fr.table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "id")
+    """Two whole tables whose numbers overlap in part."""
     return (
-        customer.filter("id % 3 <> 0").select("id", "c_acctbal"),
-        customer.filter("id % 2 = 0").select("id", "c_mktsegment"),
+        fr.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_acctbal"),
+        fr.table(spark, sf_dir, "part").select((F.col("p_partkey") + 50).alias("id"), "p_brand"),
     )
 
 
-FULL_SQL = f"SELECT coalesce(a.id, b.id) AS id, a.c_acctbal, b.c_mktsegment FROM {CUSTOMER_A} a FULL JOIN {CUSTOMER_B} b ON a.id = b.id"
+FULL_SQL = f"SELECT coalesce(a.id, b.id) AS id, a.c_acctbal, b.p_brand FROM {CUSTOMER_A} a FULL JOIN {PART_B} b ON a.id = b.id"
 
 
 @query("full_join", FULL_SQL)
@@ -202,16 +202,16 @@ def q_full_join_parts(spark, sf_dir):
     return full_join(*two_sides(spark, sf_dir), ["id"])
 
 
-@query("full_join_all", f"""SELECT coalesce(a.id, b.id, c.id) AS id, a.c_acctbal, b.c_mktsegment, c.n_orders
-FROM {CUSTOMER_A} a FULL JOIN {CUSTOMER_B} b ON a.id = b.id
+@query("full_join_all", f"""SELECT coalesce(a.id, b.id, c.id) AS id, a.c_acctbal, b.p_brand, c.n_orders
+FROM {CUSTOMER_A} a FULL JOIN {PART_B} b ON a.id = b.id
 FULL JOIN (SELECT o_custkey AS id, count(*) AS n_orders FROM orders GROUP BY 1) c ON coalesce(a.id, b.id) = c.id""")
 def q_full_join_all(spark, sf_dir):
     counts = freq(fr.table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "id"), ["id"], "n_orders")
     return full_join_all([*two_sides(spark, sf_dir), counts], ["id"])
 
 
-@query("merge_sources", f"""SELECT coalesce(a.id, b.id, c.id) AS id, a.c_acctbal, b.c_mktsegment, c.n_orders
-FROM {CUSTOMER_A} a FULL JOIN {CUSTOMER_B} b ON a.id = b.id
+@query("merge_sources", f"""SELECT coalesce(a.id, b.id, c.id) AS id, a.c_acctbal, b.p_brand, c.n_orders
+FROM {CUSTOMER_A} a FULL JOIN {PART_B} b ON a.id = b.id
 FULL JOIN (SELECT o_custkey AS id, count(*) AS n_orders FROM orders GROUP BY 1) c ON coalesce(a.id, b.id) = c.id
 WHERE coalesce(a.id, b.id, c.id) IN (SELECT user_id FROM events)""")
 def q_merge_sources(spark, sf_dir):
@@ -233,43 +233,40 @@ def q_inner(spark, sf_dir):
 
 
 @query("left_join_all", """SELECT c_custkey, n.n_name, r.r_name FROM customer c
-LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 20) n ON c.c_nationkey = n.n_nationkey
-LEFT JOIN (SELECT n_nationkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA') r
-  ON c.c_nationkey = r.n_nationkey""")
+LEFT JOIN nation n ON CASE WHEN c_acctbal >= 0 THEN c.c_nationkey END = n.n_nationkey
+LEFT JOIN (SELECT n_nationkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey) r
+  ON CASE WHEN c_acctbal >= 0 THEN c.c_nationkey END = r.n_nationkey""")
 def q_left_join_all(spark, sf_dir):
-    customer = fr.table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"))
+    customer = fr.table(spark, sf_dir, "customer").select(
+        "c_custkey", F.when(F.col("c_acctbal") >= 0, F.col("c_nationkey")).alias("nation"))
     nation = fr.table(spark, sf_dir, "nation")
     region = fr.table(spark, sf_dir, "region")
-    names = nation.filter("n_nationkey < 20").select(F.col("n_nationkey").alias("nation"), "n_name")
-    regions = nation.join(region, nation.n_regionkey == region.r_regionkey).filter("r_name <> 'ASIA'").select(
-        F.col("n_nationkey").alias("nation"), "r_name"
-    )
+    names = nation.select(F.col("n_nationkey").alias("nation"), "n_name")
+    regions = nation.join(region, nation.n_regionkey == region.r_regionkey).select(F.col("n_nationkey").alias("nation"), "r_name")
     return left_join_all([customer, names, regions], ["nation"]).drop("nation")
 
 
 @query("left_join_fan_out", f"""WITH {fr.PANEL_SQL},
-big AS (SELECT user_id, CAST(ts AS DATE) AS d, event_type FROM events WHERE value > 100 GROUP BY ALL)
+big AS (SELECT user_id, CAST(ts AS DATE) AS d, event_type FROM events GROUP BY ALL)
 SELECT record_id, CAST(date AS VARCHAR) AS date, study_day, event_type FROM panel LEFT JOIN big ON user_id = record_id AND d = date""")
 def q_fan_out(spark, sf_dir):
-    big = fr.table(spark, sf_dir, "events").filter("value > 100").select(
+    big = fr.table(spark, sf_dir, "events").select(
         F.col("user_id").alias("record_id"), F.col("ts").cast("date").alias("date"), "event_type"
     ).distinct()
     return fr.panel(spark, sf_dir).drop("days_in_study").join(big, ["record_id", "date"], "left")
 
 
-NULLABLE = "CASE WHEN c_nationkey % 4 <> 0 THEN c_nationkey END"
-NULL_SAFE_SQL = f"""WITH a AS (SELECT CAST({NULLABLE} AS BIGINT) AS nation, count(*) AS n_rich FROM customer WHERE c_acctbal > 5000 GROUP BY 1),
-b AS (SELECT CAST({NULLABLE} AS BIGINT) AS nation, count(*) AS n_poor FROM customer WHERE c_acctbal < 0 AND c_nationkey < 18 GROUP BY 1)
-SELECT coalesce(a.nation, b.nation) AS nation, n_rich, n_poor FROM a FULL JOIN b ON a.nation IS NOT DISTINCT FROM b.nation"""
+NULL_SAFE_SQL = """WITH a AS (SELECT CAST(CASE WHEN c_nationkey % 4 <> 0 THEN c_nationkey END AS BIGINT) AS nation, count(*) AS n_customers FROM customer GROUP BY 1),
+b AS (SELECT CAST(CASE WHEN s_nationkey % 3 <> 0 THEN s_nationkey END AS BIGINT) AS nation, count(*) AS n_suppliers FROM supplier GROUP BY 1)
+SELECT coalesce(a.nation, b.nation) AS nation, n_customers, n_suppliers FROM a FULL JOIN b ON a.nation IS NOT DISTINCT FROM b.nation"""
 
 
 def nullable_counts(spark, sf_dir):
-    nation = F.when(F.col("c_nationkey") % 4 != 0, F.col("c_nationkey")).cast("bigint").alias("nation")
-    customer = fr.table(spark, sf_dir, "customer")
-    return (
-        customer.filter("c_acctbal > 5000").groupBy(nation).agg(F.count(F.lit(1)).alias("n_rich")),
-        customer.filter("c_acctbal < 0 AND c_nationkey < 18").groupBy(nation).agg(F.count(F.lit(1)).alias("n_poor")),
-    )
+    def counts(name, key, step, out):
+        nation = F.when(F.col(key) % step != 0, F.col(key)).cast("bigint").alias("nation")
+        return fr.table(spark, sf_dir, name).groupBy(nation).agg(F.count(F.lit(1)).alias(out))
+
+    return counts("customer", "c_nationkey", 4, "n_customers"), counts("supplier", "s_nationkey", 3, "n_suppliers")
 
 
 @query("null_safe_join", NULL_SAFE_SQL)
@@ -293,9 +290,9 @@ def q_exists(spark, sf_dir):
 
 
 @query("slots_to_long", f"""WITH {SLOTS_SQL}
-SELECT record_id, slot, CAST(admit_date AS VARCHAR) AS admit_date, reason FROM urgent""")
+SELECT record_id, part, slot, CAST(admit_date AS VARCHAR) AS admit_date, reason FROM urgent""")
 def q_slots(spark, sf_dir):
-    return slots_to_long(wide_slots(spark, sf_dir), ["record_id"], "hosp(.)_(.*)")
+    return slots_to_long(wide_slots(spark, sf_dir), ["record_id", "part"], "hosp(..)_(.*)")
 
 
 @query("melt_ratings", """SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, 'Discount' AS symptom, l_discount AS highest_rating FROM lineitem
@@ -634,14 +631,14 @@ def q_neighbours_blocks(spark, sf_dir):
     return order_neighbours(spark, sf_dir, "o_orderstatus", False)
 
 
-RUN_SQL = """WITH d AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS date FROM events WHERE event_type <> 'view'),
+RUN_SQL = """WITH d AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS date FROM events),
 m AS (SELECT *, CASE WHEN lead(date) OVER w IS NULL OR lead(date) OVER w - date <> 1 THEN date END AS mark FROM d WINDOW w AS (PARTITION BY user_id ORDER BY date))
 SELECT user_id, CAST(date AS VARCHAR) AS date, CAST(first_value(mark IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY date
   ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS VARCHAR) AS run_end FROM m"""
 
 
 def user_days(spark, sf_dir):
-    return fr.table(spark, sf_dir, "events").filter("event_type <> 'view'").select(
+    return fr.table(spark, sf_dir, "events").select(
         "user_id", F.col("ts").cast("date").alias("date")
     ).distinct()
 
