@@ -150,34 +150,38 @@ class PreparedModels:
     def _known(self, m: int) -> str:
         return " AND ".join(f"{name} IS NOT NULL" for name in self.of_model[m])
 
-    def _classes(self, rows: DataFrame) -> tuple[int, list[int]]:
-        """(number of rows, for each model the first model that knows the same rows), by one aggregation.
+    def _survey(self, rows: DataFrame) -> tuple[int, int, list[int]]:
+        """(rows, rows of the largest cluster, for each model the first model that knows the same rows), in one job.
 
         The models that know a row are the bits of a few words. Where two models differ anywhere, the bit of one
         is set in the other's union of differences.
         """
         models, size = range(len(self.specs)), 60
         words = [" + ".join(f"if({self._known(m)}, {1 << m % size}L, 0L)" for m in models[w : w + size]) for w in range(0, len(models), size)]
-        masks = rows.selectExpr(*[f"{word} AS k{w}" for w, word in enumerate(words)])
-        own = [f"(shiftright(k{m // size}, {m % size}) & 1)" for m in models]
-        sums = masks.agg(F.count(F.lit(1)).alias("n"), *[
-            F.expr(f"bit_or(k{w} ^ ({own[m]} * {(1 << size) - 1}L))").alias(f"d{m}_{w}") for m in models for w in range(len(words))
-        ]).first()
-        if not sums["n"]:
-            return 0, list(models)
-        return sums["n"], [next(i for i in models if not sums[f"d{m}_{i // size}"] >> i % size & 1) for m in models]
+        masks = rows.selectExpr("_id", *[f"{word} AS k{w}" for w, word in enumerate(words)])
+        differences = [f"d{m}_{w}" for m in models for w in range(len(words))]
+        unions = [
+            F.expr(f"bit_or(k{w} ^ ((shiftright(k{m // size}, {m % size}) & 1) * {(1 << size) - 1}L))")
+            for m in models for w in range(len(words))
+        ]
+        found = masks.groupBy("_id").agg(F.count(F.lit(1)).alias("n"), *[u.alias(d) for u, d in zip(unions, differences)]).agg(
+            F.sum("n").alias("n"), F.max("n").alias("largest"), *[F.bit_or(d).alias(d) for d in differences]).first()
+        if not found["n"]:
+            return 0, 0, list(models)
+        classes = [next(i for i in models if not found[f"d{m}_{i // size}"] >> i % size & 1) for m in models]
+        return found["n"], found["largest"], classes
 
     def _write(self, rows: DataFrame, keys: list[str], cluster_rows: int) -> None:
-        n, self.class_of = self._classes(rows)
-        sizes = rows.groupBy("_id").agg(F.count(F.lit(1)).alias("n"))
-        large_ids = stage(sizes.filter(F.col("n") > cluster_rows).select("_id"), "large")
+        n, largest, self.class_of = self._survey(rows)
         buckets = min(max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // _BUCKET_ROWS)), _MOST_BUCKETS)
         self.large = None
-        if large_ids.first():
+        if largest > cluster_rows:
+            large_ids = stage(rows.groupBy("_id").count().filter(F.col("count") > cluster_rows).select("_id"), "large")
             self.large = stage(self._laid_out(rows.join(large_ids, "_id", "left_semi"), keys, False), "gee")
             rows = rows.join(large_ids, "_id", "left_anti")
         self.data = stage_bucketed(self._laid_out(rows.repartition(buckets, "_id"), keys, True), "gee", "_id", buckets)
-        release(large_ids)
+        if self.large is not None:
+            release(large_ids)
 
     def _laid_out(self, rows: DataFrame, keys: list[str], bounded: bool) -> DataFrame:
         """Rows with those before them, once per class of models; equal rows of factors only are kept once with their number."""

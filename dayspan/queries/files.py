@@ -28,6 +28,22 @@ def q_clean_csv(spark, sf_dir):
     return read_clean(spark, path, "csv", exclude_names=["unused", "absent"], exclude_patterns=["Repeat"])
 
 
+@query("typed_csv", """SELECT o_orderkey AS ordrenummer, o_totalprice AS aerlig_pris, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS oere_dag,
+  o_orderstatus AS lodz, CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey END AS u0438u043cu044f, lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS code,
+  o_orderkey % 2 = 0 AS even, CASE WHEN o_orderkey % 5 = 0 THEN 'unknown' ELSE CAST(o_custkey AS VARCHAR) END AS mixed FROM orders""")
+def q_typed_csv(spark, sf_dir):
+    """Headers in other letters and scripts; the types come from all values."""
+    key, customer = F.col("o_orderkey"), F.col("o_custkey")
+    orders = fr.table(spark, sf_dir, "orders").select(
+        key.alias("Ordrenummer"), F.col("o_totalprice").alias("Ærlig pris"), F.col("o_orderdate").cast("date").alias("Œre Dag"),
+        F.col("o_orderstatus").alias("Łódź"), F.when(key % 7 != 0, customer).alias("имя"), F.lpad(customer.cast("string"), 9, "0").alias("code"),
+        (key % 2 == 0).alias("even"), F.when(key % 5 == 0, "unknown").otherwise(customer.cast("string")).alias("mixed"),
+    )
+    path = new_stage_path(spark, "typed")
+    write_stage(orders, path, "csv")
+    return read_clean(spark, path, "csv", infer=True)
+
+
 @query("csv_with_schema_and_nulls", """SELECT o_orderkey, nullif(o_orderpriority, '5-LOW') AS priority, round(o_totalprice, 6) AS total,
   CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day FROM orders""")
 def q_csv_nulls(spark, sf_dir):

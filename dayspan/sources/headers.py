@@ -12,12 +12,28 @@ from pyspark.sql import DataFrame
 ITEM_NUMBER = r"^[1-9|a-z]\d*[\.|\)] "
 EXAMPLES = r" \(e.g.,.*\)"
 
+# Latin letters that have no decomposition into a plain letter and a mark.
+PLAIN_LETTERS = {
+    "Æ": "AE", "æ": "ae", "Ð": "D", "ð": "d", "Đ": "D", "đ": "d", "Ħ": "H", "ħ": "h", "ı": "i", "ĸ": "k", "Ł": "L", "ł": "l", "Ŋ": "NG", "ŋ": "ng",
+    "Ø": "O", "ø": "o", "Œ": "OE", "œ": "oe", "ß": "ss", "ẞ": "SS", "Þ": "TH", "þ": "th", "Ŧ": "T", "ŧ": "t",
+}
+
+
+def _plain(letter: str, after: str) -> str:
+    """Plain letters for one; a pair for a capital is written as a capitalized word unless more capitals follow."""
+    plain = PLAIN_LETTERS.get(letter, letter)
+    return plain if after.isupper() else plain.capitalize() if len(plain) > 1 and letter.isupper() else plain
+
 
 def snake_case(name: str) -> str:
-    """Lower-case words joined by underscores, letters without accents; a leading digit gets an x in front."""
+    """Lower-case words joined by underscores, Latin letters without accents; a leading digit gets an x in front.
+
+    Letters of other scripts are kept apart by their code points: each becomes u and four or more hexadecimal digits.
+    """
     name = name.replace("'", "").replace('"', "").replace("%", "_percent_").replace("#", "_number_")
-    name = unicodedata.normalize("NFKD", name.replace("ß", "ss"))
+    name = unicodedata.normalize("NFKD", "".join(_plain(c, after) for c, after in zip(name, [*name[1:], ""])))
     name = "".join(c for c in name if not unicodedata.combining(c))
+    name = "".join(c if c.isascii() or not c.isalnum() else f"u{ord(c):04x}" for c in name)
     name = re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", name)
     name = re.sub(r"([A-Z]+)([A-Z][a-z])", r"\1_\2", name)
     name = re.sub(r"[^A-Za-z0-9]+", "_", name).strip("_").lower()

@@ -24,10 +24,10 @@ def format_of(path: str) -> str:
 
 
 def read_file(spark: SparkSession, path: str | Sequence[str], fmt: str | None = None,
-              schema: StructType | str | None = None, multi_line: bool = False) -> DataFrame:
+              schema: StructType | str | None = None, multi_line: bool = False, infer: bool = False) -> DataFrame:
     """Read files of one format. In CSV files "NA" and empty cells are null; without a schema all is text.
 
-    ``multi_line`` allows line breaks inside quoted CSV cells, at the price that a
+    ``infer`` types the text columns by their values (see ``typed_columns``). ``multi_line`` allows line breaks inside quoted CSV cells, at the price that a
     file can no longer be split between tasks.
     """
     paths = [path] if isinstance(path, str) else list(path)
@@ -39,14 +39,48 @@ def read_file(spark: SparkSession, path: str | Sequence[str], fmt: str | None =
         reader = reader.schema(schema)
     if fmt == "csv":
         reader = reader.options(header=True, nullValue="NA", multiLine=multi_line, escape='"')
-    return reader.load(paths)
+    df = reader.load(paths)
+    return typed_columns(df) if infer and schema is None else df
+
+
+# Types that a text column may take, the narrowest first, and what a value must look like beyond being castable.
+_TYPES = (("bigint", r"^[+-]?\d+$"), ("double", r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), ("date", r"^\d{4}-\d{1,2}-\d{1,2}$"),
+          ("timestamp_ntz", r"^\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{2}"), ("boolean", r"(?i)^(true|false|t|f)$"))
+
+
+def typed_columns(df: DataFrame) -> DataFrame:
+    """Text columns cast to the first type that every value of theirs has; a column without values stays text.
+
+    One aggregate over all rows decides, with a flag per column and type, so no value is judged by a sample. Numbers with
+    leading zeros stay text, as they are codes.
+    """
+    places = [i for i, (_, kind) in enumerate(df.dtypes) if kind == "string"]
+    if not places:
+        return df
+    numbered = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    checks = []
+    for i in places:
+        value = F.trim(f"c{i}")
+        given = value.isNotNull() & (value != "")
+        for kind, pattern in _TYPES:
+            fits = value.rlike(pattern) & value.try_cast(kind).isNotNull()
+            if kind in ("bigint", "double"):
+                fits &= ~value.rlike(r"^[+-]?0\d")
+            checks.append(F.bool_and(F.when(given, fits)).alias(f"{kind}_{i}"))
+    found = numbered.agg(*checks).first()
+    shown = []
+    for i, name in enumerate(df.columns):
+        kind = next((k for k, _ in _TYPES if i in places and found[f"{k}_{i}"]), None)
+        value = F.col(f"c{i}")
+        shown.append((F.nullif(F.trim(value), F.lit("")).cast(kind) if kind else value).alias(name))
+    return numbered.select(*shown)
 
 
 def read_clean(spark: SparkSession, path: str, fmt: str | None = None, exclude_names: Sequence[str] = (),
-               exclude_patterns: Sequence[str] = (), schema: StructType | str | None = None) -> DataFrame:
-    """Read a file, drop columns by raw header, then clean the remaining names."""
-    raw = read_file(spark, path, fmt, schema)
-    return clean_names(drop_columns(raw, exclude_names, exclude_patterns))
+               exclude_patterns: Sequence[str] = (), schema: StructType | str | None = None, infer: bool = False) -> DataFrame:
+    """Read a file, drop columns by raw header, then clean the remaining names; ``infer`` types what is left."""
+    kept = drop_columns(read_file(spark, path, fmt, schema), exclude_names, exclude_patterns)
+    return clean_names(typed_columns(kept) if infer and schema is None else kept)
 
 
 def read_many(spark: SparkSession, paths: Sequence[str], fmt: str | None = None,

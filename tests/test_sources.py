@@ -126,3 +126,21 @@ def test_stateless_operators_accept_a_stream(spark, tmp_path):
     query.awaitTermination(60)
     got = spark.sql("SELECT slot, x, hosp1_x_flag, cast(day AS string) AS day FROM long_slots").collect()
     assert sorted(map(tuple, got)) == [("1", 3.0, 1, "2024-01-01"), ("2", 1.0, 1, "2024-01-01")]
+
+
+def test_names_in_any_script():
+    assert cleaned_names(["Æther", "Øre", "Łódź", "Straße", "ÞORN", "имя", "имя", "年龄 (years)", "naïve Café", "Ελλ 1"]) == [
+        "aether", "ore", "lodz", "strasse", "thorn", "u0438u043cu044f", "u0438u043cu044f_2", "u5e74u9f84_years", "naive_cafe", "u0395u03bbu03bb_1"]
+
+
+def test_types_come_from_all_values(spark):
+    from dayspan.sources.readers import typed_columns
+
+    names = ["i", "d", "e", "day", "at", "flag", "code", "mixed", "none", "blank", "a`b", "late"]
+    rows = [("1", "1", "1e3", "2024-01-02", "2024-01-02 10:00:00", "true", "007", "1", None, "", "5", "3")] * 500
+    rows.append((" -20 ", "2.5", ".5", "2024-1-3", "2024-01-03T11:30:00.5", "F", "008", "x", None, None, None, "3x"))
+    out = typed_columns(spark.createDataFrame(rows, ", ".join(f"`{n.replace('`', '``')}` string" for n in names)).repartition(5))
+    assert out.dtypes == list(zip(names, ["bigint", "double", "double", "date", "timestamp_ntz", "boolean", "string", "string", "string", "string", "bigint", "string"]))
+    last = [r for r in out.collect() if r["i"] == -20]
+    assert len(last) == 1 and last[0]["d"] == 2.5 and last[0]["e"] == 0.5 and str(last[0]["day"]) == "2024-01-03" and last[0]["flag"] is False
+    assert typed_columns(spark.createDataFrame([], "a string, b int")).dtypes == [("a", "string"), ("b", "int")]
