@@ -12,8 +12,12 @@ from dayspan.operators.joins import null_safe_join
 from dayspan.operators.reshape import append_rows
 from dayspan.operators.select import across, cols_like, complete_cases, select_significant, subset_ids
 
-INCL_TODAY = "unplanned_healthcare_event_within_7days_incl_today_with_unknowns"
-EXCL_TODAY = "unplanned_healthcare_event_within_7days_excl_today_with_unknowns"
+def outcome_column(horizon: int = 7, exclude_today: bool = False, event_flag: str = "unplanned_healthcare_event") -> str:
+    """Name of the label that ``label_windows`` gives a day, with unknowns."""
+    return f"{event_flag}_within_{horizon}days_{'excl' if exclude_today else 'incl'}_today_with_unknowns"
+
+
+INCL_TODAY, EXCL_TODAY = outcome_column(), outcome_column(exclude_today=True)
 
 
 def count_selected(labels: DataFrame, selected: DataFrame, cols: Sequence[str], out: str) -> DataFrame:
@@ -44,14 +48,14 @@ def count_significant(labels: DataFrame, results: Sequence[DataFrame], p_type: s
 
 def analysis_frame(outcomes: DataFrame, predictors: DataFrame, exclude_today: bool = False,
                    keys: Sequence[str] = ("record_id", "date", "study_day"), flag_suffix: str = "_symptom_day",
-                   bin_col: str | None = None, cutpoint: int = 4,
-                   complete: bool = True) -> tuple[DataFrame, dict[str, list[str]]]:
+                   bin_col: str | None = None, cutpoint: int = 4, complete: bool = True,
+                   horizon: int = 7) -> tuple[DataFrame, dict[str, list[str]]]:
     """Outcome joined with predictors, and the levels of the categorical predictors.
 
     Flags become "No" / "Yes"; ``bin_col`` gets a binned copy ``<bin_col>_binned``.
     With ``complete`` only rows without any null stay.
     """
-    outcome = EXCL_TODAY if exclude_today else INCL_TODAY
+    outcome = outcome_column(horizon, exclude_today)
     frame = outcomes.select(*keys, outcome).join(predictors, list(keys), "left")
     flags = cols_like(frame, ends=flag_suffix)
     frame = across(frame, flags, yes_no)

@@ -88,12 +88,12 @@ def fit_sql(xs: Sequence[str], corr: str, tag: str, passes: int = 24, rows: str
     return ",\n".join(parts)
 
 
-def best_sql(xs: Sequence[str], tag: str, rows: str = "complete") -> str:
+def best_sql(xs: Sequence[str], tag: str, rows: str = "complete", passes: int = 18) -> str:
     """CTEs of both structures; ``best_<tag>`` is the fit with the smaller QIC, with qic and qicc."""
     p = len(xs) + 1
     qic = "-2 * quasi + 2 * cic"
-    return f"""{fit_sql(xs, 'exchangeable', f'e{tag}', rows=rows)},
-{fit_sql(xs, 'ar1', f'a{tag}', rows=rows)},
+    return f"""{fit_sql(xs, 'exchangeable', f'e{tag}', passes, rows)},
+{fit_sql(xs, 'ar1', f'a{tag}', passes, rows)},
 best_{tag} AS MATERIALIZED (SELECT *, {qic} AS qic, {qic} + 2.0 * {p} * ({p} + 1) / (clusters - {p} - 1) AS qicc FROM (
   SELECT * FROM fit_e{tag} UNION ALL SELECT * FROM fit_a{tag}) ORDER BY {qic}, corr DESC LIMIT 1)"""
 
