@@ -12,8 +12,8 @@ task has a bound, and only open bins move.
 
 Token ids are those of the tokenizer file. As its tokens never cross the bounds of its pre-tokenization, a text of
 plain lines of words is cut at its spaces, and other Latin-1 texts into pre-tokenization units; each distinct word or
-unit is encoded once and remembered. Texts beyond Latin-1, and those in which an added token of the file is written
-out, go to the tokenizer whole.
+unit is encoded once, by ranks of merges read from the file, and remembered. Texts beyond Latin-1, and those in which an
+added token of the file is written out, go to the tokenizer whole.
 
 A null text is empty and still gets its end id. Rows of equal id are packed separately. A null id is kept. Ties of
 free space are broken by taking the bin that got this space last. Extra columns are not read.
@@ -21,6 +21,7 @@ free space are broken by taking the bin that got this space last. Extra columns
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 import zlib
@@ -56,6 +57,22 @@ _LOOSE = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", "\x85", "\xa0"
 _REMEMBERED_CHARS, _REMEMBERED_WORDS = 32, 300_000
 
 
+def rank_encoding(path: str):
+    """The vocabulary of a byte-level tokenizer file as ranked merges, or None where ids don't follow the order of merges."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    vocabulary = model["vocab"]
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that the file shows as themselves; others as 256 and on
+    code = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
+    merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    if sorted(vocabulary[c] for c in code) != list(range(256)) or [vocabulary[t] for t in merged] != list(range(256, 256 + len(merged))):
+        return None
+    ranks = {bytes(code[c] for c in t): vocabulary[t] for t in (*code, *merged)}
+    return tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+
+
 class Encoder:
     """Token ids of texts as little-endian 32-bit bytes."""
 
@@ -63,6 +80,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.ranked = rank_encoding(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
@@ -70,9 +88,15 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return _as_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
+    def _unit(self, unit: str) -> bytes:
+        # Merging takes time with the square of a unit's length here, so long ones are left to the tokenizer.
+        if self.ranked is None or len(unit) > 256:
+            return self.whole(unit)
+        return _as_bytes(self.ranked.encode_ordinary(unit))
+
     def units(self, text: str) -> bytes:
         """Ids of a Latin-1 text by its pre-tokenization units."""
-        return _joined(self.pieces, _UNITS.findall(text), self.whole)
+        return _joined(self.pieces, _UNITS.findall(text), self._unit)
 
     def ids(self, text: str) -> bytes:
         if not _LATIN_1.match(text) or any(t in text for t in self.added):
