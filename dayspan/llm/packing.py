@@ -11,8 +11,8 @@ tasks, each taking the open bins of ``FAN_IN`` tasks, until one task has seen th
 task has a bound, and only open bins move.
 
 Token ids are those of the tokenizer file. As its tokens never cross the bounds of its pre-tokenization, a text of
-plain lines of words is cut at its spaces, and other Latin-1 texts into pre-tokenization units; each distinct word or
-unit is encoded once, by ranks of merges read from the file, and remembered. Texts beyond Latin-1, and those in which an
+plain lines of words is cut at its spaces, and each distinct word is encoded once and remembered; other Latin-1 texts
+are cut into pre-tokenization units. Units are merged by the ranks read from the file. Texts beyond Latin-1, and those in which an
 added token of the file is written out, go to the tokenizer whole.
 
 A null text is empty and still gets its end id. Rows of equal id are packed separately. A null id is kept. Ties of
@@ -83,7 +83,6 @@ class Encoder:
         self.ranked = rank_encoding(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return _as_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -96,7 +95,7 @@ class Encoder:
 
     def units(self, text: str) -> bytes:
         """Ids of a Latin-1 text by its pre-tokenization units."""
-        return _joined(self.pieces, _UNITS.findall(text), self._unit)
+        return b"".join([self._unit(u) for u in _UNITS.findall(text)])
 
     def ids(self, text: str) -> bytes:
         if not _LATIN_1.match(text) or any(t in text for t in self.added):
