@@ -23,8 +23,9 @@ The flow:
 3. classes that share a signature form a family under the smallest of them, so a family is named once, however many
    signatures its members share;
 4. families are compared in blocks of bounded size, where every pair of blocks is a group, by sketches: the numbers of
-   elements in ``BUCKETS`` ranges of the hash. The sum of their differences is a lower bound of the number of differing
-   elements, so it leaves few pairs, whose components hold every link. A class is in many families but in one component;
+   elements in equal ranges of the hash, more ranges for larger sets. The sum of their differences is a lower bound of the
+   number of differing elements, so it leaves few pairs, whose components hold every link. A class is in many families
+   but in one component;
 5. components are cut into blocks like families; only now sets are sent, once for each block of their component, and
    exact intersections come from a product of 0/1 matrices over the elements that occur twice. Only a spanning forest
    of the verified links leaves the task;
@@ -37,7 +38,7 @@ only minima are taken. Extra columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from itertools import combinations
 from math import comb
@@ -57,8 +58,9 @@ SUBSETS_UPTO, SUBSETS, SINGLES = 30, (3, 2), (2, 1)
 FINER = 8
 #: Bits of the bitmap that rules out documents before their sets are sent (8 MB, whatever their number).
 BITMAP_BITS = 26
-#: Ranges of a sketch; a count beyond 255 is kept as 255, which only makes the lower bound lower.
-BUCKETS = 128
+#: Ranges of a sketch are two to the power of these at least and at most. A count beyond 255 is kept as 255, which only makes
+#: the lower bound lower. Too few ranges for a large set would let unrelated ones pass.
+LEAST_BITS, MOST_BITS = 7, 14
 #: Bounds of a block of a family: documents and elements.
 BLOCK_DOCS, BLOCK_ELEMENTS = 512, 1 << 20
 
@@ -97,12 +99,16 @@ class Sets:
         a, b = (t[self.bounds[1:]] - t[self.bounds[:-1]] for t in (self.totals, other))
         return signed(a), signed(b)
 
-    def sketches(self) -> np.ndarray:
-        """Numbers of elements in equal ranges of the hash, a row of bytes for every set."""
+    def sketches(self) -> list[bytes]:
+        """Numbers of elements in equal ranges of the hash, a string of bytes for every set: about eight elements to a range."""
+        bits = np.ceil(np.log2(np.maximum(self.sizes / 8, 1))).astype(np.int64).clip(LEAST_BITS, MOST_BITS)
+        ends = np.cumsum(1 << bits)
+        starts = ends - (1 << bits)
         row = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        bucket = (self.elements >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
-        counts = np.bincount(row * BUCKETS + bucket, minlength=len(self.sizes) * BUCKETS)
-        return np.minimum(counts, 255).astype(np.uint8).reshape(-1, BUCKETS)
+        bucket = (self.elements >> (64 - bits[row]).astype(np.uint64)).astype(np.int64)
+        counts = np.bincount(starts[row] + bucket, minlength=int(ends[-1]) if len(ends) else 0)
+        counts = np.minimum(counts, 255).astype(np.uint8)
+        return [counts[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist())]
 
     def of(self, row: int) -> np.ndarray:
         return self.elements[self.bounds[row] : self.bounds[row + 1]]
@@ -196,7 +202,7 @@ def _digests(shingle: int):
             for first, end, sets in _sets(batch, shingle):
                 a, b = sets.digests()
                 ids = batch.column("doc_id").slice(first, end - first)
-                sketches = pa.array([s.tobytes() for s in sets.sketches()], pa.binary())
+                sketches = pa.array(sets.sketches(), pa.binary())
                 yield pa.record_batch(
                     [ids, pa.array(sets.sizes), pa.array(a), pa.array(b), sketches], names=["doc_id", "size", "a", "b", "sketch"]
                 )
@@ -288,9 +294,15 @@ def spanning_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]
     return out
 
 
+def alike(sketches: Sequence[bytes]) -> np.ndarray:
+    """Sketches as rows of the coarsest one's width: neighbouring ranges of finer ones are added up."""
+    width = min(map(len, sketches))
+    return np.array([np.frombuffer(s, np.uint8).reshape(width, -1).sum(axis=1, dtype=np.int32) for s in sketches])
+
+
 def reachable(sizes: np.ndarray, sketches: np.ndarray, percent: int) -> np.ndarray:
     """Label of each set's piece of the graph of pairs that their sketches don't rule out; -1 for a piece of one."""
-    n, wide = len(sizes), sketches.astype(np.int16)
+    n, wide = len(sizes), sketches.astype(np.int32)
     label = np.arange(n)
     for i in range(n - 1):
         bound = (sizes[i] + sizes[i + 1 :]) * (100 - percent) // (100 + percent)
@@ -337,7 +349,7 @@ def _near_by_sketch(percent: int):
             members = sorted(set(members))
             if len(members) > 1:
                 ids, sizes, sketches = zip(*members)
-                pieces = reachable(np.array(sizes), np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, BUCKETS), percent)
+                pieces = reachable(np.array(sizes), alike(sketches), percent)
                 first: dict[int, int] = {}
                 for piece, i in zip(pieces.tolist(), ids):
                     if piece >= 0 and first.setdefault(piece, i) != i:
