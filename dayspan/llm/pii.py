@@ -1,12 +1,14 @@
 """Personal data by base patterns and a linear-chain conditional random field.
 
 Base spans are the leftmost non-overlapping matches of a pattern per kind, checked by value (octets, digits, Luhn). The
-field labels white-space tokens by features of their shape and their neighbours' shapes; it is trained on a small labelled
-table by its exact gradient, and decoded by Viterbi over batches of sequences in numpy. It adds spans that overlap no base
-span, such as phone numbers without a plus sign.
+field labels white-space tokens by features of their shape, their make-up, their neighbours' shapes and the words before
+them; it is trained on a small labelled table by its exact gradient, and decoded by Viterbi over batches of sequences in
+numpy. It adds spans that overlap no base span: phone numbers without a plus sign, addresses with a port, and a kind that
+has no base pattern, secrets, that is, keys and passwords behind the word that announces them (column n_secret).
 
 A sequence is a run of tokens within ``REACH`` of a token with a digit or an at sign; all other tokens are of no kind. Every
-token of every text is looked at. The fitted weights, which are all that is broadcast, have a fixed size.
+token of every text is looked at, all of it. Sequences are decoded together as long as their padded places stay under
+``CELLS``; a longer one is decoded alone. The fitted weights, which are all that is broadcast, have a fixed size.
 
 Null and empty texts have no spans. Rows of equal id are separate documents. Positions are code points, ends exclusive.
 Without labelled rows only base spans are found. Extra columns are not read.
@@ -35,9 +37,15 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 
+#: Kinds that the field adds to, the last without a base pattern.
+ADDED = [*KINDS, "secret"]
+
 REACH = 3
-LABELS = ["O", *KINDS]
-FEATURES = 1 << 12
+LABELS = ["O", *ADDED]
+FEATURES = 1 << 14
+#: Padded places of sequences that are decoded together, and places whose weights are summed at once.
+CELLS, STEP = 1 << 16, 1 << 14
+SECRET = LABELS.index("secret")
 
 
 def luhn(digits: str) -> bool:
@@ -76,21 +84,31 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def shape(token: str) -> str:
-    """Letters as A and a, digits as 9, runs of over three cut, of the token's two ends."""
-    ends = token if len(token) <= 32 else token[:20] + token[-12:]
-    signs = "".join("9" if c in "0123456789" else "A" if c.isupper() else "a" if c.isalpha() else c for c in ends)
+    """Letters as A and a, digits as 9, runs of over three cut."""
+    signs = "".join("9" if c in "0123456789" else "A" if c.isupper() else "a" if c.isalpha() else c for c in token)
     return re.sub(r"(.)\1{3,}", r"\1\1\1", signs)
 
 
+def make_up(token: str) -> str:
+    """Which kinds of characters a token's core has, and about how many: keys mix digits and letters at length."""
+    core = token.strip("\"'`.,;:()[]{}<>|")
+    kinds = "".join(k for k, found in (("9", re.search(r"\d", core)), ("a", re.search(r"[^\W\d_]", core)), ("_", re.search(r"[^\w]", core))) if found)
+    changes = len(re.findall(r"\d(?=[^\W\d_])|[^\W\d_](?=\d)", core))
+    return f"{kinds}{len(core).bit_length()}{min(changes, 6)}{'h' if re.fullmatch(r'[0-9a-f]+', core) else ''}"
+
+
 def features(tokens: list[str]) -> np.ndarray:
-    """Feature numbers of every token: own shape, parts of it, and the neighbours' shapes."""
+    """Feature numbers of every token: own shape and make-up, the neighbours' shapes, the words around it."""
     shapes = ["^", *map(shape, tokens), "$"]
+    words = ["^", "^", "^", *(re.sub(r"[\W\d_]+", "", t).lower() for t in tokens), "$"]
     rows = []
     for i, token in enumerate(tokens, 1):
-        own = shapes[i]
-        digits = sum(c.isdigit() for c in token[:40])
+        own, made = shapes[i], make_up(token)
+        digits = sum(c.isdigit() for c in token)
         names = ("b", f"s{own}", f"p{shapes[i - 1]}", f"n{shapes[i + 1]}", f"sp{own}|{shapes[i - 1]}", f"sn{own}|{shapes[i + 1]}",
-                 f"d{min(digits, 20)}", f"l{min(len(token), 24)}|{digits > 0}", f"@{'@' in token}{token.count('.')}", f"e{own[:2]}|{own[-2:]}")
+                 f"d{min(digits, 20)}", f"l{min(len(token), 24)}|{digits > 0}", f"@{'@' in token}{token.count('.')}", f"e{own[:2]}|{own[-2:]}",
+                 f"m{made}", f"w{words[i + 1]}|{made}", f"v{words[i]}|{made}", f"u{words[i + 1]}|{words[i]}", f"o{words[i + 2]}", f"q{shapes[i - 1]}|{made}",
+                 f"k{words[i + 1] or words[i]}|{len(token) >= 14 and digits > 0}")
         rows.append([zlib.crc32(n.encode()) % FEATURES for n in names])
     return np.array(rows, np.int32)
 
@@ -101,6 +119,8 @@ def labelled_examples() -> list[tuple[list[str], list[str]]]:
     n = lambda k: "".join(r.choice("0123456789") for _ in range(k))
     word = lambda: "".join(r.choice("abcdeéghilmnoöprstu") for _ in range(r.randrange(1, 11))).capitalize() + r.choice(["", "", ",", "."])
     low = lambda: word().lower()
+    hexes = lambda k: hashlib.sha512(n(9).encode()).hexdigest()[:k]
+    mixed = lambda k: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(k - 1)) + n(1)
     forms = {
         "email": [lambda: [f"{low().strip('.,')}{n(2)}@mail{n(1)}.example.com"], lambda: [f"{low().strip('.,')}.{low().strip('.,')}@host.org."],
                   lambda: [f"{low().strip('.,')}@[192.168.{n(2)}.{n(2)}]"]],
@@ -108,10 +128,15 @@ def labelled_examples() -> list[tuple[list[str], list[str]]]:
         "card": [lambda: [n(4), n(4), n(4), n(4)], lambda: ["-".join(n(4) for _ in range(4))]],
         "phone": [lambda: [f"+{n(1)}", f"({n(3)})", f"{n(3)}-{n(4)}"], lambda: [f"({n(3)})", f"{n(3)}-{n(4)}"], lambda: [f"{n(3)}-{n(3)}-{n(4)}"],
                   lambda: [f"({n(3)}){n(3)}-{n(4)}"], lambda: [f"{n(3)}.{n(3)}.{n(4)}."]],
-        "O": [lambda: ["version", f"{n(1)}.0."], lambda: [n(16)], lambda: [n(r.randrange(1, 13))], lambda: ['token', '=', f'"{hashlib.sha1(n(9).encode()).hexdigest()}"'],
+        "O": [lambda: [f"{hexes(40)}"], lambda: ["commit", hexes(40)], lambda: ["sha256", "=", hexes(r.choice([40, 64]))],
+              lambda: [low(), hexes(40), low()], lambda: [f"{r.choice(['md5', 'checksum', 'digest'])}:", hexes(r.choice([32, 40]))],
+              lambda: [r.choice(["id", "hash", "rev", "sum"]), "=", hexes(r.choice([32, 40]))], lambda: [f"{low()}{n(3)}"], lambda: [f"{low()}", "=", f'"{low()}"'],
+              lambda: ["token", "ring", n(3)], lambda: ["password", "of", f"{n(1)}", "words"], lambda: ["key", "=", n(2)], lambda: ["version", f"{n(1)}.0."], lambda: [n(16)], lambda: [n(r.randrange(1, 13))],
               lambda: [f"{r.randrange(1900, 2030)}."], lambda: [f"{n(1)}.{n(2)}"], lambda: [f"{n(4)}-{n(2)}-{n(2)}"], lambda: ["|", low(), "|"], lambda: ["@", low()],
               lambda: [f"@{low()}"], lambda: [f"{n(2)}%"], lambda: [n(4), n(16)], lambda: [n(16), n(16)], lambda: [f"{n(1)}.{n(1)}.{n(1)}"], lambda: [f"{n(2)}:{n(2)}"]],
     }
+    names = ["token", "secret", "password", "passwd", "api_key", "apikey", "access_key", "auth_token", "client_secret", "key"]
+    values = [lambda: hexes(40), lambda: hexes(32), lambda: mixed(20), lambda: mixed(32), lambda: f"sk-{mixed(24)}", lambda: f"AKIA{mixed(16).upper()}"]
     rows = []
     for _ in range(30):
         for kind, makers in forms.items():
@@ -119,6 +144,14 @@ def labelled_examples() -> list[tuple[list[str], list[str]]]:
                 value = make()
                 before, after = [low() for _ in range(r.randrange(4))], [low() for _ in range(r.randrange(4))]
                 rows.append((before + value + after, ["O"] * len(before) + [kind] * len(value) + ["O"] * len(after)))
+        for make in values * 3:
+            name, value, quote = r.choice(names), make(), r.choice(['"', "'", ""])
+            name = name.upper() if r.random() < 0.2 else name
+            quoted = f"{quote}{value}{quote}{r.choice(['', '', ',', ';', '.'])}"
+            written, tags = r.choice([([name, "=", quoted], "OOS"), ([name, "=", quoted], "OOS"), ([f"{name}:", quoted], "OS"), ([f"{name}={quoted}"], "S")])
+            before, after = [word() for _ in range(r.randrange(4))], [word() for _ in range(r.randrange(4))]
+            rows.append((before + written + after, ["O"] * len(before) + ["secret" if t == "S" else "O" for t in tags] + ["O"] * len(after)))
+    r.shuffle(rows)
     return rows
 
 
@@ -137,7 +170,9 @@ class Field:
         """Padded token scores (sequence, place, label) and lengths."""
         lengths = np.array([len(s) for s in sequences])
         out = np.zeros((len(sequences), lengths.max(), len(LABELS)), np.float32)
-        out[np.arange(lengths.max()) < lengths[:, None]] = self.weights[np.concatenate(sequences)].sum(axis=1)
+        flat = np.concatenate(sequences)
+        summed = np.concatenate([self.weights[flat[i : i + STEP]].sum(axis=1) for i in range(0, len(flat), STEP)])
+        out[np.arange(lengths.max()) < lengths[:, None]] = summed
         return out, lengths
 
     def decode(self, sequences: list[np.ndarray]) -> list[np.ndarray]:
@@ -231,19 +266,37 @@ def added_spans(text: str, ranges: list[tuple[int, int]], labels: np.ndarray) ->
             while start < end and not (text[start].isalnum() or text[start] in "(+"):
                 start += 1
             digits = len(_DIGIT.findall(text, start, end))
-            if "@" in text[start:end] if kind == 1 else {2: 4, 3: 14, 4: 7}[kind] <= digits <= {2: 12, 3: 19, 4: 15}[kind]:
+            if kind == SECRET:
+                # The value alone, without the name and the sign before it; shorter ones announce nothing.
+                start += len(re.match(r"(?:\w+[:=]+[\"']?)?", text[start:end])[0])
+                valid = end - start >= 12
+            else:
+                valid = "@" in text[start:end] if kind == 1 else {2: 4, 3: 14, 4: 7}[kind] <= digits <= {2: 12, 3: 19, 4: 15}[kind]
+            if valid:
                 out.append((start, kind - 1, end))
         i = j
     return out
 
 
+def _together(owners: list[tuple[int, list]]) -> Iterator[list[tuple[int, list]]]:
+    """Runs of (owner, places), sorted by length, of at most ``CELLS`` padded places (or one alone)."""
+    group: list = []
+    for owner in owners:
+        if group and (len(group) + 1) * len(owner[1]) > CELLS:
+            yield group
+            group = []
+        group.append(owner)
+    if group:
+        yield group
+
+
 def find_personal_data(docs: DataFrame, labelled: DataFrame, max_labelled: int = 10_000) -> DataFrame:
-    """Per row: doc_id, base counts, base_sha256 and all spans. At most ``max_labelled`` labelled rows are used."""
+    """Per row: doc_id, base counts, n_secret, base_sha256 and all spans. At most ``max_labelled`` labelled rows are used."""
     field = Field().fit([(r["tokens"], r["tags"]) for r in labelled.select("tokens", "tags").limit(max_labelled).collect()])
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def written(spans: list[tuple[int, int, int]]) -> str:
-        return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
+        return ",".join(f"{ADDED[k]}:{a}:{b}" for a, k, b in spans)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -255,20 +308,20 @@ def find_personal_data(docs: DataFrame, labelled: DataFrame, max_labelled: int =
                 found: list[list] = [[] for _ in texts]
                 # Sequences of like length together, so that little is padding.
                 owners.sort(key=lambda o: len(o[1]))
-                for low in range(0, len(owners), 256):
-                    own = owners[low : low + 256]
+                for own in _together(owners):
                     labels = shared.value.decode([features([texts[i][a:b] for a, b in ranges]) for i, ranges in own])
                     for (i, ranges), found_labels in zip(own, labels):
                         if found_labels.any():
                             found[i] += [s for s in added_spans(texts[i], ranges, found_labels)
                                          if all(s[2] <= a or b <= s[0] for a, _, b in base[i])]
                 counts = [[sum(k == kind for _, k, _ in spans) for spans in base] for kind in range(len(KINDS))]
+                counts.append([sum(k == SECRET - 1 for _, k, _ in spans) for spans in found])
                 hashes = [hashlib.sha256(written(spans).encode()).hexdigest() for spans in base]
                 spans = [written(sorted(b + f)) for b, f in zip(base, found)]
                 yield pa.record_batch(
                     [part.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(hashes, pa.string()), pa.array(spans, pa.string())],
-                    names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"],
+                    names=["doc_id", *(f"n_{k}" for k in ADDED), "base_sha256", "spans"],
                 )
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return texts.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, n_secret long, base_sha256 string, spans string")
