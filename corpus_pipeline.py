@@ -59,11 +59,11 @@ def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     ids = docs.groupBy(F.col(key).alias("key")).agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"))).alias("id"), F.count(F.lit(1)).alias("rows"))
     members = found.distinct().join(ids, "key")
-    kept = members.groupBy("component_id").agg(F.min(F.struct("id", "key", "rows")).alias("kept")).select(
-        F.col("kept.key").alias(key), (F.col("kept.rows") > 1).alias("_repeated"))
-    single, repeated = kept.where("not _repeated").drop("_repeated"), kept.where("_repeated").drop("_repeated")
-    # Rows that occur more than once are few by now: only these are compared with each other.
-    once = docs.join(single, key, "left_semi")
+    kept = members.groupBy("component_id").agg(F.min(F.struct("id", "key", "rows")).alias("kept")).select("kept.*")
+    # Both are small next to the texts, and written first so that their size is known before texts would be shuffled.
+    gone = stage(members.join(kept.select("key"), "key", "left_anti").select(F.col("key").alias(key)), "gone")
+    repeated = stage(kept.where("rows > 1").select(F.col("key").alias(key)), "repeated")
+    once = docs.join(gone, key, "left_anti").join(repeated, key, "left_anti")
     return once.unionByName(docs.join(repeated, key, "left_semi").dropDuplicates([key])).drop(key)
 
 
