@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from dayspan.llm.cotraining import quality_scores
 from dayspan.llm.decontamination import contamination
 from dayspan.llm.language_id import language_scores
-from dayspan.llm.licences import COPYRIGHT_LINE, KNOWN, SPELLINGS, scan_licences
+from dayspan.llm.licences import COPYRIGHT_LINE, KNOWN, SPELLINGS, TITLE_LINE, scan_licences
 from dayspan.llm.line_chunks import remove_repeated_chunks
 from dayspan.llm.line_frequency import judge_by_lines
 from dayspan.llm.mixing import mix_sources
@@ -129,10 +129,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _canonical_sql(text: str) -> str:
     plain = f"regexp_replace(lower(coalesce({text}, '')), '{COPYRIGHT_LINE}', '', 'g')"
-    out = f"' ' || trim(regexp_replace({plain}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' '"
+    plain = f"regexp_replace({plain}, '{TITLE_LINE}', '')"
+    out = f"' ' || replace(trim(regexp_replace({plain}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ', '  ') || ' '"
     for one, other in SPELLINGS:
         out = f"replace({out}, ' {one} ', ' {other} ')"
-    return f"trim({out})"
+    return f"trim(replace({out}, '  ', ' '))"
 
 
 def _values(rows: list[tuple[str, str]]) -> str:
@@ -144,8 +145,7 @@ WITH known AS (SELECT d, min(licence_id) AS licence_id FROM (
        SELECT licence_id, {_canonical_sql("text")} AS d FROM (VALUES {_values(KNOWN)}) AS v(licence_id, text)) GROUP BY d),
 doc AS (SELECT doc_id, text, {_canonical_sql("text")} AS form FROM documents),
 line AS (SELECT DISTINCT doc_id, licence_id FROM (
-       SELECT doc_id, {_canonical_sql("line")} AS form FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM doc)
-       WHERE regexp_matches(line, '(?i)licen[cs]e|permission')) AS x JOIN known ON x.form = known.d WHERE form <> ''),
+       SELECT doc_id, {_canonical_sql("line")} AS form FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM doc)) AS x JOIN known ON x.form = known.d WHERE form <> ''),
 note AS (SELECT doc_id, string_agg(licence_id, ',' ORDER BY licence_id) AS notices FROM line GROUP BY doc_id)
 SELECT doc.doc_id, CASE WHEN form <> '' THEN sha256(form) END AS canonical_sha256, licence_id, coalesce(notices, '') AS notices
 FROM doc LEFT JOIN known ON form = known.d AND form <> '' LEFT JOIN note ON doc.doc_id = note.doc_id

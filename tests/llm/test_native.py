@@ -107,3 +107,34 @@ def test_equal_texts_share_a_shard(spark):
     for shard in range(10):
         assert abs(sum(x["size"] for x in out if x["shard"] == shard) - total / 10) <= total / 10
         assert sorted(x["slot"] for x in out if x["shard"] == shard) == list(range(sum(x["shard"] == shard for x in out)))
+
+
+def test_licence_texts_in_any_wrapping_and_dress(spark):
+    """Title, copyright lines, wrapping and neighbouring spellings make no difference; another text does."""
+    import textwrap
+
+    from dayspan.llm.licences import canonical
+
+    texts, want = [], []
+    for name, text in KNOWN:
+        if len(text) > 300:
+            for width in range(40, 121, 1 if name == "MIT" else 16):
+                texts.append("\n".join(textwrap.fill(p, width) for p in text.split("\n")))
+                want.append(name)
+    mit, bsd = dict(KNOWN)["MIT"], dict(KNOWN)["BSD-3-Clause"]
+    dressed = [("MIT License\n\nCopyright (c) 2020 Some One\n\n" + mit, "MIT"), ("The MIT License (MIT)\n\nCopyright © 1999-2020, A B. All rights reserved.\n" + mit, "MIT"),
+               ("BSD 3-Clause License\n\nCopyright (c) 2001, X\nAll rights reserved.\n\n" + bsd, "BSD-3-Clause"), ("Copyright 2020 by Y\n" + mit.replace(" ", "  "), "MIT"),
+               (mit + " extra", None), (mit.replace("without restriction", "with restriction"), None)]
+    texts, want = texts + [t for t, _ in dressed], want + [w for _, w in dressed]
+    rows = scan_licences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {r["doc_id"]: r["licence_id"] for r in rows}
+    assert [got[i] for i in range(len(texts))] == want
+    both = spark.createDataFrame([("licence licence licence", "license license license"), ("the copyright holders\ncopyright notice", "the copyright holders copyright notice")], "a string, b string")
+    assert both.select(canonical(F.col("a")) == canonical(F.col("b"))).distinct().collect() == [(True,)]
+
+
+def test_the_callers_table_decides_which_lines_count(spark):
+    known = spark.createDataFrame([("b", "Free for all purposes"), ("a", "FREE, for all purposes!"), ("c", None), ("d", "©")], "licence_id string, text string")
+    docs = spark.createDataFrame([(1, "x\nfree for all\tpurposes.\ny"), (2, "free for all purposes"), (3, "Licensed under the MIT License.")], "doc_id long, text string")
+    rows = {r["doc_id"]: (r["licence_id"], r["notices"]) for r in scan_licences(docs, known).collect()}
+    assert rows == {1: (None, "a"), 2: ("a", "a"), 3: (None, "")}
