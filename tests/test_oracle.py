@@ -37,7 +37,8 @@ def test_query_matches_oracle(spark, database, name):
     got = [tuple(r[c] for c in columns) for r in df.collect()]
     sql = entry_points.oracle_sql().get(name)
     if sql is None:
-        assert got
+        # A simulated p value; tests/test_tables.py holds it against the exact test.
+        assert name == "permutation_test" and len(got) == 1 and 0 < got[0][columns.index("p_value")] <= 1
         return
     result = database.execute(sql)
     names = [d[0] for d in result.description]
