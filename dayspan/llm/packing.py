@@ -27,7 +27,7 @@ import sys
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
-from functools import cached_property, reduce
+from functools import cached_property, lru_cache, reduce
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -126,6 +126,12 @@ def _joined(known: dict[str, bytes], parts: list[str], encode: Callable[[str], b
         return b"".join([known[p] if p in known else extra[p] for p in parts])
 
 
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> Encoder:
+    """One encoder of a worker process: its tasks share the vocabulary and the words met."""
+    return Encoder(path)
+
+
 def _as_bytes(ids: list[int]) -> bytes:
     out = array("I", ids)
     if sys.byteorder == "big":
@@ -189,7 +195,7 @@ def _pack_documents(tokenizer: str, end_id: int, capacity: int, open_bins: int):
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, bins, base = Encoder(tokenizer), OpenBins(capacity, open_bins), _bin_base()
+        encoder, bins, base = encoder_of(tokenizer), OpenBins(capacity, open_bins), _bin_base()
         held: list[tuple] = []
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -253,7 +259,7 @@ def sequences(docs: DataFrame, placed: DataFrame, tokenizer: str, end_id: int =
     end = end_id
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         for batch in batches:
             ids = [memoryview(encoder.ids(t or "") + end.to_bytes(4, "little")).cast("I").tolist() for t in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(ids, pa.list_(pa.int64()))], names=["doc_id", "ids"])
