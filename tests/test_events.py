@@ -20,6 +20,7 @@ from dayspan.plans.event_log import (
     categorize_visits,
     merge_adjacent_events,
 )
+from dayspan.plans.panel import expand_panel
 
 D = dt.date(2024, 3, 1)
 
@@ -119,6 +120,28 @@ def test_event_log_numbers(spark, bounded):
     assert sorted((r["record_id"], r["visit_number"]) for r in inside.collect()) == [(1, 1), (1, 2)]
 
 
+@pytest.mark.parametrize("unique", [False, True])
+def test_event_log_panel_is_not_broadcast(spark, unique):
+    """A panel expanded from few rows looks small to the planner; events match by id and date, unknown ones never."""
+    old = dt.date(1969, 12, 31)
+    wide = spark.createDataFrame([(1, day(0), "a", day(70), "b"), (1, old, "c", None, "d"), (2, day(400), "e", day(401), "f"), (None, day(0), "g", None, None)],
+                                 "record_id int, hosp1_admit_date date, hosp1_reason string, hosp2_admit_date date, hosp2_reason string")
+    ranges = [(1, day(0), day(70)), (2, day(0), day(400)), (None, day(0), day(9)), (1, old, old)]
+    values = ", ".join(f"(CAST({i or 'NULL'} AS INT), DATE'{a}', DATE'{b}')" for i, a, b in ranges)
+    spans = spark.sql(f"SELECT * FROM VALUES {values} AS t(record_id, s, e)")
+    panel = expand_panel(spans, "record_id", "s", "e", unique_ids=True)
+    log = build_event_log(wide, "record_id", SPECS[:1], panel, bounded_groups=True, unique_days=unique)
+    assert "Broadcast" not in log._jdf.queryExecution().executedPlan().toString()
+    assert log.columns[:2] == ["record_id", "date"] and len(log.columns) == len(set(log.columns))
+    assert sorted((r["record_id"], r["visit_number"], r["reason"]) for r in log.collect()) == [(1, 1, "c"), (1, 2, "a"), (1, 3, "b"), (2, 1, "e")]
+
+
+def test_event_log_repeats_by_panel_rows(spark):
+    panel = spark.createDataFrame([(1, day(2)), (1, day(2))], "record_id int, date date")
+    log = build_event_log(wide_frame(spark), "record_id", SPECS, panel, bounded_groups=True)
+    assert sorted(r["visit_number"] for r in log.collect()) == [1, 1, 2, 2]
+
+
 def test_collapse_all_null(spark):
     df = spark.createDataFrame([(1, 2, None, None), (1, 1, "a", None)], "k int, o int, t string, v int")
     row = collapse_events(df, ["k"], "t", ["o"], min_cols=["v"]).first()
