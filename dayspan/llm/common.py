@@ -10,18 +10,21 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dayspan.session import release, stage
 
 __all__ = [
-    "Words", "bitmap_of", "in_bitmap", "map_by_place", "mix", "release", "signed", "stage", "text_slices", "unused", "window_hashes", "words_of",
+    "Words", "bitmap_of", "in_bitmap", "map_by_place", "mix", "release", "signed", "stage", "tasks_for", "text_slices", "unused", "window_hashes", "words_of",
 ]
 
-#: Text of one numpy step; a longer document is a step of its own.
-STEP_BYTES = 1 << 20
+#: Text of one numpy step; a longer document is a step of its own. A step takes some fifty times its bytes for a while.
+STEP_BYTES = 1 << 17
+
+#: Rows of a few numbers that one task writes before another is worth its file.
+ROWS_A_TASK = 500_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
@@ -168,6 +171,11 @@ def map_by_place(df: DataFrame, run: Callable, schema: T.StructType) -> DataFram
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(run, schema)
 
 
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """Tasks that write so many rows of a few numbers: all cores, and more of them from ROWS_A_TASK rows each."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_A_TASK))
+
+
 def unused(name: str, columns: Sequence[str]) -> str:
     """The name, lengthened until no column has it."""
     while name.lower() in {c.lower() for c in columns}:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dayspan.llm.common import ALNUM_LOWER, Words, bitmap_of, in_bitmap, signed, stage, text_slices, window_hashes, words_of
+from dayspan.llm.common import ALNUM_LOWER, Words, bitmap_of, in_bitmap, signed, stage, tasks_for, text_slices, window_hashes, words_of
 
 #: Words of a fingerprint.
 K = 5
@@ -131,7 +131,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, span: int = 10) -> tup
         raise ValueError(f"span must exceed the {K} words of a fingerprint")
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
-    windows = stage(items.mapInArrow(_item_windows(span), "item_id string, size int, words string, hash long").distinct(), "windows")
+    windows = stage(items.mapInArrow(_item_windows(span), "item_id string, size int, words string, hash long").distinct(), "windows", 4 * tasks_for(spark, 0))
     sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # at most ``span`` rows
     kept = bitmap_of(items.mapInArrow(_item_fingerprints(span), "hash long"), "hash", BITMAP_BITS)
     broadcast = spark.sparkContext.broadcast

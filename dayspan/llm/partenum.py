@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dayspan.llm.common import (
-    NOT_SPACE, bitmap_of, in_bitmap, mix, release, signed, stage, text_slices, window_hashes, words_of,
+    NOT_SPACE, bitmap_of, in_bitmap, mix, release, signed, stage, tasks_for, text_slices, window_hashes, words_of,
 )
 
 #: Parts of a partition and parts of a choice: up to so many differing elements, and beyond.
@@ -390,14 +390,16 @@ def _by_group(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.select(*group, *columns).repartition(*group).sortWithinPartitions(*group)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, tasks: int | None = None) -> DataFrame:
     """Smallest reachable node of every node of the edges (u, v): rows (node, component).
 
     Alternating large-star and small-star contractions; minima are aggregated with partial sums, so a node with
-    very many neighbours is no group in memory. Every round is written to the shared folder.
+    very many neighbours is no group in memory. Every round is written to the shared folder, the first by at most ``tasks``
+    tasks; a round has no more edges than the one before it.
     """
-    edges = stage(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    edges = stage(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges", tasks)
     state = _fingerprint(edges)
+    tasks = tasks_for(edges.sparkSession, state[0])
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -406,7 +408,7 @@ def components(edges: DataFrame) -> DataFrame:
         # Small star: a node and its neighbours below go to the smallest of them.
         below = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(below, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        before, edges = edges, stage(small.union(below.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        before, edges = edges, stage(small.union(below.select("u", F.col("m").alias("v"))).distinct(), "edges", tasks)
         release(before)
         now = _fingerprint(edges)
         if now == state:
@@ -423,12 +425,16 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80) ->
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     own = stage(texts.mapInArrow(_digests(shingle), "doc_id long, size long, a long, b long, sketch binary"), "sets")
-    classes = stage(own.where("size > 0").groupBy("a", "b", "size").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch")), "classes")
+    tasks = tasks_for(spark, own.count())
+    classes = stage(
+        own.where("size > 0").groupBy("a", "b", "size").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch")),
+        "classes", max(tasks, own.rdd.getNumPartitions()),
+    )
 
     rows = texts.mapInArrow(_signature_rows(shingle, percent), "signature long, class long")
     pairs = stage(
         rows.repartition("signature").sortWithinPartitions("signature", "class").mapInArrow(_families, "leader long, class long").distinct(),
-        "families",
+        "families", tasks,
     )
     members = pairs.union(pairs.select("leader", F.col("leader").alias("class")).distinct())
 
@@ -436,14 +442,14 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80) ->
     held = classes.where("id is not null").withColumnRenamed("a", "class").select("class", "id", "size", "sketch")
     families = members.join(held, "class").withColumnRenamed("leader", "name")
     near = components(
-        _by_group(_in_blocks(families), "id", "size", "sketch").mapInArrow(_near_by_sketch(percent), "u long, v long")
+        _by_group(_in_blocks(families), "id", "size", "sketch").mapInArrow(_near_by_sketch(percent), "u long, v long"), tasks
     )
     release(pairs)
     pieces = stage(
         near.select(F.col("component").alias("name"), F.col("node").alias("id"))
         .union(near.select(F.col("component").alias("name"), F.col("component").alias("id")).distinct())
         .join(held.select("id", "class", "size"), "id"),
-        "pieces",
+        "pieces", tasks,
     )
     wanted = spark.sparkContext.broadcast(bitmap_of(pieces, "id", BITMAP_BITS))
     contents = (
@@ -452,7 +458,7 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80) ->
         .groupBy("class", "id").agg(F.first("elements").alias("elements"))
     )
     links = _by_group(_in_blocks(pieces).join(contents, ["class", "id"]), "id", "elements").mapInArrow(_verified_links(percent), "u long, v long")
-    found = components(links)
+    found = components(links, tasks)
     release(pieces)
     named = classes.join(found, classes["id"] == found["node"], "left").select(
         "a", "b", F.coalesce("component", "id").alias("component_id")

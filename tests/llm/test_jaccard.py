@@ -176,3 +176,18 @@ def test_a_choice_covers_two_parts():
         assert len(fewer) == 3 and cost.tolist() == [2]
     _, single, cost = of(thirds[0])
     assert len(single) == 2 and cost.tolist() == [1]
+
+
+def test_small_rounds_are_few_files(spark):
+    """A round of a few edges is written by few tasks, however many partitions its shuffle has."""
+    changed = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in changed}
+    for k, v in changed.items():
+        spark.conf.set(k, v)
+    try:
+        found = components(spark.createDataFrame([(i, i + 1) for i in range(200)], "u long, v long"))
+        assert len(found.inputFiles()) <= spark.sparkContext.defaultParallelism
+        assert sorted(map(tuple, found.collect())) == [(i, 0) for i in range(1, 201)]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

@@ -170,3 +170,19 @@ def test_empty_tables(spark, sf_dir):
     docs = spark.createDataFrame([], SCHEMA)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf_dir).collect() == []
+
+
+def test_batches_are_bounded_by_bytes(spark, sf_dir):
+    """Workers and executors keep what their largest batch took, so long texts make batches of fewer rows."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(5000, numPartitions=1).selectExpr("id AS doc_id", "repeat('word ', 200) AS text")
+    spark.conf.unset(setting)
+    try:
+        corpus_pipeline.pack(spark, docs.limit(1), sf_dir)
+        sizes = docs.mapInArrow(lambda batches: (b.select([0]).slice(0, 1).set_column(0, "n", [b.nbytes]) for b in batches), "n long").collect()
+        assert sum(r["n"] for r in sizes) > 5_000_000 and max(r["n"] for r in sizes) < 2 * corpus_pipeline.BATCH_BYTES
+        spark.conf.set(setting, 1 << 16)
+        corpus_pipeline.pack(spark, docs.limit(1), sf_dir)
+        assert spark.conf.get(setting) == str(1 << 16)  # the user's own bound stays
+    finally:
+        spark.conf.unset(setting)
